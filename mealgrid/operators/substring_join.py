@@ -42,9 +42,9 @@ def substring_join(arguments: DataFrame, texts: DataFrame, scope: str, argument:
     rarest = (
         arguments.where(F.col(argument) != "")
         .select(scope, argument, F.explode(argument_grams(F.col(argument))).alias("_gram"))
-        .join(frequency, [scope, "_gram"])
+        .join(frequency, [scope, "_gram"], "left")
         .groupBy(scope, argument)
-        .agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
+        .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
     )
     return (
         rarest.join(listed, [scope, "_gram"])
@@ -64,8 +64,11 @@ def pattern_join(arguments: DataFrame, texts: DataFrame, scope: str, argument: s
     plain = substring_join(arguments.where(~is_pattern), texts, scope, argument, text)
     tried = (
         arguments.where(is_pattern)
-        .join(texts, scope)
-        .where(F.col(text).rlike(F.col(argument)))
-        .select(scope, argument, text)
+        .alias("a")
+        .join(
+            texts.alias("t"),
+            (F.col(f"a.{scope}") == F.col(f"t.{scope}")) & F.rlike(F.col(f"t.{text}"), F.col(f"a.{argument}")),
+        )
+        .select(f"a.{scope}", argument, text)
     )
     return plain.unionByName(tried)

@@ -11,20 +11,21 @@ from mealgrid.constants import (
     UNKNOWN_COST_TIER,
     UNKNOWN_LOCATION,
 )
-from mealgrid.functions.text import title_case, ws_trim
-
-# Fixed patterns: texts read as a float (digit groups may carry single
-# underscores), as infinity, and as not-a-number.
-FLOAT_TEXT = (
-    r"^[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)"
-    r"([eE][+-]?[0-9](_?[0-9])*)?$"
-)
-INFINITY_TEXT = r"^[+-]?(inf|infinity)$"
-NAN_TEXT = r"^[+-]?nan$"
-PLAIN_NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
+from mealgrid.functions.text import title_case
+
+# Fixed patterns: a float as text (digit groups may carry single underscores)
+# with white space around it; the same before a slash, unless the whole text is
+# a marker; a plain number. The sign of NaN stays outside the group.
+SPACE = r"[\s\x1c-\x1f]*"
+DIGITS = r"[0-9](?:_?[0-9])*"
+NUMBER = rf"[+-]?(?:(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:e[+-]?{DIGITS})?|inf|infinity)"
+FLOAT = rf"(?:[+-](?=nan))?({NUMBER}|nan)"
+MARKER = "|".join(RATING_MARKERS)
+FLOAT_TEXT = rf"(?iU)^{SPACE}{FLOAT}{SPACE}$"
+RATING_TEXT = rf"(?isU)^{SPACE}(?!(?:{MARKER}){SPACE}$){FLOAT}{SPACE}(?:/.*)?$"
+NUMBER_TEXT = rf"(?iU)^{SPACE}([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?){SPACE}$"
 # Everything a cost text may lose: all but decimal digits and the point.
-NOT_COST = r"[^\p{Nd}.]"
+NOT_COST = r"[^\p{Nd}.]+"
 
 
 def parse_cost(c: Column) -> Column:
@@ -54,35 +55,43 @@ def budget_range(tier: Column, tiers=BUDGET_TIERS) -> Column:
     return out
 
 
+def _to_double(matched: Column) -> Column:
+    """A matched float text as a number; no match ('') gives null."""
+    return F.replace(matched, F.lit("_"), F.lit("")).try_cast("double")
+
+
 def float_text(c: Column) -> Column:
     """The float a text stands for, null if it is none (NaN text gives NaN)."""
-    low = F.lower(c)
-    return (
-        F.when(c.rlike(FLOAT_TEXT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(low.rlike(INFINITY_TEXT), F.when(low.startswith("-"), float("-inf")).otherwise(float("inf")))
-        .when(low.rlike(NAN_TEXT), float("nan"))
-    )
+    return _to_double(F.regexp_extract(c, FLOAT_TEXT, 1))
 
 
-def parse_rating(c: Column) -> Column:
-    """``4.1``, ``4.1/5`` or a marker to a rating in [0, 5]; null if there is none.
+def rating_number(c: Column) -> Column:
+    """The number in front of a rating text (``4.1``, ``4.1/5``), not yet clamped.
 
-    The part after a slash is ignored. NaN that is not a bare marker clamps to
-    the upper bound, as the original order of comparisons has it.
+    The part after a slash is ignored. A bare ``nan`` is one of the markers for
+    "no rating"; a signed one, or one before a slash, is a number.
     """
-    value = ws_trim(c)
-    number = float_text(ws_trim(F.split_part(value, F.lit("/"), F.lit(1))))
-    # least/greatest order NaN last, so NaN clamps to the maximum.
-    clamped = F.greatest(F.lit(MIN_RATING), F.least(F.lit(MAX_RATING), number))
-    return F.when(number.isNotNull() & ~F.lower(value).isin(*RATING_MARKERS), clamped)
-
-
-def parse_votes(c: Column) -> Column:
-    """A count; text that is no number gives 0, a fraction is cut off."""
-    value = ws_trim(c)
-    whole = F.when(value.rlike(INTEGER_TEXT), value.try_cast("bigint"))
-    number = F.when(value.rlike(PLAIN_NUMBER_TEXT), value.try_cast("double").try_cast("bigint"))
-    return F.coalesce(whole, number, F.lit(0).cast("bigint"))
+    return _to_double(F.regexp_extract(c, RATING_TEXT, 1))
+
+
+def clamp_rating(number: Column) -> Column:
+    """Into [0, 5]; NaN becomes the maximum, null stays null.
+
+    Give it a column, not an expression: it looks at the number several times.
+    """
+    return F.when(number <= MIN_RATING, F.lit(MIN_RATING)).otherwise(
+        F.when(number > MAX_RATING, F.lit(MAX_RATING)).otherwise(number)
+    )
+
+
+def number_text(c: Column) -> Column:
+    """The plain number a count text consists of, '' if it is none."""
+    return F.regexp_extract(c, NUMBER_TEXT, 1)
+
+
+def whole_number(matched: Column) -> Column:
+    """A matched plain number as a count, its fraction cut off; null for ''."""
+    return F.coalesce(matched.try_cast("bigint"), matched.try_cast("double").try_cast("bigint"))
 
 
 def locality(url: Column, strict: bool = False) -> Column:

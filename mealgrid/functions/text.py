@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from mealgrid.constants import WHITESPACE
 
-# A run of cased letters, or a run of anything else.
-CASE_RUNS = r"([\p{IsLowercase}\p{IsUppercase}\p{Lt}]+|[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]+)"
+# A place where a letter follows something that is neither letter nor blank.
+WORD_START = (
+    r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt} ])(?=[\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
+)
+MARK = "\x01 "
 
 
 def ws_trim(c: Column) -> Column:
@@ -17,12 +20,10 @@ def ws_trim(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Capitalise each run of letters: ``dal's 1st`` becomes ``Dal'S 1St``.
 
-    ``initcap`` starts a word only after white space; it is used as is for
-    values made of plain letters and blanks, where the two agree.
+    ``initcap`` starts words at blanks only, so a marked blank is put before
+    every other run of letters and taken out again.
     """
-    runs = F.regexp_extract_all(c, F.lit(CASE_RUNS), F.lit(1))
-    by_run = F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
-    return F.when(c.rlike("^[A-Za-z ]*$"), F.initcap(c)).otherwise(by_run)
+    return F.replace(F.initcap(F.regexp_replace(c, WORD_START, MARK)), F.lit(MARK), F.lit(""))
 
 
 def city_slug(c: Column) -> Column:

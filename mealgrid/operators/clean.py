@@ -11,7 +11,14 @@ from mealgrid.constants import (
     UNKNOWN_CUISINE,
     UNKNOWN_LOCATION,
 )
-from mealgrid.functions.parse import budget_tier, parse_cost, parse_rating, parse_votes
+from mealgrid.functions.parse import (
+    budget_tier,
+    clamp_rating,
+    number_text,
+    parse_cost,
+    rating_number,
+    whole_number,
+)
 from mealgrid.functions.text import city_slug, title_case, ws_trim
 from mealgrid.operators.dedup import first_wins
 from mealgrid.schemas import CLEAN_FIELDS, REQUIRED_LISTING_COLUMNS, require_columns
@@ -42,35 +49,44 @@ def named_rows(raw: DataFrame) -> DataFrame:
     return raw.withColumn("name", ws_trim(F.col("name"))).where(F.col("name") != "")
 
 
-def typed_rows(raw: DataFrame, tiers=BUDGET_TIERS, unknown_tier=UNKNOWN_COST_TIER) -> DataFrame:
-    """All cleaning expressions, one row in and one row out (rating may be null)."""
+def typed_rows(
+    raw: DataFrame, tiers=BUDGET_TIERS, unknown_tier=UNKNOWN_COST_TIER, rated_only: bool = False
+) -> DataFrame:
+    """All cleaning expressions; ``rated_only`` drops the rows without a rating.
+
+    In two steps: values that the second step looks at more than once are
+    columns of the first, so they are worked out once. The rating is tested
+    between the two, since a filter moved below a projection takes a copy of
+    every expression it uses with it.
+    """
     require_columns(raw, REQUIRED_LISTING_COLUMNS)
     have = set(raw.columns)
-    text = {
+    first = {
         "cuisines": F.lower(ws_trim(F.coalesce("cuisines", F.lit(UNKNOWN_CUISINE)))),
-        "location": ws_trim(F.coalesce("location", F.lit(UNKNOWN_LOCATION))),
-        "city": ws_trim(F.coalesce("city", F.lit(""))),
+        "location": title_case(ws_trim(F.coalesce("location", F.lit(UNKNOWN_LOCATION)))),
+        "city": title_case(ws_trim(F.coalesce("city", F.lit("")))),
         "average_cost_for_two": parse_cost(F.col("average_cost_for_two"))
         if "average_cost_for_two" in have
         else F.lit(0.0),
-        "aggregate_rating": parse_rating(F.col("aggregate_rating"))
+        "aggregate_rating": rating_number(F.col("aggregate_rating"))
         if "aggregate_rating" in have
         else F.lit(0.0),
-        "votes": parse_votes(F.col("votes")) if "votes" in have else F.lit(0).cast("bigint"),
+        "votes": number_text(F.col("votes")) if "votes" in have else F.lit("0"),
     }
     for optional in ("image_url", "listing_url", "address"):
         if optional not in have:
-            text[optional] = F.lit("")
-    out = raw.withColumns(text).withColumns(
-        {
-            "location": title_case(F.col("location")),
-            "city": title_case(F.col("city")),
-            "budget_category": budget_tier(F.col("average_cost_for_two"), tiers, unknown_tier),
-        }
-    )
+            first[optional] = F.lit("")
+    second = {
+        "budget_category": budget_tier(F.col("average_cost_for_two"), tiers, unknown_tier),
+        "aggregate_rating": clamp_rating(F.col("aggregate_rating")),
+        "votes": F.coalesce(whole_number(F.col("votes")), F.lit(0).cast("bigint")),
+    }
     if "city_slug" not in have:
-        out = out.withColumn("city_slug", city_slug(F.col("city")))
-    return out
+        second["city_slug"] = city_slug(F.col("city"))
+    out = raw.withColumns(first)
+    if rated_only:
+        out = out.where(F.col("aggregate_rating").isNotNull())
+    return out.withColumns(second)
 
 
 def clean_catalogue(
@@ -88,7 +104,7 @@ def clean_catalogue(
     """
     require_columns(raw, (*REQUIRED_LISTING_COLUMNS, *order))
     named = _observed(named_rows(_observed(raw, metrics and metrics.received)), metrics and metrics.named)
-    rated = typed_rows(named, tiers, unknown_tier).where(F.col("aggregate_rating").isNotNull())
+    rated = typed_rows(named, tiers, unknown_tier, rated_only=True)
     rated = _observed(rated.select(*CLEAN_FIELDS, *order), metrics and metrics.rated)
     kept = first_wins(rated, ["city_slug", "name", "city"], order)
     return _observed(kept, metrics and metrics.kept)

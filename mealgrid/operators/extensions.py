@@ -207,7 +207,7 @@ def guarded_replies(replies: DataFrame, answers: DataFrame, keep: int = RECOMMEN
     )
 
     def corrected(r):
-        pick = F.filter("picks", lambda p: p["name"] == r["restaurant_name"])[0]
+        pick = F.get(F.filter("picks", lambda p: p["name"] == r["restaurant_name"]), F.lit(0))
         return r.withField("rating", pick["aggregate_rating"]).withField(
             "estimated_cost", cost_label(pick["average_cost_for_two"])
         )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mealgrid.constants import MAX_PAGES_PER_CITY
-from mealgrid.functions.parse import INTEGER_TEXT, PLAIN_NUMBER_TEXT, float_text, locality
+from mealgrid.functions.parse import float_text, locality, number_text, whole_number
 from mealgrid.functions.text import city_display, ws_trim
 from mealgrid.operators.dedup import first_wins_ignoring_case
 from mealgrid.schemas import LISTING_BLOCK
@@ -39,8 +39,8 @@ def blocks(pages: DataFrame) -> DataFrame:
         .select("city_slug", "page_no", F.posexplode(bodies).alias("block_no", "body"))
         .where(F.col("body") != "")
         .select("city_slug", "page_no", "block_no", parsed.alias("parsed"))
-        .where((F.size("parsed") == 1) & (F.col("parsed")[0]["@type"] == "ItemList"))
-        .select("city_slug", "page_no", "block_no", F.col("parsed")[0]["itemListElement"].alias("items"))
+        .where((F.size("parsed") == 1) & (F.get("parsed", F.lit(0))["@type"] == "ItemList"))
+        .select("city_slug", "page_no", "block_no", F.get("parsed", F.lit(0))["itemListElement"].alias("items"))
     )
 
 
@@ -52,13 +52,8 @@ def listing_rows(pages: DataFrame, base_url: str, strict_locality: bool = False)
     """
     item = F.col("entry.item")
     rated, reviewed = item["aggregateRating"]["ratingValue"], item["aggregateRating"]["reviewCount"]
-    rating = F.when(rated.isNull(), 0.0).otherwise(float_text(ws_trim(rated)))
-    count_text = ws_trim(reviewed)
-    count = (
-        F.when(reviewed.isNull(), F.lit(0).cast("bigint"))
-        .when(count_text.rlike(INTEGER_TEXT), count_text.try_cast("bigint"))
-        .when(count_text.rlike(PLAIN_NUMBER_TEXT), count_text.try_cast("double").try_cast("bigint"))
-    )
+    rating = F.when(rated.isNull(), 0.0).otherwise(float_text(rated))
+    count = F.when(reviewed.isNull(), F.lit(0).cast("bigint")).otherwise(whole_number(number_text(reviewed)))
     url = _or_blank(item["url"])
     return (
         blocks(pages)

@@ -18,6 +18,7 @@ from mealgrid.operators.requests import ASK
 from mealgrid.operators.rollup import ranking
 from mealgrid.operators.substring_join import pattern_join, substring_join
 from mealgrid.schemas import CLEAN_FIELDS
+from mealgrid.session import stage
 
 POOL_CUT = ["tier", "cost_known"]
 POOL = ["city_slug", "place", "dish"]
@@ -81,12 +82,15 @@ def _pools(cells: DataFrame, asks: DataFrame, order, k: int, patterns: bool) ->
 def ask_pools(cells: DataFrame, asks: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
     """Distinct asks with ``pool`` (any dish), ``dish_pool`` and ``has_city``.
 
-    ``asks`` may carry further columns next to the four of an ask.
+    ``asks`` may carry further columns next to the four of an ask. Asks and
+    pools are read several times, so each is written once; from then on the
+    planner knows their sizes.
     """
-    pools = _pools(cells, asks.select(*ASK), order, k, patterns)
+    asks = stage(asks, "asks")
+    pools = stage(_pools(cells, asks.select(*ASK), order, k, patterns), "pools")
     plain = pools.where(F.col("dish") == "").drop("dish")
     dished = pools.where(F.col("dish") != "").withColumnRenamed("pool", "dish_pool")
-    city = plain.where(F.col("place") == "").select("city_slug", F.lit(True).alias("has_city"))
+    city = cells.select("city_slug", F.lit(True).alias("has_city")).distinct()
     return (
         asks.join(plain, ["city_slug", "place"], "left")
         .join(dished, POOL, "left")

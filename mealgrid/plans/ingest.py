@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from mealgrid.constants import MAX_PAGES_PER_CITY, SNAPSHOT_TTL_HOURS
 from mealgrid.operators.clean import clean_catalogue
 from mealgrid.operators.extract import LISTING_ORDER, extract_listings
-from mealgrid.sources.snapshots import fresh, read_snapshot_table, refresh, resolve
+from mealgrid.sources.snapshots import fresh, read_snapshot_table, refresh, resolve, write_snapshot
+from mealgrid.session import stage
 
 
 def refresh_from_pages(
@@ -25,8 +26,20 @@ def load_catalogue(
     now: datetime,
     ttl_hours: float | None = SNAPSHOT_TTL_HOURS,
     max_pages: int = MAX_PAGES_PER_CITY,
+    save: bool = False,
 ) -> DataFrame:
-    """Clean listings of ``cities``: fresh snapshots, else their pages."""
+    """Clean listings of ``cities``: fresh snapshots, else their pages.
+
+    ``save`` also keeps what was extracted as new snapshots.
+    """
     table = fresh(read_snapshot_table(cities.sparkSession, path), "snapshot_ts", now, ttl_hours)
-    raw = resolve(cities, table, pages, lambda p: extract_listings(p, base_url, max_pages))
-    return clean_catalogue(raw, LISTING_ORDER)
+
+    def extract(missing: DataFrame) -> DataFrame:
+        listings = extract_listings(missing, base_url, max_pages)
+        if not save:
+            return listings
+        listings = stage(listings, "extracted")
+        write_snapshot(listings, path, now)
+        return listings
+
+    return clean_catalogue(resolve(cities, table, pages, extract), LISTING_ORDER)

@@ -6,6 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A scan task's share of bytes; what the file sources aim at by default.
+TASK_BYTES = 128 * 1024 * 1024
+
+
 def local_session(cores="8", app="mealgrid", **conf) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (
@@ -23,6 +27,16 @@ def local_session(cores="8", app="mealgrid", **conf) -> SparkSession:
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Session settings that matter for wide projections of text expressions.
+
+    The JVM does not compile methods above 8000 bytes. With this limit a stage
+    that would need one is run as separate, compiled projections instead of
+    one interpreted method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,3 +61,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{staging_root(spark)}/mealgrid/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan over all cores.
+
+    A file with one row group is read by one task, and all work up to the
+    first shuffle stays in it. Inputs with enough bytes for every core are
+    returned as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * TASK_BYTES else df

@@ -2,12 +2,13 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.constants import SNAPSHOT_FILE_SUFFIX, SNAPSHOT_TTL_HOURS
 from mealgrid.functions.text import city_slug
-from mealgrid.schemas import RAW_FIELDS, RAW_SCHEMA
+from mealgrid.schemas import RAW_FIELDS
 from mealgrid.session import stage
 
 
@@ -15,7 +16,9 @@ def fresh(df: DataFrame, stamp: str, now: datetime, ttl_hours: float | None = SN
     """Rows whose ``stamp`` is at most ``ttl_hours`` old; ``None`` skips the check."""
     if ttl_hours is None:
         return df
-    return df.where(F.col(stamp) >= F.lit(now - timedelta(hours=ttl_hours)))
+    # As text, cast to the column's type: no session time zone comes in between.
+    oldest = F.lit(str(now - timedelta(hours=ttl_hours))).cast(df.schema[stamp].dataType)
+    return df.where(F.col(stamp) >= oldest)
 
 
 def read_json_snapshots(
@@ -50,7 +53,7 @@ def read_json_snapshots(
         fresh(files, "file_modification_time", now, ttl_hours)
         .select(slug.alias("city_slug"), parsed.alias("parsed"))
         .where(F.size("parsed") == 1)
-        .select("city_slug", F.posexplode(F.col("parsed")[0]).alias("item_no", "row"))
+        .select("city_slug", F.posexplode(F.get("parsed", F.lit(0))).alias("item_no", "row"))
         .select(
             "city_slug",
             F.lit(0).alias("page_no"),
@@ -62,10 +65,15 @@ def read_json_snapshots(
 
 
 def read_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet table kept by ``write_snapshot``."""
+    """The Parquet table kept by ``write_snapshot``; empty if none was written yet."""
     order = "page_no int, block_no int, item_no int, snapshot_ts timestamp, city_slug string"
-    columns = ", ".join(f"{f.name} string" for f in RAW_SCHEMA) + ", " + order
-    return spark.read.schema(columns).parquet(path)
+    columns = ", ".join(f"{f} string" for f in RAW_FIELDS) + ", " + order
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
 
 
 def write_snapshot(listings: DataFrame, path: str, now: datetime) -> DataFrame:

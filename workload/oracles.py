@@ -388,10 +388,10 @@ FROM valid LEFT JOIN reached USING (request_id) LEFT JOIN sizes USING (request_i
     "ext_guarded_replies": f"""{BATCH},
 kept AS (
   SELECT request_id, name, rating, cost,
-    row_number() OVER (PARTITION BY request_id ORDER BY CASE rank WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE rank END) - 1 AS at
-  FROM picked WHERE rank <= 7 QUALIFY at < 5
+    row_number() OVER (PARTITION BY request_id ORDER BY CASE rank WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE rank END) - 1 AS place
+  FROM picked WHERE rank <= 7 QUALIFY place < 5
 )
-SELECT request_id, CAST(at AS INTEGER) AS position, name AS restaurant_name, rating,
+SELECT request_id, CAST(place AS INTEGER) AS position, name AS restaurant_name, rating,
   CASE WHEN cost > 0 THEN '₹' || CAST(trunc(cost) AS BIGINT) || ' for two' ELSE 'Price N/A' END AS estimated_cost FROM kept""",
     "ext_voted_only": f"WITH {CLEAN} SELECT city_slug, count(*) AS restaurants FROM clean WHERE votes > 0 GROUP BY 1",
     "ext_located_only": f"WITH {RAW} SELECT city, count(*) AS restaurants FROM raw WHERE trim(location) <> '' GROUP BY 1",

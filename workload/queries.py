@@ -133,12 +133,14 @@ def recommend_rejected(spark, sf_dir):
 
 
 def recommend_patterns(spark, sf_dir):
-    """Arguments as regular expressions: each brand number asked as a pattern."""
+    """Arguments as regular expressions: brands and cuisines are asked as patterns."""
     catalog = catalogue(spark, sf_dir)
     build = Recommender.build(catalog, ORDER, patterns=True)
     asked = views.requests(spark, sf_dir).withColumns(
         {
-            "location": F.when(F.col("location").startswith("B"), F.concat("location", F.lit("[0-9]?$"))),
+            "location": F.when(
+                F.col("location").startswith("B"), F.concat("location", F.lit("[0-9]?$"))
+            ).otherwise(F.col("location")),
             "cuisine": F.when(F.col("cuisine") != "", F.concat(F.lit("^"), F.lower("cuisine"))),
         }
     )

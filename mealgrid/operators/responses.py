@@ -15,7 +15,6 @@ FIELDS = (
     ("listing_url", "text", False),
 )
 ENVELOPE = "array<struct<recommendations: variant, summary: variant>>"
-INT_TEXT = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
 NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -31,38 +30,55 @@ def parse_reply(raw: Column) -> Column:
     return F.coalesce(_one_object(raw), F.when(inner != "", _one_object(inner)))
 
 
-def _kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+def _read_field(item: Column, name: str) -> Column:
+    """Text of a scalar field and its JSON type, in one struct."""
+    value = F.try_variant_get(item, f"$.{name}", "variant")
+    return F.struct(
+        value.try_cast("string").alias("text"),
+        F.coalesce(F.schema_of_variant(value), F.lit("VOID")).alias("type"),
+    ).alias(name)
 
 
-def _field(item: Column, name: str, kind: str) -> Column:
-    """One field, typed; null when absent or of the wrong kind."""
-    value = F.try_variant_get(item, f"$.{name}", "variant")
-    text = F.try_variant_get(item, f"$.{name}", "string")
-    type_name = _kind(value)
+def _typed_field(field: Column, kind: str) -> Column:
+    """The field's value; null when absent or of the wrong kind."""
+    text = field["text"]
     if kind == "text":
-        return F.when(type_name == "STRING", text)
+        return F.when(field["type"] == "STRING", text)
     number = F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
-    truth = F.try_variant_get(item, f"$.{name}", "boolean").cast("int")
+    truth = F.when(text == "true", 1.0).otherwise(0.0)
+    number = F.when(field["type"] == "BOOLEAN", truth).otherwise(number)
     if kind == "float":
-        return F.when(type_name == "BOOLEAN", truth.cast("double")).otherwise(number)
-    whole = F.when(
-        text.rlike(INT_TEXT) | (number == F.floor(number)), number.try_cast("bigint")
+        return number
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
+
+
+def _typed_item(fields: Column) -> Column:
+    return F.struct(
+        *[_typed_field(fields[name], kind).alias(name) for name, kind, _ in FIELDS],
+        *[fields[name]["type"].alias(f"{name}_type") for name, _, needed in FIELDS if not needed],
     )
-    return F.when(type_name == "BOOLEAN", truth.cast("bigint")).otherwise(whole)
 
 
-def _recommendation(item: Column) -> Column:
-    """A typed row with ``ok``: needed fields present, optional ones text or absent."""
-    values = {name: _field(item, name, kind) for name, kind, _ in FIELDS}
-    ok = F.lit(True)
-    for name, _, needed in FIELDS:
-        if needed:
-            ok = ok & values[name].isNotNull()
-        else:
-            raw_kind = _kind(F.try_variant_get(item, f"$.{name}", "variant"))
-            ok = ok & (values[name].isNotNull() | (raw_kind == "VOID"))
-    return F.struct(*[v.alias(n) for n, v in values.items()], ok.alias("ok"))
+def _acceptable(item: Column) -> Column:
+    """Needed fields are there, optional ones are text or absent."""
+    tests = [
+        item[name].isNotNull() if needed else item[name].isNotNull() | (item[f"{name}_type"] == "VOID")
+        for name, _, needed in FIELDS
+    ]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out & test
+    return out
+
+
+def _settled(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are worked out once, however often later steps use them.
+
+    A generator with one row: projections and filters above it are not merged
+    into it, so no copy of an expensive parse ends up in each of them.
+    """
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def read_replies(responses: DataFrame) -> DataFrame:
@@ -71,28 +87,29 @@ def read_replies(responses: DataFrame) -> DataFrame:
     An absent list is empty and an absent summary blank. One bad
     recommendation refuses the whole reply.
     """
-    reply = F.col("reply")
-    listed = F.when(
-        reply["recommendations"].isNotNull(),
-        F.try_variant_get(reply["recommendations"], "$", "array<variant>"),
-    ).otherwise(F.array().cast("array<variant>"))
-    summary = F.when(
-        reply["summary"].isNotNull(),
-        F.when(_kind(reply["summary"]) == "STRING", F.try_variant_get(reply["summary"], "$", "string")),
-    ).otherwise("")
-    typed = (
-        responses.withColumn("reply", parse_reply(F.col("raw")))
-        .withColumns({"items": listed, "summary": summary})
-        .withColumn("items", F.transform("items", _recommendation))
+    found = _settled(responses.select("request_id", "raw"), reply=parse_reply(F.col("raw")))
+    listed, said = F.col("reply.recommendations"), F.col("reply.summary")
+    items = F.when(listed.isNull(), F.array().cast("array<variant>")).otherwise(
+        F.try_variant_get(listed, "$", "array<variant>")
+    )
+    fields = F.transform(items, lambda r: F.struct(*[_read_field(r, name) for name, _, _ in FIELDS]))
+    summary = F.when(said.isNull(), "").otherwise(
+        F.when(F.schema_of_variant(said) == "STRING", said.try_cast("string"))
+    )
+    typed = _settled(
+        found.select("request_id", "raw", F.col("reply").isNotNull().alias("parsed"), fields.alias("fields"), summary.alias("summary")),
+        items=F.transform("fields", _typed_item),
     )
     reason = (
-        F.when(reply.isNull(), "no JSON object")
+        F.when(~F.col("parsed"), "no JSON object")
         .when(F.col("items").isNull(), "recommendations is no list")
-        .when(F.exists("items", lambda r: ~r["ok"]), "bad recommendation")
+        .when(F.exists("items", lambda r: ~_acceptable(r)), "bad recommendation")
         .when(F.col("summary").isNull(), "summary is no text")
     )
     plain = F.transform("items", lambda r: F.struct(*[r[n].alias(n) for n, _, _ in FIELDS]))
-    return typed.select("request_id", "raw", plain.alias("recommendations"), "summary", reason.alias("reason"))
+    return _settled(typed, reason=reason, recommendations=plain).select(
+        "request_id", "raw", "recommendations", "summary", "reason"
+    )
 
 
 def accepted_replies(responses: DataFrame) -> DataFrame:

@@ -17,9 +17,22 @@ PER_PAGE = 40
 MAX_PAGES = 100000
 
 
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_returnflag string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+    "pages": "page_id bigint, url string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The columns in use of a given table; the schema is declared, not inferred."""
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Session for local runs, and the staging of intermediate tables."""
 
+import functools
 import tempfile
 import uuid
 
@@ -37,6 +38,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="mealgrid-")
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,9 +50,7 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder")
-    root = tempfile.mkdtemp(prefix="mealgrid-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

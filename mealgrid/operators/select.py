@@ -144,13 +144,30 @@ def with_listings(ranked: DataFrame, cells: DataFrame, key, order=("ord",)) -> D
     )
 
 
-def ask_lists(cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
-    """One row per distinct ask: ``has_city`` and its ranked ``picks``."""
+def ranked_asks(cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
+    """One row per distinct ask: ``has_city`` and ``ranked``, the short array of its best rows."""
     asks = requests.select(*ASK).distinct()
-    ranked = ask_pools(cells, asks, order, k, patterns).select(
-        *ASK, "has_city", cascade(k).alias("ranked")
+    return ask_pools(cells, asks, order, k, patterns).select(*ASK, "has_city", cascade(k).alias("ranked"))
+
+
+def _rated(rows: str) -> Column:
+    return F.filter(rows, lambda r: r["aggregate_rating"] >= F.col("min_rating"))
+
+
+def _with_status(requests: DataFrame) -> DataFrame:
+    status = (
+        F.when(~F.col("has_city"), "no_data").when(F.col("total_matches") == 0, "no_match").otherwise("ok")
     )
-    return with_listings(ranked, cells, ASK, order)
+    return requests.withColumn("status", status).drop("has_city")
+
+
+def request_status(
+    cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False
+) -> DataFrame:
+    """Valid requests with ``total_matches`` and ``status``; listings are not looked up."""
+    ranked = ranked_asks(cells, requests, order, k, patterns)
+    total = F.coalesce(F.greatest(F.size(_rated("ranked")), F.lit(0)), F.lit(0)).cast("bigint")
+    return _with_status(requests.join(ranked, ASK, "left").withColumn("total_matches", total)).drop("ranked")
 
 
 def answer_requests(
@@ -161,20 +178,9 @@ def answer_requests(
     ``requests`` comes from ``valid_requests``; ``patterns`` reads location and
     cuisine arguments as regular expressions instead of plain text.
     """
-    lists = ask_lists(cells, requests, order, k, patterns)
-    rated = F.filter("picks", lambda p: p["aggregate_rating"] >= F.col("min_rating"))
-    return (
-        requests.join(lists, ASK, "left")
-        .withColumn("picks", rated)
-        .withColumn("total_matches", F.size("picks").cast("bigint"))
-        .withColumn(
-            "status",
-            F.when(~F.col("has_city"), "no_data")
-            .when(F.col("total_matches") == 0, "no_match")
-            .otherwise("ok"),
-        )
-        .drop("has_city")
-    )
+    lists = with_listings(ranked_asks(cells, requests, order, k, patterns), cells, ASK, order)
+    matched = requests.join(lists, ASK, "left").withColumn("picks", _rated("picks"))
+    return _with_status(matched.withColumn("total_matches", F.size("picks").cast("bigint")))
 
 
 def candidates(answers: DataFrame) -> DataFrame:

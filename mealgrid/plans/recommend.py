@@ -9,7 +9,7 @@ from mealgrid.operators.prompts import prompt_table
 from mealgrid.operators.requests import valid_requests
 from mealgrid.operators.responses import accepted_replies, respond
 from mealgrid.operators.rollup import top_cells
-from mealgrid.operators.select import answer_requests
+from mealgrid.operators.select import answer_requests, request_status
 from mealgrid.session import stage
 
 
@@ -34,6 +34,10 @@ class Recommender:
         """Valid requests with status, match count and ranked picks."""
         return answer_requests(self.cells, valid_requests(requests), self.order, self.k, self.patterns)
 
+    def status(self, requests: DataFrame) -> DataFrame:
+        """Valid requests with status and match count only."""
+        return request_status(self.cells, valid_requests(requests), self.order, self.k, self.patterns)
+
     def prompts(self, requests: DataFrame) -> DataFrame:
         return prompt_table(self.answer(requests))
 

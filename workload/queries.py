@@ -125,7 +125,8 @@ def recommend_batch(spark, sf_dir):
 
 
 def recommend_status(spark, sf_dir):
-    return answers(spark, sf_dir).select("request_id", "status", "total_matches")
+    got = recommender(spark, sf_dir).status(views.requests(spark, sf_dir))
+    return got.select("request_id", "status", "total_matches")
 
 
 def recommend_rejected(spark, sf_dir):

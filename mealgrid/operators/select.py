@@ -90,7 +90,7 @@ def ask_pools(cells: DataFrame, asks: DataFrame, order=("ord",), k=MAX_CANDIDATE
     pools = stage(_pools(cells, asks.select(*ASK), order, k, patterns), "pools")
     plain = pools.where(F.col("dish") == "").drop("dish")
     dished = pools.where(F.col("dish") != "").withColumnRenamed("pool", "dish_pool")
-    city = cells.select("city_slug", F.lit(True).alias("has_city")).distinct()
+    city = plain.where(F.col("place") == "").select("city_slug", F.lit(True).alias("has_city"))
     return (
         asks.join(plain, ["city_slug", "place"], "left")
         .join(dished, POOL, "left")
@@ -125,7 +125,9 @@ def with_listings(ranked: DataFrame, cells: DataFrame, key, order=("ord",)) -> D
     """Replace the short ``ranked`` array by ``picks``, with full listing columns.
 
     The array is taken apart, joined to the listings on their order key, and
-    put together again: at most ``k`` elements per key.
+    put together again: at most ``k`` elements per key. The result is written:
+    joined to the requests it is a plain table, so that a list which a large
+    part of them shares can be broadcast, or split as a skewed partition.
     """
     fields = [c for c in CLEAN_FIELDS if c != "city_slug"]
     payload = cells.select("city_slug", *order, *fields, F.lit(True).alias("_listed"))
@@ -134,7 +136,7 @@ def with_listings(ranked: DataFrame, cells: DataFrame, key, order=("ord",)) -> D
         *key, *keep, (F.col("_at") + 1).cast("bigint").alias("_rank"), *[F.col("_row")[c].alias(c) for c in order]
     )
     pick = F.struct(F.col("_rank").alias("rank"), *fields, *order)
-    return (
+    lists = (
         rows.join(payload, ["city_slug", *order], "left")
         .groupBy(*key)
         .agg(
@@ -142,6 +144,7 @@ def with_listings(ranked: DataFrame, cells: DataFrame, key, order=("ord",)) -> D
             F.array_sort(F.collect_list(F.when(F.col("_listed"), pick))).alias("picks"),
         )
     )
+    return stage(lists, "lists")
 
 
 def ranked_asks(cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:

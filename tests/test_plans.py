@@ -68,3 +68,38 @@ def test_selection_does_not_depend_on_partitioning(spark):
         assert run(1) == run(64)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_request_that_dominates_the_batch_is_split(spark):
+    """One ask holds nearly all requests, and nothing may be broadcast."""
+    from mealgrid.plans.recommend import Recommender
+    from workload.views import requests
+
+    recommender = Recommender.build(clean_catalogue(raw_listings(spark, SF), ORDER), ORDER)
+    asked = requests(spark, SF)
+    hot = spark.range(400000).select(
+        F.xxhash64("id").alias("request_id"),
+        F.lit("NATION_3").alias("city"),
+        F.lit("low").alias("budget"),
+        F.lit(0.0).alias("min_rating"),
+        *[F.lit(None).cast("string").alias(c) for c in ("location", "cuisine", "additional_preferences")],
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        answered = recommender.answer(asked.unionByName(hot)).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.xxhash64("request_id", "status"))
+        )
+        assert answered.collect()[0]["n"] > 400000
+        final = plan(answered).split("Initial Plan")[0]
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in final

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import hamming, html, licenses, mixing, packing, quality, secrets, warc
+from mealgrid.llm import hamming, html, jaccard, licenses, mixing, packing, quality, secrets, warc
 from mealgrid.llm.common import table
 from mealgrid.session import stage, staging_root
 
@@ -62,6 +62,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -73,5 +77,6 @@ QUERIES = {
         op6_pack_sequences,
         op7_html_main_text,
         op9_license_scan,
+        op10_jaccard_join,
     )
 }

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import hamming, html, jaccard, licenses, mixing, packing, quality, secrets, warc
+from mealgrid.llm import hamming, html, jaccard, licenses, mixing, packing, quality, secrets, substrings, warc
 from mealgrid.llm.common import table
 from mealgrid.session import stage, staging_root
 
@@ -58,6 +58,10 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op5_quality_rules,
         op6_pack_sequences,
         op7_html_main_text,
+        op8_substring_dedup,
         op9_license_scan,
         op10_jaccard_join,
     )

@@ -22,13 +22,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def packed(df: DataFrame, *extra: Column) -> DataFrame:
-    """Every row as one struct ``_row`` beside named helper columns.
+def packed(df: DataFrame, *extra: Column, keep: list[str] | None = None) -> DataFrame:
+    """Every row, or the columns to keep of it, as one struct ``_row`` beside named helper columns.
 
     Helper columns cannot clash with the columns of the input, whatever they
     are called; ``unpacked`` gives the rows back.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *extra)
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row"), *extra)
 
 
 def unpacked(df: DataFrame) -> DataFrame:

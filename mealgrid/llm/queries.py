@@ -18,7 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.BlobLedger(spark, scratch(spark, "ledger")).update(docs)
-    rows = ledger.attach(docs)
+    rows = ledger.attach(docs, keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return rows.select(

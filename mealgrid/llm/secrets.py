@@ -130,9 +130,9 @@ class BlobLedger:
         kept = mine.select("blob", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans"))
         return kept.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
-    def attach(self, versions: DataFrame, text: str = "text") -> DataFrame:
-        """All rows of ``versions`` as ``_row``, with the ``spans`` of their blobs."""
-        rows = packed(versions, blob_id(F.col(text)).alias("blob"))
+    def attach(self, versions: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        """All rows of ``versions`` as ``_row``, or the columns to keep of them, with the ``spans`` of their blobs."""
+        rows = packed(versions, blob_id(F.col(text)).alias("blob"), keep=keep)
         none = F.array().cast(f"array<{SPAN}>")
         return rows.join(self.findings(), "blob", "left").withColumn("spans", F.coalesce("spans", none))
 

@@ -79,8 +79,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_at", F.array_sort(_repeated("_q")))
     covered = F.transform("_at", lambda p, j: F.least(F.lit(5), F.coalesce(F.get(F.col("_at"), j + 1) - p, F.lit(5))))
     covered = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
-    return rows.select(
-        "_row",
+    counts = F.struct(
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         _count(F.col("_text"), r"[#*$%&|<>]").alias("n_symbols"),
@@ -90,6 +89,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         _count(F.col("_text"), r"\p{Lu}").alias("n_capitals"),
         _count(F.col("_text"), "!").alias("n_marks"),
     )
+    # A filter on counts must not be pushed below this point, where it would
+    # repeat the expressions of every step inside each other.
+    return rows.select("_row", F.inline(F.array(counts)))
 
 
 def features() -> dict[str, Column]:

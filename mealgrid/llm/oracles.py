@@ -1,3 +1,111 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins of the queries that SQL can express, for DuckDB.
 
-ORACLES: dict[str, str] = {}
+Positions of matches, calibration, mixing, packing and page structure are
+beyond it; those queries are tested against brute force.
+"""
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _urn(*parts: str) -> str:
+    text = " || chr(31) || ".join(f"coalesce(cast({p} as varchar), '')" for p in parts)
+    h = f"md5({text})"
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in cuts) + " || '>'"
+
+
+def _plain(html: str) -> str:
+    block = "p|div|h[1-6]|li|ul|ol|tr|table|br|article|section|nav|header|footer|aside|blockquote|pre|form"
+    out = rf"regexp_replace({html}, '(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>|<!--.*?-->', '', 'g')"
+    out = rf"regexp_replace({out}, '(?i)</?(?:{block})\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+    for name, char in named:
+        out = f"replace({out}, '{name}', '{char}')"
+    out = rf"regexp_replace({out}, '[ \t\r]+', ' ', 'g')"
+    return rf"trim(regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+OP2 = rf"""
+WITH source AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body, {_urn("'response'", 'page_id', 'url')} AS id FROM pages
+), made AS (
+  SELECT *, {_urn("'metadata'", 'id')} AS meta, {_urn("'conversion'", 'id')} AS conv, 'sha256:' || sha256(body) AS digest,
+    {_plain('body')} AS plain,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || octet_length(encode(body)) AS http
+  FROM source
+), records AS (
+  SELECT page_id, uri, id, digest, 'metadata' AS t, meta AS rid, 'application/warc-fields' AS kind,
+    'source-digest: ' || digest || chr(13) || chr(10) || 'derived: ' || conv || chr(13) || chr(10) || http || chr(13) || chr(10) AS b FROM made
+  UNION ALL
+  SELECT page_id, uri, id, digest, 'conversion', conv, 'text/plain; charset=utf-8', plain FROM made
+)
+SELECT page_id, t AS record_type, rid AS record_id, id AS refers_to, uri AS target_uri, digest AS payload_digest,
+  'sha256:' || sha256(b) AS block_digest, cast(octet_length(encode(b)) AS bigint) AS n_bytes,
+  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || t || chr(13) || chr(10) || 'WARC-Record-ID: ' || rid || chr(13) || chr(10)
+    || 'WARC-Refers-To: ' || id || chr(13) || chr(10) || 'WARC-Target-URI: ' || uri || chr(13) || chr(10)
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(b) || chr(13) || chr(10)
+    || 'Content-Type: ' || kind || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(b)) || chr(13) || chr(10) AS header,
+  b AS block
+FROM records
+"""
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+    cast(list_sum(list_transform(list_zip(q.bits, v.bits), lambda z: abs(z[1] - z[2]))) AS integer) AS distance
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), placed AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS integer) AS rank FROM pairs
+)
+SELECT query_id, rank, neighbor_id, distance FROM placed WHERE rank <= 10
+"""
+
+OP8 = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM places),
+firsts AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+hit AS (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > d),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n, coalesce(len(ps), 0) AS r, w, ps FROM docs LEFT JOIN lost USING (doc_id)
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM kept WHERE ps IS NOT NULL),
+rest AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p
+  GROUP BY words.doc_id
+)
+SELECT kept.doc_id, cast(n AS bigint) AS n_words, cast(r AS bigint) AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM kept LEFT JOIN rest ON kept.doc_id = rest.doc_id
+"""
+
+OP10 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM docs
+),
+grams AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams AS a JOIN grams AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+),
+reach AS (SELECT x, y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(root.y, doc_id)) AS class_id, coalesce(links.n, 0) AS n_links
+FROM docs LEFT JOIN root ON doc_id = root.x LEFT JOIN links ON doc_id = links.x
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_warc_derivatives": OP2,
+    "op4_hamming_top_k": OP4,
+    "op8_substring_dedup": OP8,
+    "op10_jaccard_join": OP10,
+}

@@ -43,7 +43,8 @@ ANCHOR = 10
 MOST = 4096
 SHARD = 400_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,13 +57,16 @@ class Prefixes:
     """Hashes of any runs of a document's words, from running polynomial sums."""
 
     def __init__(self, words: np.ndarray):
-        x, self.n = _mixed(words), len(words)
-        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, _BASE, "uint64")]), dtype="uint64")
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(x * self.powers[:-1], dtype="uint64")])
+        powers, self.back = (np.full(len(words) + 1, b, "uint64") for b in (_BASE, _INVERSE))
+        for p in (powers, self.back):
+            p[0] = 1
+            np.cumprod(p, out=p)
+        self.sums = np.zeros(len(words) + 1, "uint64")
+        np.cumsum(_mixed(words) * powers[:-1], out=self.sums[1:])
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        # Multiplied up to the same power, so that place does not matter.
-        return _mixed((self.sums[ends] - self.sums[starts]) * self.powers[self.n - starts]).view("int64")
+        # Multiplied back to the first power, so that place does not matter.
+        return _mixed((self.sums[ends] - self.sums[starts]) * self.back[starts]).view("int64")
 
 
 def _shifted(words: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,7 @@ def _shifted(words: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.
     x = _mixed(words)
     runs = np.zeros(len(x) - size + 1, "uint64")
     for k in range(size):
-        runs = runs * _BASE + x[k : k + len(runs)]
+        runs = runs * np.uint64(_BASE) + x[k : k + len(runs)]
     runs = _mixed(runs)
     width = window - size + 1
     # Least value of each window, by doubling; the leftmost of equal ones.

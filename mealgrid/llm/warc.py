@@ -117,5 +117,5 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 def write(records: DataFrame, path: str) -> None:
     """Records as WARC text, gzip-compressed, as many files as there are tasks."""
-    record = F.concat("header", F.lit(CRLF), "block", F.lit(CRLF + CRLF))
-    records.select(record.alias("value")).write.option("lineSep", "").option("compression", "gzip").text(path)
+    record = F.concat("header", F.lit(CRLF), "block", F.lit(CRLF))
+    records.select(record.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)

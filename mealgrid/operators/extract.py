@@ -1,6 +1,6 @@
 """Listings out of structured data embedded in listing pages."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mealgrid.constants import MAX_PAGES_PER_CITY
@@ -17,7 +17,7 @@ LISTING_ORDER = ("page_no", "block_no", "item_no")
 # passed over; only the body of a JSON-LD script lands in the group.
 SCRIPT_BODIES = (
     r"(?s)<!--.*?-->"
-    r"|<(?i:script)\b(?![^>]*\b(?i:type)\s*=\s*[\"']?application/ld\+json[\"'\s>])[^>]*>.*?</(?i:script)\s*>"
+    r"|<(?i:script)\b(?![^>]*\s(?i:type)\s*=\s*[\"']?application/ld\+json[\"'\s>])[^>]*>.*?</(?i:script)\s*>"
     r"|<(?i:script)\b[^>]*>(.*?)</(?i:script)\s*>"
 )
 
@@ -82,26 +82,28 @@ def listing_rows(pages: DataFrame, base_url: str, strict_locality: bool = False)
     )
 
 
-def page_prefix(listings: DataFrame, max_pages: int = MAX_PAGES_PER_CITY) -> DataFrame:
+def _within(df: DataFrame, max_pages: int | None) -> DataFrame:
+    page = F.col("page_no")
+    return df.where(page >= 1 if max_pages is None else page.between(1, max_pages))
+
+
+def page_prefix(listings: DataFrame, max_pages: int | None = MAX_PAGES_PER_CITY) -> DataFrame:
     """(city_slug, last_page): pages 1, 2, ... up to the first without listings.
 
-    Works on distinct page numbers, at most ``max_pages`` per city.
+    The last page is the least one whose next page is missing; both sides of
+    that anti-join are spread by city and page, and no city is one task. With
+    ``max_pages`` as ``None`` there is no limit.
     """
-    pages = (
-        listings.where(F.col("page_no").between(1, max_pages)).select("city_slug", "page_no").distinct()
-    )
-    nth = F.row_number().over(Window.partitionBy("city_slug").orderBy("page_no"))
-    return (
-        pages.withColumn("nth", nth)
-        .where(F.col("nth") == F.col("page_no"))
-        .groupBy("city_slug")
-        .agg(F.max("page_no").alias("last_page"))
-    )
+    pages = _within(listings, max_pages).select("city_slug", "page_no").distinct()
+    after = pages.select("city_slug", (F.col("page_no") - 1).alias("page_no"))
+    last = pages.join(after, ["city_slug", "page_no"], "left_anti").groupBy("city_slug").agg(F.min("page_no").alias("last_page"))
+    begun = pages.where(F.col("page_no") == 1).select("city_slug")
+    return last.join(begun, "city_slug", "left_semi")
 
 
-def kept_pages(listings: DataFrame, max_pages: int = MAX_PAGES_PER_CITY) -> DataFrame:
+def kept_pages(listings: DataFrame, max_pages: int | None = MAX_PAGES_PER_CITY) -> DataFrame:
     """Listings of the pages before each city's first gap."""
-    inside = listings.where(F.col("page_no").between(1, max_pages))
+    inside = _within(listings, max_pages)
     if max_pages == 1:
         return inside
     ends = stage(page_prefix(inside, max_pages), "ends")
@@ -113,7 +115,7 @@ def kept_pages(listings: DataFrame, max_pages: int = MAX_PAGES_PER_CITY) -> Data
 def extract_listings(
     pages: DataFrame,
     base_url: str,
-    max_pages: int = MAX_PAGES_PER_CITY,
+    max_pages: int | None = MAX_PAGES_PER_CITY,
     strict_locality: bool = False,
 ) -> DataFrame:
     """Pages to raw listings: extraction, page cut, first-wins dedup.
@@ -121,7 +123,7 @@ def extract_listings(
     With more than one page per city the extracted rows are written once, so
     that the pages themselves are read and parsed a single time.
     """
-    listings = listing_rows(pages.where(F.col("page_no") <= max_pages), base_url, strict_locality)
-    if max_pages > 1:
+    listings = listing_rows(_within(pages, max_pages), base_url, strict_locality)
+    if max_pages != 1:
         listings = stage(listings, "listings")
     return first_wins_ignoring_case(kept_pages(listings, max_pages), LISTING_ORDER, ["city_slug"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.constants import CITY_SLUGS, UNKNOWN_LOCATION
 from mealgrid.functions.text import city_display, city_slug, ws_trim
+from mealgrid.session import stage
 
 RATING_SUM = "decimal(13,12)"
 
@@ -57,18 +58,24 @@ def sorted_facet(facet: DataFrame) -> DataFrame:
 def city_stats(catalogue: DataFrame) -> DataFrame:
     """Listings, locations, cuisines and mean rating of every city.
 
-    Ratings are summed as decimals: the mean does not depend on row order.
+    Ratings are summed as decimals: the mean does not depend on row order. The
+    catalogue is read once, to a row per place and cuisine list, which is
+    written; locations and cuisines are both counted on that table.
     """
-    per_location = catalogue.groupBy("city_slug", "location").agg(
+    grouped = catalogue.groupBy("city_slug", "location", "cuisines").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("aggregate_rating").cast(RATING_SUM)).alias("rating_sum"),
     )
+    grouped = stage(grouped, "places")
+    per_location = grouped.groupBy("city_slug", "location").agg(
+        F.sum("rows").alias("rows"), F.sum("rating_sum").alias("rating_sum")
+    )
     base = per_location.groupBy("city_slug").agg(
         F.sum("rows").alias("total_restaurants"),
         F.count("location").alias("total_locations"),
         F.bround(F.sum("rating_sum").cast("double") / F.sum("rows"), 2).alias("average_rating"),
     )
-    tastes = cuisines(catalogue).groupBy("city_slug").agg(F.count(F.lit(1)).alias("total_cuisines"))
+    tastes = cuisines(grouped).groupBy("city_slug").agg(F.count(F.lit(1)).alias("total_cuisines"))
     return base.join(tastes, "city_slug", "left").select(
         "city_slug",
         "total_restaurants",

@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-# A scan task's share of bytes; what the file sources aim at by default.
-TASK_BYTES = 128 * 1024 * 1024
-
 
 def local_session(cores="8", app="mealgrid", **conf) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -67,15 +64,3 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small scan over all cores.
-
-    A file with one row group is read by one task, and all work up to the
-    first shuffle stays in it. Inputs with enough bytes for every core are
-    returned as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * TASK_BYTES else df

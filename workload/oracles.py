@@ -5,7 +5,7 @@ with the Spark jobs but the fixed values and the derivation of the inputs.
 """
 
 from mealgrid.operators.prompts import SYSTEM_PROMPT
-from workload.views import BASE_URL, MAX_PAGES, PER_PAGE
+from workload.views import BASE_URL, PER_PAGE
 
 
 def _title(x: str) -> str:
@@ -26,8 +26,8 @@ def _slug(x: str) -> str:
 
 RAW = r"""
 raw AS (
-  SELECT l_orderkey * 8 + l_linenumber AS ord,
-    l_partkey * 10000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS tie,
+  SELECT l_orderkey AS ord, l_linenumber AS line_no, l_partkey AS part_no, l_suppkey AS supp_no,
+    CAST(l_quantity AS BIGINT) AS pieces,
     CASE WHEN l_linenumber = 7 AND l_quantity = 50 THEN NULL
          WHEN l_linenumber = 7 AND l_quantity = 49 THEN ' ' || chr(9) || ' '
          WHEN l_linenumber = 4 THEN '  ' || p_name || ' #' || (l_partkey % 50) || chr(9)
@@ -72,7 +72,7 @@ TIER = """CASE WHEN cost <= 0 THEN 'medium' WHEN cost < 500 THEN 'low'
 
 TYPED = f"""
 typed AS (
-  SELECT ord, tie, {_trim("name")} AS name,
+  SELECT ord, line_no, part_no, supp_no, pieces, {_trim("name")} AS name,
     {_title(_trim("coalesce(city, '')"))} AS city,
     {_title(_trim("coalesce(location, 'Unknown')"))} AS location,
     address, lower({_trim("coalesce(cuisines, 'unknown')")}) AS cuisines,
@@ -85,7 +85,7 @@ CLEAN = f"""{RAW},
 clean AS (
   SELECT *, {_slug("city")} AS city_slug, {TIER} AS tier FROM typed
   WHERE name <> '' AND rating IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_slug("city")}, name, city ORDER BY ord, tie) = 1
+  QUALIFY row_number() OVER (PARTITION BY {_slug("city")}, name, city ORDER BY ord, line_no, part_no, supp_no, pieces) = 1
 )"""
 
 REQUESTS = """
@@ -134,7 +134,7 @@ flags AS (
   FROM joined JOIN priced USING (request_id) GROUP BY request_id, ub
 ),
 ranked AS (
-  SELECT j.*, row_number() OVER (PARTITION BY request_id ORDER BY rating DESC, votes DESC, ord, tie) AS rank
+  SELECT j.*, row_number() OVER (PARTITION BY request_id ORDER BY rating DESC, votes DESC, ord, line_no, part_no, supp_no, pieces) AS rank
   FROM joined j JOIN flags f USING (request_id)
   WHERE (NOT ub OR bm) AND (NOT uc OR cm) AND rating >= min_rating
   QUALIFY rank <= 15
@@ -153,13 +153,16 @@ LINE = """rank || '. ' || name || ' | Cuisine: ' || cuisines || ' | Rating: ' ||
 SOURCES = f"""
 sources AS (
   SELECT replace(lower(n_name), '_', '-') AS city_slug, n_nationkey,
-    CAST((p_partkey // 10) // {PER_PAGE} + 1 AS INTEGER) AS page_no,
-    ((p_partkey // 10) % {PER_PAGE}) * 100 + s_suppkey AS slot,
+    CAST(position // {PER_PAGE} + 1 AS INTEGER) AS page_no, position % {PER_PAGE} AS slot,
     p_partkey, p_name, p_size, s_suppkey,
     CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END || ' ' || (p_partkey % 5) AS name,
     CASE WHEN p_partkey % 29 = 6 THEN '' WHEN p_partkey % 31 = 7 THEN '/solo'
          ELSE '/x/' || replace(p_name, ' ', '-') || '-' || replace(lower(p_brand), '#', '-') || '/info' END AS url
-  FROM part JOIN supplier ON s_suppkey = p_partkey % 10 JOIN nation ON n_nationkey = s_nationkey
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY p_partkey, s_suppkey) - 1 AS position
+    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey
+    JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  )
 )"""
 
 
@@ -178,7 +181,7 @@ items AS (
 ),
 nth AS (
   SELECT city_slug, page_no, row_number() OVER (PARTITION BY city_slug ORDER BY page_no) AS n
-  FROM (SELECT DISTINCT city_slug, page_no FROM items WHERE page_no <= {MAX_PAGES})
+  FROM (SELECT DISTINCT city_slug, page_no FROM items)
 ),
 ends AS (SELECT city_slug, max(page_no) AS last_page FROM nth WHERE n = page_no GROUP BY city_slug),
 listings AS (
@@ -234,7 +237,7 @@ DISH_TERMS = """exists (SELECT 1 FROM unnest(string_split(lower(v.cuisine), ',')
 ORACLES = {
     "clean_catalog": f"""WITH {CLEAN}
 SELECT city_slug, name, city, location, address, cuisines, cost AS average_cost_for_two,
-  tier AS budget_category, rating AS aggregate_rating, votes, image_url, listing_url, ord, tie FROM clean""",
+  tier AS budget_category, rating AS aggregate_rating, votes, image_url, listing_url, ord, line_no, part_no, supp_no, pieces FROM clean""",
     "clean_report": f"""WITH {RAW}, {TYPED},
 m AS (SELECT {_slug("city")} AS city_slug, city, name, coalesce(name <> '', false) AS named,
         coalesce(name <> '', false) AND rating IS NOT NULL AS rated FROM typed)
@@ -243,7 +246,7 @@ SELECT city_slug, count(*) AS received, count(*) FILTER (named) AS named, count(
   count(*) FILTER (rated) - count(DISTINCT name) FILTER (rated) AS duplicates
 FROM m GROUP BY city_slug""",
     "row_index": f"""WITH {CLEAN}
-SELECT city_slug, name, row_number() OVER (PARTITION BY city_slug ORDER BY ord, tie) - 1 AS row_index FROM clean""",
+SELECT city_slug, name, row_number() OVER (PARTITION BY city_slug ORDER BY ord, line_no, part_no, supp_no, pieces) - 1 AS row_index FROM clean""",
     "cost_bucket_counts": f"""WITH {RAW}, c AS (SELECT {COST} AS cost FROM raw)
 SELECT {TIER} AS budget_category, count(*) AS restaurants, max(cost) AS max_cost FROM c GROUP BY 1""",
     "rating_parse": f"""WITH {RAW}
@@ -252,8 +255,8 @@ SELECT rating_text, {RATING} AS rating, count(*) AS restaurants FROM raw GROUP B
 SELECT city_slug AS city, name, page_no, slot FROM sources
 QUALIFY row_number() OVER (PARTITION BY city_slug, lower(name) ORDER BY page_no, slot) = 1""",
     "dedup_first_exact": f"""WITH {RAW}
-SELECT city, name, ord, tie FROM raw WHERE name IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY city, name ORDER BY ord, tie) = 1""",
+SELECT city, name, ord, line_no, part_no, supp_no, pieces FROM raw WHERE name IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY city, name ORDER BY ord, line_no, part_no, supp_no, pieces) = 1""",
     "budget_ranges": f"""WITH {REQUESTS},
 tiers(tier, lo, hi) AS (VALUES ('low', 0::DOUBLE, 500::DOUBLE), ('medium', 500, 1500), ('high', 1500, 'inf'::DOUBLE))
 SELECT request_id, budget, lo AS min_cost, hi AS max_cost, tier IS NOT NULL AS known_tier
@@ -343,7 +346,7 @@ SELECT request_id, CAST(position AS INTEGER) AS position, CAST(floor(rating) AS
 SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug
 FROM raw WHERE name IS NOT NULL""",
     "ext_suggest_places": f"""WITH {CLEAN},{REQUESTS.replace("requests AS", "plain AS")},
-requests AS (SELECT * REPLACE ('bx' || substr(lower(location), 2, 40) AS location) FROM plain),{VALID},
+requests AS (SELECT * REPLACE ('bx' || substr(lower(location), 2) AS location) FROM plain),{VALID},
 known AS (SELECT DISTINCT city_slug, lower(location) AS place_key FROM clean),
 asked AS (SELECT DISTINCT city_slug, lower(location) AS place FROM valid v WHERE location IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM known k WHERE k.city_slug = v.city_slug AND contains(place_key, lower(v.location))))
@@ -376,7 +379,7 @@ levels AS (
 ),
 reached AS (SELECT request_id, min(own) AS level FROM levels GROUP BY request_id),
 picks AS (
-  SELECT request_id, name, row_number() OVER (PARTITION BY request_id ORDER BY rating DESC, votes DESC, ord, tie) AS rank
+  SELECT request_id, name, row_number() OVER (PARTITION BY request_id ORDER BY rating DESC, votes DESC, ord, line_no, part_no, supp_no, pieces) AS rank
   FROM levels JOIN reached USING (request_id) WHERE own <= level QUALIFY rank <= 15
 ),
 sizes AS (SELECT request_id, count(*) AS n FROM picks GROUP BY request_id)
@@ -396,8 +399,8 @@ SELECT request_id, CAST(place AS INTEGER) AS position, name AS restaurant_name,
     "ext_voted_only": f"WITH {CLEAN} SELECT city_slug, count(*) AS restaurants FROM clean WHERE votes > 0 GROUP BY 1",
     "ext_located_only": f"WITH {RAW} SELECT city, count(*) AS restaurants FROM raw WHERE trim(location) <> '' GROUP BY 1",
     "ext_most_voted": f"""WITH {RAW},{TYPED}
-SELECT {_slug("city")} AS city_slug, name, location, votes, ord, tie FROM typed WHERE name <> '' AND rating IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY city, name, location ORDER BY votes DESC, ord, tie) = 1""",
+SELECT {_slug("city")} AS city_slug, name, location, votes, ord, line_no, part_no, supp_no, pieces FROM typed WHERE name <> '' AND rating IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY city, name, location ORDER BY votes DESC, ord, line_no, part_no, supp_no, pieces) = 1""",
     "ext_checked_listings": f"WITH {RAW} SELECT city, count(*) AS received FROM raw GROUP BY city",
     "ext_tidy_requests": f"""WITH {REQUESTS}
 SELECT request_id, {_trim("regexp_replace(location, '[^A-Za-z0-9 -]', '', 'g')")} AS location, lower(budget) AS budget,
@@ -406,7 +409,7 @@ SELECT request_id, {_trim("regexp_replace(location, '[^A-Za-z0-9 -]', '', 'g')")
   NOT coalesce(regexp_matches(regexp_replace(location, '[^A-Za-z0-9 -]', '', 'g'), '^[0-9]+$'), false) AS usable
 FROM requests""",
     "ext_details": f"""WITH {CLEAN},
-details AS (SELECT listing_url AS url, CAST(max(tie % 100 * 50) AS DOUBLE) AS detail_cost, max(address) AS features
+details AS (SELECT listing_url AS url, CAST(max(pieces * 50) AS DOUBLE) AS detail_cost, max(address) AS features
   FROM raw GROUP BY listing_url),
 c AS (SELECT city_slug, name, CASE WHEN cost > 0 THEN cost ELSE coalesce(detail_cost, 0) END AS cost, features
   FROM clean LEFT JOIN details ON url = listing_url)

@@ -280,7 +280,7 @@ def suggest_places(spark, sf_dir):
 def typo_requests(spark, sf_dir):
     typo = F.when(
         F.col("location").isNotNull(),
-        F.concat(F.lit("bx"), F.substring(F.lower("location"), F.lit(2), F.lit(40))),
+        F.concat(F.lit("bx"), F.substring(F.lower("location"), F.lit(2), F.char_length("location"))),
     )
     return views.requests(spark, sf_dir).withColumn("location", typo)
 

@@ -8,13 +8,14 @@ same in SQL.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.session import spread, tune
+from mealgrid.operators.clean import dense_index
 
 # Input order of a listing: unique in every given table.
-ORDER = ("ord", "tie")
+ORDER = ("ord", "line_no", "part_no", "supp_no", "pieces")
 BASE_URL = "https://listings.example"
 PER_PAGE = 40
-MAX_PAGES = 100000
+# Pages of a city are all read.
+MAX_PAGES = None
 
 
 SCHEMAS = {
@@ -31,7 +32,6 @@ SCHEMAS = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The columns in use of a given table; the schema is declared, not inferred."""
-    tune(spark)
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,10 +40,8 @@ def _text(c: Column) -> Column:
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spread(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
-        )
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     place = (
@@ -62,8 +60,11 @@ def _listing_columns(df: DataFrame) -> DataFrame:
     votes = _text(F.col("l_orderkey") % 1000)
     brand = F.lower("p_brand")
     return df.select(
-        (F.col("l_orderkey") * 8 + number).alias("ord"),
-        (F.col("l_partkey") * 10000000000 + F.col("l_suppkey") * 100 + quantity.cast("bigint")).alias("tie"),
+        F.col("l_orderkey").alias("ord"),
+        number.alias("line_no"),
+        F.col("l_partkey").alias("part_no"),
+        F.col("l_suppkey").alias("supp_no"),
+        quantity.cast("bigint").alias("pieces"),
         F.when((number == 7) & (quantity == 50), F.lit(None))
         .when((number == 7) & (quantity == 49), F.lit(" \t "))
         .when(number == 4, F.concat(F.lit("  "), name, F.lit("\t")))
@@ -190,20 +191,24 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the pages are made of: part rows spread over nations and pages."""
+    """What the pages are made of: each part that a supplier delivered, in runs of a page per nation."""
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.col("s_nationkey").alias("n_nationkey")
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    n_suppliers = 10
-    linked = part.join(supplier, F.col("s_suppkey") == F.col("p_partkey") % n_suppliers).join(nation, "n_nationkey")
-    position = F.floor(F.col("p_partkey") / n_suppliers).cast("bigint")
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")
+    )
+    slug = F.replace(F.lower("n_name"), F.lit("_"), F.lit("-"))
+    linked = pairs.distinct().join(part, "p_partkey").join(supplier, "s_suppkey").join(nation, "n_nationkey")
+    linked = dense_index(linked.withColumn("city_slug", slug), ("p_partkey", "s_suppkey"), name="position")
+    position = F.col("position")
     return linked.select(
-        F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("city_slug"),
+        "city_slug",
         "n_nationkey",
         (F.floor(position / PER_PAGE) + 1).cast("int").alias("page_no"),
-        (position % PER_PAGE * 100 + F.col("s_suppkey")).alias("slot"),
+        (position % PER_PAGE).alias("slot"),
         "p_partkey",
         "p_name",
         "p_size",
@@ -301,7 +306,7 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw_listings(spark, sf_dir)
         .groupBy("listing_url")
         .agg(
-            F.max(F.col("tie") % 100 * 50).cast("double").alias("detail_cost"),
+            F.max(F.col("pieces") * 50).cast("double").alias("detail_cost"),
             F.max("address").alias("features"),
         )
     )

@@ -10,6 +10,7 @@ from mealgrid.constants import BUDGET_TIERS, MAX_CANDIDATES, MAX_RATING, MIN_RAT
 from mealgrid.functions.parse import budget_tier
 from mealgrid.functions.text import ws_trim
 from mealgrid.operators.dedup import top_k
+from mealgrid.operators.facets import cuisines
 from mealgrid.operators.prompts import cost_label
 from mealgrid.operators.requests import ASK
 from mealgrid.operators.select import ask_pools, cascade, rows_or_none, with_listings
@@ -94,6 +95,14 @@ def suggest_places(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     return close_values(unknown, known, "city_slug", "place", "place_key")
 
 
+def suggest_cuisines(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Close single cuisines for cuisine arguments that match no cuisine list of their city."""
+    lists = catalogue.select("city_slug", "cuisines").distinct()
+    asked = requests.where(F.col("dish") != "").select("city_slug", "dish").distinct()
+    unknown = unmatched(asked, lists, "city_slug", "dish", "cuisines")
+    return close_values(unknown, cuisines(lists), "city_slug", "dish", "cuisine")
+
+
 def popular_places(requests: DataFrame, catalogue: DataFrame, k: int = SUGGESTED_LOCATIONS) -> DataFrame:
     """The city's ``k`` largest locations for location arguments that match none."""
     sizes = catalogue.groupBy("city_slug", "location").agg(F.count(F.lit(1)).alias("restaurants"))

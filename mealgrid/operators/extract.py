@@ -91,10 +91,11 @@ def page_prefix(listings: DataFrame, max_pages: int | None = MAX_PAGES_PER_CITY)
     """(city_slug, last_page): pages 1, 2, ... up to the first without listings.
 
     The last page is the least one whose next page is missing; both sides of
-    that anti-join are spread by city and page, and no city is one task. With
+    that anti-join are spread by city and page, and no city is one task. The
+    distinct page numbers are written first, so the pages are parsed once. With
     ``max_pages`` as ``None`` there is no limit.
     """
-    pages = _within(listings, max_pages).select("city_slug", "page_no").distinct()
+    pages = stage(_within(listings, max_pages).select("city_slug", "page_no").distinct(), "pages")
     after = pages.select("city_slug", (F.col("page_no") - 1).alias("page_no"))
     last = pages.join(after, ["city_slug", "page_no"], "left_anti").groupBy("city_slug").agg(F.min("page_no").alias("last_page"))
     begun = pages.where(F.col("page_no") == 1).select("city_slug")

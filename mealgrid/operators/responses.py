@@ -30,9 +30,11 @@ def parse_reply(raw: Column) -> Column:
     return F.coalesce(_one_object(raw), F.when(inner != "", _one_object(inner)))
 
 
-def _read_field(item: Column, name: str) -> Column:
-    """Text of a scalar field and its JSON type, in one struct."""
+def _read_field(item: Column, name: str, other: str | None = None) -> Column:
+    """Text of a scalar field and its JSON type, in one struct; ``other`` is a second name for it."""
     value = F.try_variant_get(item, f"$.{name}", "variant")
+    if other:
+        value = F.coalesce(value, F.try_variant_get(item, f"$.{other}", "variant"))
     return F.struct(
         value.try_cast("string").alias("text"),
         F.coalesce(F.schema_of_variant(value), F.lit("VOID")).alias("type"),
@@ -81,18 +83,20 @@ def _settled(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def read_replies(responses: DataFrame) -> DataFrame:
+def read_replies(responses: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """``recommendations``, ``summary`` and ``reason`` (null when accepted).
 
     An absent list is empty and an absent summary blank. One bad
-    recommendation refuses the whole reply.
+    recommendation refuses the whole reply. ``aliases`` maps field names in
+    the replies to ours, as for snapshots; our own names are read first.
     """
+    others = {ours: theirs for theirs, ours in (aliases or {}).items()}
     found = _settled(responses.select("request_id", "raw"), reply=parse_reply(F.col("raw")))
     listed, said = F.col("reply.recommendations"), F.col("reply.summary")
     items = F.when(listed.isNull(), F.array().cast("array<variant>")).otherwise(
         F.try_variant_get(listed, "$", "array<variant>")
     )
-    fields = F.transform(items, lambda r: F.struct(*[_read_field(r, name) for name, _, _ in FIELDS]))
+    fields = F.transform(items, lambda r: F.struct(*[_read_field(r, name, others.get(name)) for name, _, _ in FIELDS]))
     summary = F.when(said.isNull(), "").otherwise(
         F.when(F.schema_of_variant(said) == "STRING", said.try_cast("string"))
     )
@@ -112,12 +116,12 @@ def read_replies(responses: DataFrame) -> DataFrame:
     )
 
 
-def accepted_replies(responses: DataFrame) -> DataFrame:
-    return read_replies(responses).where(F.col("reason").isNull()).drop("reason", "raw")
+def accepted_replies(responses: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    return read_replies(responses, aliases).where(F.col("reason").isNull()).drop("reason", "raw")
 
 
-def rejected_replies(responses: DataFrame) -> DataFrame:
-    return read_replies(responses).where(F.col("reason").isNotNull()).select("request_id", "raw", "reason")
+def rejected_replies(responses: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    return read_replies(responses, aliases).where(F.col("reason").isNotNull()).select("request_id", "raw", "reason")
 
 
 def recommendation_rows(replies: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Candidate selection: filter cascade with fallbacks, ranking, top k.
 
 Requests that ask the same (city, place, tier, dish) are ranked once. Ranked
-pools are rolled up from the top-k cells, first over cuisines, then over
-places; every step keeps at most ``k`` rows per tier, so a pool never grows
-beyond a few dozen rows and the fallbacks are decided on one short array.
+pools come from the written roll-ups of the asked cities, over cuisines, then
+over places; every step keeps at most ``k`` rows per tier, so a pool never
+grows beyond a few dozen rows and the fallbacks are decided on one short array.
+``cells`` is a ``Cells``, or a table of top-k cells to make one from.
 
 The minimum rating needs no ranking of its own. Rating is the leading sort
 key and the rating filter has no fallback, so it cuts the tail of a ranking.
@@ -15,50 +16,57 @@ from pyspark.sql import functions as F
 from mealgrid.constants import MAX_CANDIDATES
 from mealgrid.operators.dedup import top_k
 from mealgrid.operators.requests import ASK
-from mealgrid.operators.rollup import ranking
+from mealgrid.operators.rollup import POOL_CUT, Cells, as_cells, ranking
 from mealgrid.operators.substring_join import pattern_join, substring_join
 from mealgrid.schemas import CLEAN_FIELDS
 from mealgrid.session import stage
 
-POOL_CUT = ["tier", "cost_known"]
 POOL = ["city_slug", "place", "dish"]
 
 
-def _pools(cells: DataFrame, asks: DataFrame, order, k: int, patterns: bool) -> DataFrame:
-    """Per (city, place, dish): the best ``k`` of each tier, as one array."""
+def _pools(cells: Cells, asks: DataFrame, order, k: int, patterns: bool) -> DataFrame:
+    """Per (city, place, dish): the best ``k`` of each tier, as one array.
+
+    Only an asked dish needs work that is done per request: its entries are
+    looked up, and their ranked rows merged. Dishes with a comma can span
+    entries and are compared with whole cuisine lists, and so are patterns.
+    """
     rank = ranking(order)
-    narrow = cells.select(
-        "city_slug",
-        "place_key",
-        F.col("budget_category").alias("tier"),
-        "cost_known",
-        "cuisines",
-        "aggregate_rating",
-        "votes",
-        *order,
-    )
+    place = ["city_slug", "place_key", *POOL_CUT]
+    ranked = [*place, "aggregate_rating", "votes", *order]
     match = pattern_join if patterns else substring_join
+    lists = cells.listings.withColumnRenamed("budget_category", "tier").select(*ranked, "cuisines")
+
+    def asked(argument: str) -> DataFrame:
+        return asks.where(F.col(argument) != "").select("city_slug", argument).distinct()
 
-    def hits(argument: str, text: str) -> DataFrame:
-        asked = asks.where(F.col(argument) != "").select("city_slug", argument).distinct()
-        return match(asked, narrow.select("city_slug", text).distinct(), "city_slug", argument, text)
+    def looked_up(dishes: DataFrame, table: DataFrame, text: str, match) -> DataFrame:
+        hits = match(dishes, table.select("city_slug", text).distinct(), "city_slug", "dish", text)
+        return table.join(hits, ["city_slug", text]).select(*ranked, "dish")
 
     # Over cuisines, within a location: all of them, and each asked dish.
-    place = ["city_slug", "place_key", *POOL_CUT]
-    any_dish = top_k(narrow, place, rank, k).drop("cuisines").withColumn("dish", F.lit(""))
-    with_dish = narrow.join(hits("dish", "cuisines"), ["city_slug", "cuisines"]).drop("cuisines")
-    by_place = any_dish.unionByName(top_k(with_dish, ["dish", *place], rank, k))
+    dishes, spans = asked("dish"), F.lit(True) if patterns else F.contains("dish", F.lit(","))
+    with_dish = looked_up(dishes.where(spans), lists, "cuisines", match)
+    if not patterns:
+        # A listing with two matching entries is one row.
+        by_entry = looked_up(dishes.where(~spans), cells.entries, "entry", substring_join).distinct()
+        with_dish = with_dish.unionByName(by_entry)
+    with_dish = top_k(with_dish, ["dish", *place], rank, k)
+    any_dish = cells.places.select(*ranked).withColumn("dish", F.lit(""))
+    by_place = any_dish.unionByName(with_dish)
 
     # Over locations: all of them, and each asked place.
-    anywhere = top_k(by_place, ["city_slug", "dish", *POOL_CUT], rank, k).withColumn("place", F.lit(""))
+    everywhere = top_k(with_dish, ["city_slug", "dish", *POOL_CUT], rank, k)
+    anywhere = cells.cities.select(*ranked).withColumn("dish", F.lit("")).unionByName(everywhere).withColumn("place", F.lit(""))
     asked_places = asks.where(F.col("place") != "")
     wanted = (
         asked_places.select(*POOL)
         .unionByName(asked_places.select("city_slug", "place", F.lit("").alias("dish")))
         .distinct()
     )
+    keys = cells.places.select("city_slug", "place_key").distinct()
     somewhere = (
-        wanted.join(hits("place", "place_key"), ["city_slug", "place"])
+        wanted.join(match(asked("place"), keys, "city_slug", "place", "place_key"), ["city_slug", "place"])
         .join(by_place, ["city_slug", "dish", "place_key"])
     )
     somewhere = top_k(somewhere, [*POOL, *POOL_CUT], rank, k)
@@ -79,14 +87,15 @@ def _pools(cells: DataFrame, asks: DataFrame, order, k: int, patterns: bool) ->
     )
 
 
-def ask_pools(cells: DataFrame, asks: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
+def ask_pools(cells, asks: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
     """Distinct asks with ``pool`` (any dish), ``dish_pool`` and ``has_city``.
 
     ``asks`` may carry further columns next to the four of an ask. Asks and
     pools are read several times, so each is written once; from then on the
-    planner knows their sizes.
+    planner knows their sizes. Only the asked cities are read.
     """
     asks = stage(asks, "asks")
+    cells = as_cells(cells, order, k).near(stage(asks.select("city_slug").distinct(), "asked"))
     pools = stage(_pools(cells, asks.select(*ASK), order, k, patterns), "pools")
     plain = pools.where(F.col("dish") == "").drop("dish")
     dished = pools.where(F.col("dish") != "").withColumnRenamed("pool", "dish_pool")
@@ -121,33 +130,31 @@ def cascade(k: int = MAX_CANDIDATES) -> Column:
     return F.slice(F.array_sort(chosen), 1, k)
 
 
-def with_listings(ranked: DataFrame, cells: DataFrame, key, order=("ord",)) -> DataFrame:
+def with_listings(ranked: DataFrame, cells, key, order=("ord",)) -> DataFrame:
     """Replace the short ``ranked`` array by ``picks``, with full listing columns.
 
     The array is taken apart, joined to the listings on their order key, and
-    put together again: at most ``k`` elements per key. The result is written:
-    joined to the requests it is a plain table, so that a list which a large
-    part of them shares can be broadcast, or split as a skewed partition.
+    put together again: at most ``k`` elements per key, and none for a key
+    whose array is empty. The order key has to be unique in a city: listings
+    that share one would each be picked. The result is written: joined to the
+    requests it is a plain table, so that a list which a large part of them
+    shares can be broadcast, or split as a skewed partition.
     """
     fields = [c for c in CLEAN_FIELDS if c != "city_slug"]
-    payload = cells.select("city_slug", *order, *fields, F.lit(True).alias("_listed"))
+    ranked = stage(ranked, "ranked")
+    cells = as_cells(cells, order).near(stage(ranked.select("city_slug").distinct(), "asked"))
+    payload = cells.listings.select("city_slug", *order, *fields)
     keep = [c for c in ranked.columns if c not in ("ranked", *key)]
-    rows = ranked.select(*key, *keep, F.posexplode_outer("ranked").alias("_at", "_row")).select(
-        *key, *keep, (F.col("_at") + 1).cast("bigint").alias("_rank"), *[F.col("_row")[c].alias(c) for c in order]
+    rows = ranked.select(*key, F.posexplode("ranked").alias("_at", "_row")).select(
+        *key, (F.col("_at") + 1).cast("bigint").alias("_rank"), *[F.col("_row")[c].alias(c) for c in order]
     )
     pick = F.struct(F.col("_rank").alias("rank"), *fields, *order)
-    lists = (
-        rows.join(payload, ["city_slug", *order], "left")
-        .groupBy(*key)
-        .agg(
-            *[F.any_value(c).alias(c) for c in keep],
-            F.array_sort(F.collect_list(F.when(F.col("_listed"), pick))).alias("picks"),
-        )
-    )
-    return stage(lists, "lists")
+    picks = rows.join(payload, ["city_slug", *order]).groupBy(*key).agg(F.array_sort(F.collect_list(pick)).alias("picks"))
+    lists = ranked.select(*key, *keep).join(picks, key, "left")
+    return stage(lists.withColumn("picks", F.coalesce("picks", F.array().cast(picks.schema["picks"].dataType))), "lists")
 
 
-def ranked_asks(cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
+def ranked_asks(cells, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> DataFrame:
     """One row per distinct ask: ``has_city`` and ``ranked``, the short array of its best rows."""
     asks = requests.select(*ASK).distinct()
     return ask_pools(cells, asks, order, k, patterns).select(*ASK, "has_city", cascade(k).alias("ranked"))
@@ -165,7 +172,7 @@ def _with_status(requests: DataFrame) -> DataFrame:
 
 
 def request_status(
-    cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False
+    cells, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False
 ) -> DataFrame:
     """Valid requests with ``total_matches`` and ``status``; listings are not looked up."""
     ranked = ranked_asks(cells, requests, order, k, patterns)
@@ -174,7 +181,7 @@ def request_status(
 
 
 def answer_requests(
-    cells: DataFrame, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False
+    cells, requests: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False
 ) -> DataFrame:
     """Valid requests with ``picks``, ``total_matches`` and ``status``.
 

@@ -3,9 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.operators.requests import PATTERN_CHARS
+
 GRAM = 3
-# Characters that make an argument a pattern rather than plain text.
-PATTERN_CHARS = r"[\\^$.|?*+()\[\]{}]"
 
 
 def grams(c: Column, size: int) -> Column:
@@ -34,15 +34,19 @@ def substring_join(arguments: DataFrame, texts: DataFrame, scope: str, argument:
     an argument is looked up under the one of its grams that the fewest texts
     of its group hold, and the few candidates are then checked in full. The
     result is exact: a text that contains an argument has all of its grams.
+    Only grams that some argument of the group has are listed at all.
     """
-    listed = texts.where(F.col(text).isNotNull()).select(
-        scope, text, F.explode(text_grams(F.col(text))).alias("_gram")
+    asked = arguments.where(F.col(argument) != "").select(
+        scope, argument, F.explode(argument_grams(F.col(argument))).alias("_gram")
+    )
+    listed = (
+        texts.where(F.col(text).isNotNull())
+        .select(scope, text, F.explode(text_grams(F.col(text))).alias("_gram"))
+        .join(asked.select(scope, "_gram").distinct(), [scope, "_gram"], "left_semi")
     )
     frequency = listed.groupBy(scope, "_gram").agg(F.count(F.lit(1)).alias("_texts"))
     rarest = (
-        arguments.where(F.col(argument) != "")
-        .select(scope, argument, F.explode(argument_grams(F.col(argument))).alias("_gram"))
-        .join(frequency, [scope, "_gram"], "left")
+        asked.join(frequency, [scope, "_gram"], "left")
         .groupBy(scope, argument)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
     )

@@ -3,12 +3,13 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mealgrid.constants import MAX_CANDIDATES
 from mealgrid.operators.prompts import prompt_table
 from mealgrid.operators.requests import valid_requests
 from mealgrid.operators.responses import accepted_replies, respond
-from mealgrid.operators.rollup import top_cells
+from mealgrid.operators.rollup import PART, Cells, city_part, top_cells
 from mealgrid.operators.select import answer_requests, request_status
 from mealgrid.session import stage
 
@@ -17,26 +18,28 @@ from mealgrid.session import stage
 class Recommender:
     """Answers request batches from top-k cells built once per catalogue.
 
-    ``cells`` is a table (``Recommender.build`` writes it); it can be kept and
-    given to later batches.
+    ``cells`` are the tables that ``Recommender.build`` writes; they can be
+    kept and given to later batches. A table of top-k cells will do as well.
     """
 
-    cells: DataFrame
+    cells: Cells | DataFrame
     order: tuple = ("ord",)
     k: int = MAX_CANDIDATES
     patterns: bool = False
 
     @classmethod
     def build(cls, catalogue: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> "Recommender":
-        return cls(stage(top_cells(catalogue, order, k), "cells"), tuple(order), k, patterns)
+        listings = top_cells(catalogue, order, k).withColumn(PART, city_part(F.col("city_slug")))
+        kept = Cells.of(stage(listings, "cells", PART), order, k).written()
+        return cls(kept, tuple(order), k, patterns)
 
     def answer(self, requests: DataFrame) -> DataFrame:
         """Valid requests with status, match count and ranked picks."""
-        return answer_requests(self.cells, valid_requests(requests), self.order, self.k, self.patterns)
+        return answer_requests(self.cells, valid_requests(requests, patterns=self.patterns), self.order, self.k, self.patterns)
 
     def status(self, requests: DataFrame) -> DataFrame:
         """Valid requests with status and match count only."""
-        return request_status(self.cells, valid_requests(requests), self.order, self.k, self.patterns)
+        return request_status(self.cells, valid_requests(requests, patterns=self.patterns), self.order, self.k, self.patterns)
 
     def prompts(self, requests: DataFrame) -> DataFrame:
         return prompt_table(self.answer(requests))

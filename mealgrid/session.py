@@ -1,8 +1,11 @@
 """Session for local runs, and the staging of intermediate tables."""
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +54,30 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root()
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and read it back.
+_scopes: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scopes", default=None)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside the block when it ends.
+
+    For work that is done batch by batch: write the batch's result inside the
+    block, since staged tables are gone after it.
+    """
+    paths: list[str] = []
+    token = _scopes.set(paths)
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def stage(df: DataFrame, name: str = "stage", partition: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back, with a folder for each value of ``partition``.
 
     Cuts the lineage on storage that outlives executors, and gives the planner
     the true size of the table, so that a broadcast is chosen only when the
@@ -61,6 +86,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{staging_root(spark)}/mealgrid/{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    paths = _scopes.get()
+    if paths is not None:
+        paths.append(path)
+    if partition:
+        df.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.constants import SNAPSHOT_FILE_SUFFIX, SNAPSHOT_TTL_HOURS
@@ -31,9 +31,11 @@ def read_json_snapshots(
     """``{slug}_restaurants.json`` files, each one JSON array, as raw listings.
 
     Files past their age are pruned before they are opened. A file that does
-    not parse as one array counts as absent. ``aliases`` maps field names in
-    the files to ours. The format puts a city in one array, hence one task per
-    file; the table format below has no such limit.
+    not parse as one array counts as absent, and so does an absent folder.
+    ``aliases`` maps field names in the files to ours. The format puts a city
+    in one array, hence one task per file. Files may also lie in folders
+    ``city_slug=...``, any number of them per city; each is a page then, and
+    the folder names the city.
     """
     aliases = aliases or {}
     names = {ours: theirs for theirs, ours in aliases.items()}
@@ -41,22 +43,28 @@ def read_json_snapshots(
     parsed = F.from_json(
         F.concat(F.lit("["), F.col("value"), F.lit("]")), f"array<array<struct<{fields}>>>"
     )
-    files = (
-        spark.read.format("text")
-        .option("wholetext", True)
-        .option("pathGlobFilter", f"*{SNAPSHOT_FILE_SUFFIX}")
-        .load(path)
-        .select("value", "_metadata.file_name", "_metadata.file_modification_time")
-    )
-    slug = F.regexp_replace("file_name", f"{SNAPSHOT_FILE_SUFFIX.replace('.', '[.]')}$", "")
+    try:
+        files = (
+            spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.{json,txt}").load(path)
+            .select("value", "_metadata.file_path", "_metadata.file_name", "_metadata.file_modification_time")
+        )
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "value string, file_path string, file_name string, file_modification_time timestamp")
+    named = F.regexp_extract("file_name", f"^(.*){SNAPSHOT_FILE_SUFFIX.replace('.', '[.]')}$", 1)
+    folder = F.url_decode(F.regexp_extract("file_path", "/city_slug=([^/]*)/[^/]*$", 1))
+    slug = F.when(folder != "", folder).otherwise(named)
+    page = F.when(folder != "", F.pmod(F.xxhash64("file_name"), F.lit(1 << 30))).otherwise(0).cast("int")
     return (
         fresh(files, "file_modification_time", now, ttl_hours)
-        .select(slug.alias("city_slug"), parsed.alias("parsed"))
-        .where(F.size("parsed") == 1)
-        .select("city_slug", F.posexplode(F.get("parsed", F.lit(0))).alias("item_no", "row"))
+        .select(slug.alias("city_slug"), page.alias("page_no"), parsed.alias("parsed"))
+        .where((F.col("city_slug") != "") & (F.size("parsed") == 1))
+        .select("city_slug", "page_no", F.posexplode(F.get("parsed", F.lit(0))).alias("item_no", "row"))
         .select(
             "city_slug",
-            F.lit(0).alias("page_no"),
+            "page_no",
             F.lit(0).alias("block_no"),
             "item_no",
             *[F.col("row")[names.get(f, f)].alias(f) for f in RAW_FIELDS],
@@ -94,13 +102,37 @@ def write_snapshot(listings: DataFrame, path: str, now: datetime) -> DataFrame:
 
 
 def refresh(listings: DataFrame, path: str, now: datetime) -> int:
-    """Write new snapshots and return the number of rows, counted on the way.
+    """Write new snapshots and return the number of rows written, 0 if there are none.
+
+    A city without new rows keeps its old snapshot. The rows are counted on
+    storage, by the stamp of this refresh in the cities that it wrote.
+    """
+    listings = stage(listings, "refresh")
+    cities = stage(listings.select("city_slug").distinct(), "refreshed")
+    if cities.isEmpty():
+        return 0
+    write_snapshot(listings, path, now)
+    table = read_snapshot_table(listings.sparkSession, path).where(F.col("snapshot_ts") == F.lit(now))
+    return table.join(cities, "city_slug", "left_semi").count()
 
-    A city without new rows keeps its old snapshot.
+
+def clear_city(spark: SparkSession, path: str, slug: str) -> None:
+    """Drop one city: the table is written anew without it, other cities keep their stamps.
+
+    What stays is staged first, since a table cannot be overwritten while it
+    is read. Clearing a city that has no snapshot changes nothing.
     """
-    seen = Observation("refresh")
-    write_snapshot(listings.observe(seen, F.count(F.lit(1)).alias("rows")), path, now)
-    return seen.get["rows"]
+    table = read_snapshot_table(spark, path)
+    if table.where(F.col("city_slug") == slug).isEmpty():
+        return
+    rest = stage(table.where(F.col("city_slug") != slug), "rest")
+    (
+        rest.hint("rebalance", "city_slug")
+        .write.partitionBy("city_slug")
+        .option("partitionOverwriteMode", "static")
+        .mode("overwrite")
+        .parquet(path)
+    )
 
 
 def clear_cities(spark: SparkSession, path: str) -> None:
@@ -121,15 +153,17 @@ def missing_cities(cities: DataFrame, snapshots: DataFrame) -> DataFrame:
     return asked.join(have, "city_slug", "left_anti")
 
 
-def resolve(cities: DataFrame, snapshots: DataFrame, pages: DataFrame, extract) -> DataFrame:
+def resolve(cities: DataFrame, snapshots: DataFrame, pages: DataFrame, extract, reread=None) -> DataFrame:
     """Fresh snapshot rows, and extracted rows for the cities without any.
 
     Which cities are missing is settled before the pages are touched, so only
     their pages are parsed. The two city lists are written first: their true
-    size decides whether they are broadcast.
+    size decides whether they are broadcast. If ``extract`` changes the table
+    that the snapshots come from, ``reread`` gives the snapshots after that.
     """
     asked = stage(cities.select(city_slug(F.col("city_slug")).alias("city_slug")).distinct(), "cities")
     missing = stage(missing_cities(asked, snapshots), "missing")
-    kept = snapshots.join(asked, "city_slug", "left_semi")
     extracted = extract(pages.join(missing, "city_slug", "left_semi"))
+    found = stage(asked.join(missing, "city_slug", "left_anti"), "found")
+    kept = (reread() if reread else snapshots).join(found, "city_slug", "left_semi")
     return kept.unionByName(extracted, allowMissingColumns=True)

@@ -1,19 +1,17 @@
-"""Requests and pages as they arrive, through the same batch jobs.
+"""Requests as they arrive, through the same batch jobs.
 
 Each micro-batch is one call of the batch code. Its output goes to a folder
 named by the batch, written with overwrite: a batch that is run again after a
-failure replaces its own output.
+failure replaces its own output. What a batch stages is deleted when its output
+is written.
 """
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from mealgrid.constants import MAX_PAGES_PER_CITY
 from mealgrid.operators.prompts import prompt_table
-from mealgrid.plans.ingest import refresh_from_pages
 from mealgrid.plans.recommend import Recommender
+from mealgrid.session import staging
 
 
 def serve_requests(
@@ -22,27 +20,13 @@ def serve_requests(
     """Write the prompts of a stream of requests, one folder per micro-batch."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        prompts = prompt_table(recommender.answer(batch))
-        prompts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with staging(batch.sparkSession):
+            prompts = prompt_table(recommender.answer(batch))
+            prompts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(requests, answer, checkpoint, trigger)
 
 
-def refresh_stream(
-    pages: DataFrame, path: str, base_url: str, checkpoint: str, max_pages: int = MAX_PAGES_PER_CITY, **trigger
-) -> StreamingQuery:
-    """Replace city snapshots from a stream of pages.
-
-    A micro-batch should hold the pages of whole cities: it replaces the
-    snapshots of the cities it contains.
-    """
-
-    def extract(batch: DataFrame, batch_id: int) -> None:
-        refresh_from_pages(batch, path, base_url, datetime.now(timezone.utc), max_pages)
-
-    return _start(pages, extract, checkpoint, trigger)
-
-
 def _start(stream: DataFrame, each, checkpoint: str, trigger: dict) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

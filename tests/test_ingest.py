@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 from mealgrid.operators.extract import extract_listings, listing_rows, page_prefix
 from mealgrid.plans.ingest import load_catalogue, refresh_from_pages
 from mealgrid.schemas import PAGES_SCHEMA
-from mealgrid.sources.snapshots import clear_cities, fresh, read_json_snapshots, read_snapshot_table
+from mealgrid.sources.snapshots import clear_cities, clear_city, fresh, read_json_snapshots, read_snapshot_table
 
 BASE = "https://base.example"
 NOW = datetime(2024, 5, 1, 12, 0, tzinfo=timezone.utc)
@@ -129,3 +129,58 @@ def test_refresh_resolve_and_clear(spark, tmp_path):
     clear_cities(spark, path)
     assert read_snapshot_table(spark, path).count() == 0
     assert read_snapshot_table(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_saved_catalogue_is_complete(spark, tmp_path):
+    """The returned rows themselves, with one fresh and one stale city."""
+    path, rated = str(tmp_path / "store"), {"aggregateRating": {"ratingValue": 4}}
+    cities = spark.createDataFrame([("goa",), ("pune",)], "city_slug string")
+    refresh_from_pages(pages(spark, ("pune", 1, block(item("Stale", **rated)))), path, BASE, NOW - timedelta(hours=8))
+    refresh_from_pages(pages(spark, ("goa", 1, block(item("Fresh", **rated)))), path, BASE, NOW - timedelta(hours=1))
+    later = pages(spark, ("goa", 1, block(item("Unused", **rated))), ("pune", 1, block(item("Paged", **rated))))
+    got = load_catalogue(cities, path, later, BASE, NOW, save=True)
+    assert names(got) == ["Fresh", "Paged"]
+    assert names(read_snapshot_table(spark, path)) == ["Fresh", "Paged"]
+
+
+def test_refresh_without_rows(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for limit in (1, 10, None):
+        assert refresh_from_pages(pages(spark, ("goa", 1, "<p>nothing</p>")), path, BASE, NOW, limit) == 0
+    assert read_snapshot_table(spark, path).count() == 0
+
+
+def test_one_city_is_cleared(spark, tmp_path):
+    path, rated = str(tmp_path / "store"), {"aggregateRating": {"ratingValue": 4}}
+    refresh_from_pages(pages(spark, ("goa", 1, block(item("A", **rated))), ("pune", 1, block(item("B", **rated)))), path, BASE, NOW)
+    for _ in range(2):
+        clear_city(spark, path, "goa")
+        assert names(read_snapshot_table(spark, path)) == ["B"]
+
+
+def test_json_files_serve_missing_cities(spark, tmp_path):
+    folder, path = tmp_path / "json", str(tmp_path / "store")
+    rated = {"aggregateRating": {"ratingValue": 4}}
+    cities = spark.createDataFrame([("goa",), ("pune",), ("agra",)], "city_slug string")
+    assert names(load_catalogue(cities, path, pages(spark, ("goa", 1, block(item("P", **rated)))), BASE, NOW, json_path=str(folder))) == ["P"]
+    folder.mkdir()
+    row = {"city": "x", "location": "l", "cuisines": "c", "aggregate_rating": 4.0}
+    write_json(folder, "goa", [{**row, "name": "J goa", "city": "Goa"}])
+    write_json(folder, "pune", [{**row, "name": "J pune", "city": "Pune"}])
+    refresh_from_pages(pages(spark, ("goa", 1, block(item("T goa", **rated)))), path, BASE, NOW)
+    later = pages(spark, ("agra", 1, block(item("P agra", **rated))), ("pune", 1, block(item("P pune", **rated))))
+    assert names(load_catalogue(cities, path, later, BASE, NOW, json_path=str(folder))) == ["J pune", "P agra", "T goa"]
+
+
+def test_type_is_an_attribute_of_its_own(spark):
+    html = '<script data-type="application/ld+json">' + json.dumps({"@type": "ItemList", "itemListElement": [item("No")]}) + "</script>"
+    assert names(listing_rows(pages(spark, ("goa", 1, html)), BASE)) == []
+
+
+def test_metrics_of_an_empty_table(spark):
+    from mealgrid.operators.clean import CleanMetrics, clean_catalogue
+    from tests.fixtures import RAW
+
+    metrics = CleanMetrics()
+    clean_catalogue(spark.createDataFrame([], RAW), metrics=metrics).write.format("noop").mode("overwrite").save()
+    assert metrics.summary() == {"received": 0, "named": 0, "rated": 0, "kept": 0, "duplicates": 0}

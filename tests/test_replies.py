@@ -94,3 +94,14 @@ def test_cards(spark):
     assert [(r["full_stars"], r["half_stars"], r["empty_stars"]) for r in got] == [(4, 1, 0), (4, 0, 1), (5, 0, 0), (0, 0, 5)]
     assert [r["card_id"] for r in got] == ["card-the-l-oro-bar", "card-", "card-x", "card-y"]
     assert [(r["has_image"], r["has_link"]) for r in got] == [(True, False), (False, True), (False, False), (False, False)]
+
+
+def test_foreign_field_names(spark):
+    import json
+
+    from mealgrid.operators.responses import accepted_replies, recommendation_rows
+
+    full = {"rank": 1, "restaurant_name": "A", "cuisine": "c", "rating": 4, "estimated_cost": "e", "explanation": "x", "their_url": "u"}
+    df = spark.createDataFrame([(1, json.dumps({"recommendations": [full], "summary": "s"}))], "request_id long, raw string")
+    link = lambda **kw: recommendation_rows(accepted_replies(df, **kw)).first()["listing_url"]
+    assert link(aliases={"their_url": "listing_url"}) == "u" and link() is None

@@ -118,3 +118,35 @@ def test_arguments_are_plain_text_by_default(spark):
     ask = spark.createDataFrame([(1, "hot", "(west)", "low", None, 0.0, None)], REQUEST)
     got = candidates(answer_requests(top_cells(catalogue), valid_requests(ask))).collect()
     assert [r["ord"] for r in got] == [0]
+
+
+def test_bad_patterns_fail_alone(spark):
+    rows = [
+        (1, "hot", "(", "low", None, 0.0, None), (2, "hot", "^ban", "low", None, 0.0, None),
+        (3, "hot", None, "low", "*x", 0.0, None), (4, "hot", "[z-a]", "low", None, 0.0, None), (5, "hot", "road", "low", "(in|th)", 0.0, None),
+    ]
+    asked_, data = spark.createDataFrame(rows, REQUEST), listings(6)
+    catalogue = spark.createDataFrame([tuple(r[c.split()[0]] for c in LISTING.split(", ")) for r in data], LISTING)
+    from mealgrid.plans.recommend import Recommender
+
+    got = {r["request_id"] for r in Recommender(top_cells(catalogue), patterns=True).answer(asked_).collect()}
+    reasons = {r["request_id"]: r["reason"] for r in rejected_requests(asked_, patterns=True).collect()}
+    assert got == {2, 5} and set(reasons) == {1, 3, 4} and reasons[3] == "cuisine is no supported pattern"
+    assert rejected_requests(asked_).count() == 0
+
+
+def test_built_cells_prune_cities(spark):
+    """Written cells give the same answers, and only the asked city's folders are read."""
+    from mealgrid.operators.rollup import PART
+    from mealgrid.plans.recommend import Recommender
+
+    rows, requests = listings(7), asked(7)
+    catalogue = spark.createDataFrame([tuple(r[c.split()[0]] for c in LISTING.split(", ")) for r in rows], LISTING)
+    built = Recommender.build(catalogue)
+    picks = lambda r: {x["request_id"]: [p["ord"] for p in x["picks"]] for x in r.answer(spark.createDataFrame(requests, REQUEST)).collect()}
+    assert picks(built) == picks(Recommender(top_cells(catalogue)))
+    one = built.cells.near(spark.createDataFrame([("cool",)], "city_slug string"))
+    for df in (one.listings, one.entries, one.places, one.cities):
+        assert {r["city_slug"] for r in df.select("city_slug").collect()} == {"cool"}
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert f"dynamicpruning" in text and PART in text

@@ -1,10 +1,6 @@
-import json
-
 from mealgrid.operators.rollup import top_cells
 from mealgrid.plans.recommend import Recommender
-from mealgrid.schemas import PAGES_SCHEMA
-from mealgrid.sources.snapshots import read_snapshot_table
-from mealgrid.streaming.serve import refresh_stream, serve_requests
+from mealgrid.streaming.serve import serve_requests
 from tests.fixtures import RAW, RAW_ROWS, REQUEST
 
 
@@ -25,10 +21,18 @@ def test_requests_are_answered_per_batch(spark, tmp_path):
     assert sorted((r["batch"], r["request_id"]) for r in got.collect()) == [(0, 1), (1, 2)]
 
 
-def test_pages_refresh_the_store(spark, tmp_path):
-    source, path, check = (str(tmp_path / n) for n in ("in", "store", "check"))
-    entry = {"item": {"@type": "Restaurant", "name": "A"}}
-    html = f'<script type="application/ld+json">{json.dumps({"@type": "ItemList", "itemListElement": [entry]})}</script>'
-    drop(spark, source, [("goa", 1, html)], PAGES_SCHEMA)
-    refresh_stream(spark.readStream.schema(PAGES_SCHEMA).json(source), path, "https://b", check).awaitTermination()
-    assert [r["name"] for r in read_snapshot_table(spark, path).collect()] == ["A"]
+def test_staged_tables_of_a_batch_are_deleted(spark, tmp_path):
+    import os
+
+    from mealgrid.operators.clean import clean_catalogue
+    from mealgrid.session import staging_root
+
+    recommender = Recommender.build(clean_catalogue(spark.createDataFrame(RAW_ROWS, RAW)))
+    folder = os.path.join(staging_root(spark).removeprefix("file://"), "mealgrid", spark.sparkContext.applicationId)
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    before = len(os.listdir(folder))
+    for batch in range(3):
+        drop(spark, source, [(batch, "Goa", None, "low", None, 0.0, None)], REQUEST)
+        serve_requests(spark.readStream.schema(REQUEST).json(source), recommender, out, check).awaitTermination()
+        assert len(os.listdir(folder)) == before
+    assert spark.read.parquet(out).count() == 3

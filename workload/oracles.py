@@ -5,7 +5,7 @@ with the Spark jobs but the fixed values and the derivation of the inputs.
 """
 
 from mealgrid.operators.prompts import SYSTEM_PROMPT
-from workload.views import BASE_URL, PER_PAGE
+from workload.views import BASE_URL, PER_PAGE, SNAPSHOT_RUN
 
 
 def _title(x: str) -> str:
@@ -216,6 +216,22 @@ snapshots AS (
 )"""
 
 
+DATED = f"""
+dated AS (
+  SELECT 'nation-' || (user_id % 25) AS city_slug, user_id % 25 AS number, event_id, event_type || ' ' || event_id AS name,
+    (event_id % 50) / 10 AS rating, event_id % 100 AS votes FROM events
+)"""
+
+
+def _loaded(kept: str, kept_cities: str) -> str:
+    """Kept snapshot rows, and extracted rows of the other cities, as a catalogue."""
+    return f"""
+SELECT city_slug, name, rating AS aggregate_rating, votes FROM dated WHERE {kept}
+UNION ALL
+SELECT city_slug, trim(name), greatest(0, least(5, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 10 ELSE 0 END)), p_partkey * 3
+FROM listings WHERE city_slug NOT IN (SELECT city_slug FROM dated WHERE {kept_cities})"""
+
+
 def _fresh(hours: int) -> str:
     return f"SELECT city_slug, name FROM snapshots WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {hours} HOUR"
 
@@ -288,7 +304,7 @@ SELECT request_id, budget, reason FROM (
     WHEN budget NOT IN ('low', 'medium', 'high') THEN 'unknown budget'
     WHEN min_rating < 0 OR min_rating > 5 THEN 'min_rating out of range' END AS reason FROM requests)
 WHERE reason IS NOT NULL""",
-    "recommend_patterns": f"""WITH {CLEAN},{REQUESTS},{VALID.replace("nullif(location, '')", "CASE WHEN location LIKE 'B%' THEN location || '[0-9]?$' ELSE nullif(location, '') END").replace("nullif(cuisine, '')", "'^' || lower(nullif(cuisine, ''))")},
+    "recommend_patterns": f"""WITH {CLEAN},{REQUESTS},{VALID.replace("WHERE city", "WHERE request_id % 13 <> 6 AND city").replace("nullif(location, '')", "CASE WHEN location LIKE 'B%' THEN location || '[0-9]?$' ELSE nullif(location, '') END").replace("nullif(cuisine, '')", "'^' || lower(nullif(cuisine, ''))")},
 {_cascade("regexp_matches(lower(c.location), lower(v.location))", "regexp_matches(c.cuisines, v.cuisine)")}
 SELECT request_id, rank, name, total_matches FROM picked""",
     "example_query": f"""WITH {CLEAN},
@@ -313,6 +329,20 @@ SELECT city_slug, name, true AS from_snapshot FROM fresh
 WHERE city_slug IN (SELECT replace(lower(n_name), '_', '-') FROM nation)
 UNION ALL
 SELECT city_slug, name, false FROM listings WHERE city_slug NOT IN (SELECT city_slug FROM fresh)""",
+    "snapshot_refresh": f"""WITH {DATED}
+SELECT city_slug, name, number % 2 = 1 AS is_new FROM dated WHERE number % 2 = 0 OR event_id % 2 = 0""",
+    "snapshot_clear": f"WITH {DATED} SELECT city_slug, name FROM dated WHERE number < 5",
+    "snapshot_clear_city": f"WITH {DATED} SELECT city_slug, name, CAST(rating AS VARCHAR) AS aggregate_rating FROM dated WHERE number <> 3",
+    "snapshot_json": f"""WITH {DATED}
+SELECT city_slug, CAST(row_number() OVER (PARTITION BY city_slug, event_id // {SNAPSHOT_RUN} ORDER BY event_id) - 1 AS INTEGER) AS item_no, name,
+  CAST(votes AS VARCHAR) AS votes FROM dated WHERE number <> 7""",
+    "load_catalogue_saved": f"WITH {DATED}, {EXTRACTED}" + _loaded("number < 10", "number < 10"),
+    "load_catalogue_json": f"WITH {DATED}, {EXTRACTED}"
+    + _loaded("number >= 5 AND number <> 7 OR number < 5 AND event_id % 2 = 0", "number <> 7"),
+    "clean_bare": f"""WITH {RAW},{TYPED}
+SELECT {_slug("city")} AS city_slug, name, location, 'medium' AS budget_category, 0::DOUBLE AS average_cost_for_two,
+  0::DOUBLE AS aggregate_rating, 0::BIGINT AS votes, '' AS image_url, '' AS address FROM typed WHERE name <> ''
+QUALIFY row_number() OVER (PARTITION BY {_slug("city")}, name, city ORDER BY ord, line_no, part_no, supp_no, pieces) = 1""",
     "prompt_lines": f"{BATCH} SELECT request_id, rank, {LINE} AS line FROM picked",
     "prompt_batch": f"""{BATCH},
 texts AS (SELECT request_id, string_agg({LINE}, chr(10) ORDER BY rank) AS lines FROM picked GROUP BY request_id)
@@ -352,6 +382,12 @@ asked AS (SELECT DISTINCT city_slug, lower(location) AS place FROM valid v WHERE
   AND NOT EXISTS (SELECT 1 FROM known k WHERE k.city_slug = v.city_slug AND contains(place_key, lower(v.location))))
 SELECT city_slug, place, place_key, levenshtein(place, place_key) AS distance
 FROM asked JOIN known USING (city_slug) WHERE levenshtein(place, place_key) <= 2""",
+    "ext_suggest_cuisines": f"""WITH {CLEAN},{REQUESTS.replace("requests AS", "plain AS")},
+requests AS (SELECT * REPLACE (substr(cuisine, 1, 2) || 'q' || substr(cuisine, 4) AS cuisine) FROM plain),{VALID},{STATS},
+asked AS (SELECT DISTINCT city_slug, lower(cuisine) AS dish FROM valid v WHERE cuisine IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.city_slug = v.city_slug AND contains(c.cuisines, lower(v.cuisine))))
+SELECT city_slug, dish, cuisine, levenshtein(dish, cuisine) AS distance
+FROM asked JOIN tastes USING (city_slug) WHERE levenshtein(dish, cuisine) <= 2""",
     "ext_popular_places": f"""WITH {CLEAN},{REQUESTS},{VALID},
 sizes AS (SELECT city_slug, location, count(*) AS restaurants FROM clean GROUP BY 1, 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY restaurants DESC, location) AS position

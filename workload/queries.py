@@ -1,5 +1,8 @@
 """The registered queries: every operator over the whole given tables."""
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,17 @@ from mealgrid.operators.requests import (
 )
 from mealgrid.operators.select import candidates
 from mealgrid.plans.recommend import Recommender
-from mealgrid.sources.snapshots import fresh, resolve
-from mealgrid.session import stage
+from mealgrid.plans.ingest import load_catalogue
+from mealgrid.sources.snapshots import (
+    clear_cities,
+    clear_city,
+    fresh,
+    read_json_snapshots,
+    read_snapshot_table,
+    refresh,
+    resolve,
+)
+from mealgrid.session import stage, staging_root
 from workload import views
 from workload.views import BASE_URL, MAX_PAGES, ORDER
 
@@ -139,9 +151,9 @@ def recommend_patterns(spark, sf_dir):
     build = Recommender.build(catalog, ORDER, patterns=True)
     asked = views.requests(spark, sf_dir).withColumns(
         {
-            "location": F.when(
-                F.col("location").startswith("B"), F.concat("location", F.lit("[0-9]?$"))
-            ).otherwise(F.col("location")),
+            "location": F.when(F.col("request_id") % 13 == 6, "(")
+            .when(F.col("location").startswith("B"), F.concat("location", F.lit("[0-9]?$")))
+            .otherwise(F.col("location")),
             "cuisine": F.when(F.col("cuisine") != "", F.concat(F.lit("^"), F.lower("cuisine"))),
         }
     )
@@ -214,6 +226,87 @@ def cache_first_resolve(spark, sf_dir):
     return merged.select("city_slug", "name", F.col("snapshot_ts").isNotNull().alias("from_snapshot"))
 
 
+def store(spark) -> str:
+    """A new snapshot store on the shared storage."""
+    return f"{staging_root(spark)}/mealgrid/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+
+
+OLD, NEW = datetime(2024, 5, 1, 8), datetime(2024, 5, 1, 12)
+
+
+def listing_fields(rows: DataFrame) -> DataFrame:
+    return rows.drop("event_id", "number")
+
+
+def snapshot_refresh(spark, sf_dir):
+    """All cities are kept, then every second one anew with half of its rows."""
+    path, rows = store(spark), views.dated_listings(spark, sf_dir)
+    refresh(listing_fields(rows), path, OLD)
+    refresh(listing_fields(rows.where("number % 2 = 1 and event_id % 2 = 0")), path, NEW)
+    table = read_snapshot_table(spark, path)
+    return table.select("city_slug", "name", (F.col("snapshot_ts") == F.lit(NEW)).alias("is_new"))
+
+
+def snapshot_clear(spark, sf_dir):
+    """Everything is cleared, and a few cities are kept again."""
+    path, rows = store(spark), views.dated_listings(spark, sf_dir)
+    refresh(listing_fields(rows), path, OLD)
+    clear_cities(spark, path)
+    refresh(listing_fields(rows.where("number < 5")), path, NEW)
+    return read_snapshot_table(spark, path).select("city_slug", "name")
+
+
+def snapshot_clear_city(spark, sf_dir):
+    path = store(spark)
+    refresh(listing_fields(views.dated_listings(spark, sf_dir)), path, OLD)
+    clear_city(spark, path, "nation-3")
+    return read_snapshot_table(spark, path).select("city_slug", "name", "aggregate_rating")
+
+
+def snapshot_json(spark, sf_dir):
+    path = store(spark)
+    views.snapshot_files(spark, sf_dir, path)
+    rows = read_json_snapshots(spark, path, NEW, ttl_hours=None)
+    return rows.select("city_slug", "item_no", "name", "votes")
+
+
+def catalogue_of_cities(spark, sf_dir):
+    return views.table(spark, sf_dir, "nation").select(
+        F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("city_slug")
+    )
+
+
+def load_catalogue_saved(spark, sf_dir):
+    """Some cities have fresh snapshots, some old ones; pages serve the rest and are kept."""
+    path, rows = store(spark), views.dated_listings(spark, sf_dir)
+    refresh(listing_fields(rows.where("number >= 10 and number < 20")), path, OLD)
+    refresh(listing_fields(rows.where("number < 10")), path, NEW)
+    got = load_catalogue(
+        catalogue_of_cities(spark, sf_dir), path, views.pages(spark, sf_dir), BASE_URL, NEW, ttl_hours=1, max_pages=MAX_PAGES, save=True
+    )
+    return got.select("city_slug", "name", "aggregate_rating", "votes")
+
+
+def load_catalogue_json(spark, sf_dir):
+    """JSON files serve the cities that the table does not; one city's files are malformed and its pages are read."""
+    path, files, rows = store(spark), store(spark), views.dated_listings(spark, sf_dir)
+    refresh(listing_fields(rows.where("number < 5 and event_id % 2 = 0")), path, NEW)
+    views.snapshot_files(spark, sf_dir, files)
+    got = load_catalogue(
+        catalogue_of_cities(spark, sf_dir), path, views.pages(spark, sf_dir), BASE_URL, NEW, None, max_pages=MAX_PAGES, json_path=files
+    )
+    return got.select("city_slug", "name", "aggregate_rating", "votes")
+
+
+def clean_bare(spark, sf_dir):
+    """Listings that have only the needed columns."""
+    bare = views.raw_listings(spark, sf_dir).drop(
+        "average_cost_for_two", "aggregate_rating", "votes", "image_url", "listing_url", "address"
+    )
+    got = clean.clean_catalogue(bare, ORDER)
+    return got.select("city_slug", "name", "location", "budget_category", "average_cost_for_two", "aggregate_rating", "votes", "image_url", "address")
+
+
 def prompt_lines(spark, sf_dir):
     return prompts.prompt_lines(answers(spark, sf_dir))
 
@@ -277,6 +370,13 @@ def suggest_places(spark, sf_dir):
     )
 
 
+def suggest_cuisines(spark, sf_dir):
+    """Close cuisines for cuisine arguments with a typing error each."""
+    typo = F.concat(F.substring("cuisine", 1, 2), F.lit("q"), F.substring(F.col("cuisine"), F.lit(4), F.char_length("cuisine")))
+    asked = valid_requests(views.requests(spark, sf_dir).withColumn("cuisine", typo))
+    return extensions.suggest_cuisines(asked, catalogue(spark, sf_dir)).select("city_slug", "dish", "cuisine", "distance")
+
+
 def typo_requests(spark, sf_dir):
     typo = F.when(
         F.col("location").isNotNull(),
@@ -374,6 +474,13 @@ QUERIES = {
     "locality_from_url": locality_from_url,
     "fresh_snapshots": fresh_snapshots,
     "cache_first_resolve": cache_first_resolve,
+    "snapshot_refresh": snapshot_refresh,
+    "snapshot_clear": snapshot_clear,
+    "snapshot_clear_city": snapshot_clear_city,
+    "snapshot_json": snapshot_json,
+    "load_catalogue_saved": load_catalogue_saved,
+    "load_catalogue_json": load_catalogue_json,
+    "clean_bare": clean_bare,
     "prompt_lines": prompt_lines,
     "prompt_batch": prompt_batch,
     "parse_responses": parse_responses,
@@ -382,6 +489,7 @@ QUERIES = {
     "result_cards": cards,
     "slug_ids": listing_cards,
     "ext_suggest_places": suggest_places,
+    "ext_suggest_cuisines": suggest_cuisines,
     "ext_popular_places": popular_places,
     "ext_any_cuisine": any_cuisine,
     "ext_relaxed": relaxed,

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.operators.clean import dense_index
+from mealgrid.schemas import RAW_FIELDS
 
 # Input order of a listing: unique in every given table.
 ORDER = ("ord", "line_no", "part_no", "supp_no", "pieces")
 BASE_URL = "https://listings.example"
 PER_PAGE = 40
+SNAPSHOT_RUN = 20000
 # Pages of a city are all read.
 MAX_PAGES = None
 
@@ -295,6 +297,47 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw listings, to be kept as snapshots."""
+    rows = snapshots(spark, sf_dir).drop("snapshot_ts")
+    event = F.col("item_no")
+    texts = {
+        "location": F.lit("here"),
+        "address": F.lit(""),
+        "cuisines": F.lit("thai"),
+        "average_cost_for_two": F.lit("0"),
+        "aggregate_rating": _text(event % 50 / 10),
+        "votes": _text(event % 100),
+        "image_url": F.lit(""),
+        "listing_url": F.lit(""),
+    }
+    number = F.regexp_extract("city_slug", "[0-9]+", 0).cast("int").alias("number")
+    # Events are numbered far beyond an integer; runs of a fixed length serve as pages.
+    run = F.floor(event / SNAPSHOT_RUN).cast("int")
+    return rows.select(
+        "city_slug",
+        run.alias("page_no"),
+        "block_no",
+        (event % SNAPSHOT_RUN).cast("int").alias("item_no"),
+        "name",
+        "city",
+        *[c.alias(n) for n, c in texts.items()],
+        event.alias("event_id"),
+        number,
+    )
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The same listings as JSON arrays below ``path``, a run of events per file; one city's are cut off."""
+    fields = [c for c in RAW_FIELDS]
+    rows = dated_listings(spark, sf_dir)
+    entry = F.struct("item_no", F.struct(*fields).alias("row"))
+    arrays = rows.groupBy("city_slug", "page_no").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    body = F.to_json(F.transform("entries", lambda e: e["row"]))
+    value = F.when(F.col("city_slug") == "nation-7", F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
+    arrays.select("city_slug", value.alias("value")).write.partitionBy("city_slug").option("maxRecordsPerFile", 1).text(path)
+
+
 def latest(snapshots: DataFrame):
     """The newest snapshot time, standing in for the clock."""
     return snapshots.agg(F.max("snapshot_ts")).first()[0]

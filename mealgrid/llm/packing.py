@@ -29,7 +29,7 @@ LENGTH = 2048
 END = 0
 SHARD = 32768
 # Words kept in a worker; some 150 bytes each.
-CACHE = 600_000
+CACHE = 1_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -44,12 +44,13 @@ SPLIT = re.compile(
 )
 
 
-class _Words(dict):
-    """Ids of a word as bytes; words that are missing are encoded in one batch."""
+class _Words:
+    """Ids of words as bytes, kept; a text's new words are encoded in one batch."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
@@ -58,16 +59,15 @@ class _Words(dict):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         words = SPLIT.findall(text.lower())
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self})
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(set(words))
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+                new = set(words)
+            new = list(new)
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            return b"".join(map(self.__getitem__, words))
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @functools.cache

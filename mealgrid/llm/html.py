@@ -9,7 +9,8 @@ notices, adverts, forms, scripts, styles and comments of readers. Nothing
 inside the main element is deleted for being repeated, since copies of an
 article are still articles.
 
-Counts are combined before the shuffle, so a hot host is no hot task. A host
+Counts are combined before the shuffle, and the join with a host's templates is
+N:1 with a written table, so a hot host is no hot task. A host
 has at most ``1 / SHARE`` times as many template subtrees as a page has
 subtrees, which bounds the list that its pages are given.
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mealgrid.llm.common import text_of
+from mealgrid.session import stage
 
 # A subtree is a template on a host from so many distinct pages on, and so large a share.
 PAGES = 8
@@ -246,5 +248,6 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
         text_of(F.col("html")).alias("html"),
         host_of(F.col("url")).alias("host"),
     )
-    rows = slim.join(templates(pages, least, share), "host", "left")
+    # Written first: its size decides the join, so pages are not shuffled by host while the table is small.
+    rows = slim.join(stage(templates(pages, least, share), "templates"), "host", "left")
     return rows.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -1,9 +1,11 @@
 """SQL twins of the queries that SQL can express, for DuckDB.
 
-Positions of matches, calibration, mixing, packing and page structure are
-beyond it; those queries are tested against brute force.
+Mixing, packing and page structure are beyond it; those queries are tested
+against brute force.
 """
 
+from mealgrid.llm import licenses, quality, secrets
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -103,7 +105,120 @@ SELECT doc_id, least(doc_id, coalesce(root.y, doc_id)) AS class_id, coalesce(lin
 FROM docs LEFT JOIN root ON doc_id = root.x LEFT JOIN links ON doc_id = links.x
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(source: str, columns: str, text: str, pattern: str) -> str:
+    """Rows ``m`` (a match) and ``pos`` (code points before it), leftmost and without overlap."""
+    return f"""SELECT {columns}, ms[i] AS m,
+  coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS pos
+FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+  SELECT {columns}, regexp_extract_all({text}, {pattern}) AS ms, string_split_regex({text}, {pattern}) AS gs FROM {source}))"""
+
+
+def _op1() -> str:
+    found = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = _quoted(rule.pattern)
+        least = f"length(regexp_extract(m, {pattern}, 1)) >= {rule.least}" if rule.least else "true"
+        found.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, pos AS s, pos + length(m) AS e FROM ({_matches('docs', 'doc_id', 't', pattern)}) WHERE {least}"
+        )
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    counts = ", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    line = "kind || ':' || cast(s AS bigint) || ':' || cast(e AS bigint)"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(found)})
+SELECT docs.doc_id, {counts},
+  sha256(coalesce(string_agg({line}, ',' ORDER BY s, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg({line}, ',' ORDER BY s, rank), '') AS spans, sha256(any_value(t)) AS blob
+FROM docs LEFT JOIN found ON docs.doc_id = found.doc_id GROUP BY docs.doc_id"""
+
+
+def _op5() -> str:
+    n_rules, tests, cuts = len(quality.RULES), [], []
+    p = quality.ALPHA / n_rules
+    for rule, grid in quality.RULES.items():
+        passed = []
+        for i, c in enumerate(grid):
+            tests.append(f"count(*) FILTER ({rule} > {c!r}) AS {rule}_{i}")
+            k = f"{rule}_{i}"
+            tail = f"list_sum(list_transform(range(0, {k} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln(1 - {p!r}))))"
+            passed.append(f"({k} < n * {p!r} AND {tail} <= {quality.DELTA!r} / ({n_rules} * (SELECT count(*) FROM counts)))")
+        cut = "NULL"
+        for i, c in enumerate(grid):
+            cut = f"CASE WHEN {' AND '.join(passed[: i + 1])} THEN {c!r} ELSE {cut} END"
+        cuts.append(f"{cut} AS {rule}_cut")
+    over = " OR ".join(f"coalesce({r} > {r}_cut, false)" for r in quality.RULES)
+    return rf"""WITH docs AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs)
+), twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+plain AS (
+  SELECT docs.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(covered.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals,
+    length(t) - length(replace(t, '!', '')) AS n_marks
+  FROM docs LEFT JOIN covered ON docs.doc_id = covered.doc_id
+), measured AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_symbols / greatest(word_chars, 1) AS symbols, n_capitals / greatest(word_chars, 1) AS capitals,
+    (len(lines) - len(list_distinct(lines))) / greatest(len(lines), 1) AS dup_lines, n_marks / greatest(n_words, 1) AS marks
+  FROM plain
+), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+counts AS (SELECT lang, count(*) AS n, {", ".join(tests)} FROM measured SEMI JOIN good ON measured.doc_id = good.doc_id GROUP BY lang),
+cuts AS (SELECT lang, {", ".join(cuts)} FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {over}) AS kept,
+  symbols, capitals, dup_lines, marks
+FROM measured LEFT JOIN cuts ON measured.lang IS NOT DISTINCT FROM cuts.lang"""
+
+
+def _template(text: str) -> str:
+    """A template as an expression over words that each have a blank on either side."""
+    out, at = "", 0
+    wrapped = lambda part: "".join(f" {w.decode()} " for w in licenses.words(part))
+    for m in licenses.MARK.finditer(text):
+        out += wrapped(text[at : m.start()])
+        at = m.end()
+        out += f"(?: [^ ]+ ){{0,{m[3]}}}" if m[2] == "any" else (")?" if m[1] else "(?:")
+    return out + wrapped(text[at:])
+
+
+def _op9() -> str:
+    labelled = [(label, _template(t), False) for label, t in licenses.TEMPLATES.items()]
+    labelled += [(label, "".join(f" {w} " for w in p.split()), True) for p, label in licenses.PHRASES.items()]
+    blanks = lambda x: f"(length({x}) - length(replace({x}, ' ', ''))) // 2"
+    found = []
+    for label, pattern, base in labelled:
+        hits = _matches("docs", "doc_id, line", "line", _quoted(pattern))
+        found.append(
+            f"SELECT doc_id, '{label}' AS label, {base} AS base, {blanks('substr(line, 1, cast(pos AS bigint))')} AS s, {blanks('m')} AS k FROM ({hits})"
+        )
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH worded AS (
+  SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (SELECT doc_id, len(w) AS n, coalesce(' ' || array_to_string(w, '  ') || ' ', '') AS line FROM worded),
+found AS ({" UNION ALL ".join(found)}),
+inside AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id),
+told AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM found GROUP BY doc_id
+)
+SELECT docs.doc_id, n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(c / n, 0) AS score
+FROM docs LEFT JOIN told ON docs.doc_id = told.doc_id LEFT JOIN inside ON docs.doc_id = inside.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": _op1(),
+    "op5_quality_rules": _op5(),
+    "op9_license_scan": _op9(),
     "op2_warc_derivatives": OP2,
     "op4_hamming_top_k": OP4,
     "op8_substring_dedup": OP8,

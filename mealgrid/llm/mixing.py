@@ -7,8 +7,9 @@ documents at a time, along the null-space of two balancing constraints, the
 number of documents and of words, until they are 0 or 1; no move changes
 either total. A block of documents ends with two fractions at most. The
 leftovers of a source's blocks meet in new blocks, until one block is left; its
-last two fractions are the landing problem, decided so that the words come
-nearest to what was promised.
+last two fractions are the landing problem: they are decided so that the words
+come nearest to what was promised, and what a long document then leaves over is
+made up by single documents of that block, as long as one brings it nearer.
 
 Only ids, sources and sizes are shuffled, in blocks of bounded size, so a hot
 source is many tasks. Targets come from the table of sources: its order by
@@ -46,6 +47,7 @@ def size_of(text: Column) -> Column:
 
 def fly(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Probabilities after the flight: all 0 or 1 but two at most, and after landing all."""
+    begun, lengths = p, sizes
     p = p.tolist()
     sizes = sizes.tolist()
     open_ = [i for i, x in enumerate(p) if EDGE < x < 1 - EDGE]
@@ -83,7 +85,18 @@ def fly(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, land: bool)
             best = min(best, (off, pick)) if best else (off, pick)
         for i, x in zip(active, best[1]):
             p[i] = float(x)
-    return np.array(p)
+    p = np.array(p)
+    if land and len(open_):
+        chance = np.array(open_)
+        missing = float((begun * lengths).sum() - (p * lengths).sum())
+        while True:
+            change = np.where(p[chance] > 0.5, -lengths[chance], lengths[chance])
+            k = int(np.argmin(np.abs(missing - change)))
+            if abs(missing - change[k]) >= abs(missing) - EDGE:
+                break
+            missing -= float(change[k])
+            p[chance[k]] = 1 - p[chance[k]]
+    return p
 
 
 def _flown(level: int):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.llm import jaccard, mixing, packing, quality, secrets
-from mealgrid.llm.common import table, text_of
+from mealgrid.llm.common import ship, table, text_of
 from mealgrid.llm.queries import scratch
 from mealgrid.session import stage
 
@@ -21,6 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays."""
+    ship(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -44,11 +45,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in training sequences."""
+    ship(spark)
     return packing.packed(stage(packing.pieces(docs), "pieces"))
 
 

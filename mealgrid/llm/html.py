@@ -54,12 +54,18 @@ INLINE = frozenset(
 )
 DROPPED = frozenset("nav footer aside form head button dialog menu input".split())
 MAIN = frozenset(["article", "main"])
-# Parts of class, id and role names that mark what is not the article.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising promo sponsor sponsored banner cookie cookies consent gdpr notice newsletter subscribe "
-    "popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social "
-    "footer header masthead topbar comment comments disqus replies login signup search toolbar pagination pager skip".split()
+# Parts of class, id and role names that mark what is not the article: anywhere in a name,
+STRONG = frozenset(
+    "advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter popup modal navbar navigation breadcrumb "
+    "breadcrumbs sidebar comment comments disqus related recommended".split()
 )
+# and first or last in a name.
+WEAK = frozenset(
+    "ad ads promo sponsor banner notice subscribe overlay nav menu aside widget share sharing social footer masthead topbar replies login "
+    "signup search toolbar pagination pager skip".split()
+)
+# A name that starts so tells about something else.
+OTHERS = frozenset("has with without no is".split())
 PARTS = re.compile(r"[^a-z0-9]+")
 # An open tag of the first closes elements of the second, up to one of the third.
 CLOSES = {
@@ -74,20 +80,29 @@ CLOSES = {
 TOP = frozenset("html body head".split())
 
 
-def _named_away(attrs: str) -> bool:
+def _named(attrs: str) -> tuple[bool, bool]:
+    """Whether names mark an element as no part of the article: at all, and strongly. ``header`` counts apart."""
+    weak = strong = False
     for m in CLASS.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [p for p in PARTS.split(name) if p]
-            if parts and (name in NAMES or parts[0] in NAMES or parts[-1] in NAMES):
-                return True
-    return False
+            if parts and parts[0] not in OTHERS:
+                strong = strong or not STRONG.isdisjoint(parts)
+                weak = weak or parts[0] in WEAK or parts[-1] in WEAK
+    return weak or strong, strong
+
+
+def _heads(attrs: str) -> bool:
+    return any("header" in PARTS.split((m[1] or m[2] or m[3] or "").lower()) for m in CLASS.finditer(attrs))
 
 
 class _Element:
-    __slots__ = ("tag", "away", "main", "sign", "blocks", "head")
+    """An open element; ``held`` is the text before it if it is dropped from within a block."""
+
+    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held")
 
-    def __init__(self, tag, away, main, head):
-        self.tag, self.away, self.main, self.head = tag, away, main, head
+    def __init__(self, tag, away, main, head, held=None):
+        self.tag, self.away, self.main, self.head, self.held = tag, away, main, head, held
         self.sign, self.blocks = [], []
 
 
@@ -110,6 +125,9 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
                 stack[-1].sign.append(text)
 
     def close() -> None:
+        if stack[-1].held is not None:
+            buffer[:] = stack.pop().held
+            return
         flush()
         done = stack.pop()
         up = stack[-1]
@@ -138,7 +156,7 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
         if not tag:
             continue
         tag, ends, attrs = tag.lower(), bool(m[2] or m[5]), (m[4] or m[7] or "")
-        if tag in INLINE and not (attrs and (_named_away(attrs) or HIDDEN.search(attrs))):
+        if tag in INLINE and not (attrs and (_named(attrs)[0] or HIDDEN.search(attrs))):
             if tag == "br":
                 buffer.append(" ")
             if not ends or not any(e.tag == tag for e in stack[1:]):
@@ -157,6 +175,10 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
         if tag in VOID:
             flush()
             continue
+        if tag in INLINE:
+            stack.append(_Element(tag, True, False, "", list(buffer)))
+            buffer.clear()
+            continue
         flush()
         if tag in CLOSES:
             closed, stops = CLOSES[tag]
@@ -168,14 +190,22 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
                     while len(stack) > k:
                         close()
                     break
-        if tag not in INLINE:
-            while stack[-1].tag == "p":
+        inline = len(stack) - 1
+        while stack[inline].held is not None:
+            inline -= 1
+        if stack[inline].tag == "p":
+            while len(stack) > inline:
                 close()
         in_main = any(e.main for e in stack)
-        away = tag in DROPPED or (tag == "header" and not in_main) or bool(attrs and (_named_away(attrs) or HIDDEN.search(attrs)))
+        named, strongly = _named(attrs) if attrs else (False, False)
+        head = (tag == "header" or bool(attrs) and _heads(attrs)) and not in_main
+        away = tag in DROPPED or head or named or bool(attrs and HIDDEN.search(attrs))
         main = tag in MAIN or bool(attrs) and 'role="main"' in attrs.lower()
-        if main or tag in TOP:
-            away = away and tag == "head"
+        if tag == "article":
+            # A reader's comment may be an article of its own.
+            away = strongly
+        elif main or tag in TOP:
+            away = tag == "head"
         if tag == "article" and in_main and any(e.tag == "article" for e in stack):
             main = False
         stack.append(_Element(tag, away, main, attrs[:200]))

@@ -150,6 +150,17 @@ def test_main_text(spark):
     assert got.count() == 6
 
 
+def test_names_tell_what_is_no_article():
+    page = (
+        "<body class='has-sidebar'><div class='site-header'>Site</div><div class='layout with-sidebar'><main>"
+        "<article class='post no-comments'><div class='entry-header'><h1>Title</h1></div><p>Text<span class=ad>Buy <b>now</b></span> goes on</p>"
+        "<div class='post-comments-area'><article class='comment'>Nice</article></div><ul class='share-list'><li>Tweet</li></ul></article>"
+        "<article class='comment depth-1'>Also nice</article></main></div><div role='navigation'>Home</div></body>"
+    )
+    assert html.parsed(page)[0] == ["Title", "Text goes on"]
+    assert html.parsed("<p>a<span hidden>x<p>b<i>c</i> d<a class=ad>y</p>e<div>f</div>")[0] == ["a", "bc d", "e", "f"]
+
+
 def test_recurring_subtrees_go_and_copies_stay(spark):
     box = "<div><p>About this site</p><p>Read on</p></div>"
     items = [(i, "http://h.example/x", f"<html><body>{box}<div><p>Story {i}</p></div></body></html>") for i in range(40)]

@@ -50,13 +50,8 @@ FACTOR = _rng.integers(1, 1 << 32, HASHES, dtype="uint32") | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype="uint32")
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of a text's shingles, repeats included."""
-    words = words_of(text)
-    return _windows(words)
-
-
 def _windows(words: Column) -> Column:
+    """Hashes of the shingles of a text's words, repeats included."""
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
     none = F.array().cast("array<bigint>")

@@ -150,3 +150,16 @@ def test_built_cells_prune_cities(spark):
         assert {r["city_slug"] for r in df.select("city_slug").collect()} == {"cool"}
         text = df._jdf.queryExecution().executedPlan().toString()
         assert f"dynamicpruning" in text and PART in text
+
+
+def test_the_order_key_has_to_be_unique(spark):
+    """The stated contract: listings of a city that share an order key are each picked for it."""
+    rows = listings(8, 20)
+    for r in rows:
+        r.update(city_slug="hot", aggregate_rating=1.0)
+    for r in rows[:2]:
+        r.update(ord=0, aggregate_rating=5.0, votes=3, location="A", cuisines="thai", average_cost_for_two=200.0, budget_category="low")
+    catalogue = spark.createDataFrame([tuple(r[c.split()[0]] for c in LISTING.split(", ")) for r in rows], LISTING)
+    ask = spark.createDataFrame([(1, "hot", None, "low", None, 4.5, None)], REQUEST)
+    got = answer_requests(top_cells(catalogue), valid_requests(ask)).first()
+    assert got["total_matches"] == 4 and {p["ord"] for p in got["picks"]} == {0}

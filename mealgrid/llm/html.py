@@ -1,13 +1,17 @@
 """Main text of web pages, with the templates of each site removed.
 
-Pages become blocks of text by one pass over their tags. Outside the main
-element, subtrees are hashed bottom-up, over tag, class, text and the hashes
-of what they hold. Spark counts for each host the distinct pages that hold a
-subtree; those on many of its pages are its template and are deleted, beside
-what says itself that it is no content: menus, headers and footers, sidebars,
-notices, adverts, forms, scripts, styles and comments of readers. Nothing
-inside the main element is deleted for being repeated, since copies of an
-article are still articles.
+Pages become blocks of text by one pass over their tags. Subtrees are hashed
+bottom-up, over tag, class, text and the hashes of what they hold. Spark counts
+for each host where a subtree recurs; its template is deleted, beside what says
+itself that it is no content: menus, headers and footers, sidebars, notices,
+adverts, forms, scripts, styles and comments of readers.
+
+Outside the main element, distinct pages that hold a subtree are counted.
+Inside, copies of an article are still articles, so what counts is how much the
+rest of the main element differs: each occurrence draws one block of that rest,
+by its hash and in proportion to its length, and distinct draws are counted.
+Copies draw the same block and versions of an article mostly do; a share box
+draws another one in each article. A main element as a whole is never deleted.
 
 Counts are combined before the shuffle, and the join with a host's templates is
 N:1 with a written table, so a hot host is no hot task. A host
@@ -20,6 +24,8 @@ count as one page.
 """
 
 import html as entities
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -99,22 +105,57 @@ def _heads(attrs: str) -> bool:
 class _Element:
     """An open element; ``held`` is the text before it if it is dropped from within a block."""
 
-    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held")
+    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held", "first", "off", "inside")
 
-    def __init__(self, tag, away, main, head, held=None):
-        self.tag, self.away, self.main, self.head, self.held = tag, away, main, head, held
+    def __init__(self, tag, away, main, head, held=None, up=None, first=0):
+        self.tag, self.away, self.main, self.head, self.held, self.first = tag, away, main, head, held, first
         self.sign, self.blocks = [], []
+        self.inside = main or up is not None and up.inside
+        # Within the innermost main element, or the page, to be dropped.
+        self.off = away or not main and up is not None and up.off
 
 
-def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str], list[int]]:
-    """Blocks of the main text, and hashes of the subtrees outside the main element.
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - ((h >> 63) << 64)
+
+
+class _Region:
+    """Blocks of a main element with their draw keys, and places of its subtrees."""
+
+    def __init__(self):
+        self.keys: list[tuple[float, int]] = []
+        self.subtrees: list[tuple[int, int, int]] = []
+
+    def add(self, text: str) -> None:
+        h = _hash(text)
+        self.keys.append((-math.log(((h & (1 << 64) - 1) + 1) / 2.0**64) / len(text), h))
+
+    def drawn(self) -> Iterator[tuple[int, int | None]]:
+        """Each subtree with the block drawn of those outside it, if there are any."""
+        none = (math.inf, 0)
+        before = list(itertools.accumulate(self.keys, min, initial=none))
+        after = list(itertools.accumulate(reversed(self.keys), min, initial=none))[::-1]
+        for h, first, end in self.subtrees:
+            least = min(before[first], after[end])
+            yield h, None if least is none else least[1]
+
+
+def parsed(
+    page: str, templates: frozenset[int] = frozenset(), draws: bool = False
+) -> tuple[list[str], list[tuple[int, int | None, bool]]]:
+    """Blocks of the main text and, with ``draws``, hashes of the subtrees.
+
+    With each hash come the block drawn of the rest of its main element, and
+    whether the subtree is inside one.
 
     A block's text goes to its element; when the element closes, its blocks go
     to its parent, unless it is to be dropped. If the page has main elements,
     only theirs are kept.
     """
     root = _Element("", False, False, "")
-    stack, buffer, hashes, mains = [root], [], [], []
+    stack, buffer, hashes, mains, regions = [root], [], [], [], [_Region()]
+    hashed = draws or bool(templates)
 
     def flush() -> None:
         if buffer:
@@ -123,6 +164,8 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
             if text:
                 stack[-1].blocks.append(text)
                 stack[-1].sign.append(text)
+                if draws and stack[-1].inside and not stack[-1].off:
+                    regions[-1].add(text)
 
     def close() -> None:
         if stack[-1].held is not None:
@@ -132,16 +175,24 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
         done = stack.pop()
         up = stack[-1]
         if done.main:
+            region = regions.pop()
+            if draws:
+                hashes.extend((h, block, True) for h, block in region.drawn())
+                if up.inside and not done.off:
+                    regions[-1].keys += region.keys
             if not any(e.main or e.away for e in stack) and not done.away:
                 mains.extend(done.blocks)
             if not done.away:
                 up.blocks.extend(done.blocks)
             return
         gone = done.away
-        if not any(e.main for e in stack) and done.tag not in TOP and done.sign:
-            h = xxhash.xxh64_intdigest("\x1f".join([done.tag, done.head, *done.sign]).encode("utf-8", "surrogatepass"))
-            h -= (h >> 63) << 64
-            hashes.append(h)
+        if hashed and not (done.off and done.inside) and done.tag not in TOP and done.sign:
+            # Inside and outside of the main element a subtree is not the same.
+            h = _hash("\x1f".join([*(["main"] if done.inside else []), done.tag, done.head, *done.sign]))
+            if done.inside:
+                regions[-1].subtrees.append((h, done.first, len(regions[-1].keys)))
+            else:
+                hashes.append((h, None, False))
             up.sign.append(str(h))
             gone = gone or h in templates
         if not gone:
@@ -176,7 +227,7 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
             flush()
             continue
         if tag in INLINE:
-            stack.append(_Element(tag, True, False, "", list(buffer)))
+            stack.append(_Element(tag, True, False, "", list(buffer), up=stack[-1]))
             buffer.clear()
             continue
         flush()
@@ -208,7 +259,9 @@ def parsed(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[str
             away = tag == "head"
         if tag == "article" and in_main and any(e.tag == "article" for e in stack):
             main = False
-        stack.append(_Element(tag, away, main, attrs[:200]))
+        if main:
+            regions.append(_Region())
+        stack.append(_Element(tag, away, main, attrs[:200], up=stack[-1], first=len(regions[-1].keys)))
     if at < len(page):
         rest = page[at:]
         buffer.append(rest)
@@ -231,31 +284,33 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def keyed(pages: DataFrame) -> DataFrame:
+    """``host``, ``page`` (by content) and ``html``."""
+    html = text_of(F.col("html"))
+    return pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``host``, ``page`` (by content) and ``subtree``: hashes outside the main element."""
+    """``host``, ``page``, ``subtree``, the ``block`` drawn of its surroundings, and whether it is ``inside`` a main element."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for host, page in zip(pdf["host"], pdf["html"]):
-                content = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
-                content -= (content >> 63) << 64
-                rows += [(host, content, h) for h in set(parsed(page)[1])]
-            yield pd.DataFrame(rows, columns=["host", "page", "subtree"])
+            for host, page, html in zip(pdf["host"], pdf["page"], pdf["html"]):
+                rows += [(host, page, *found) for found in set(parsed(html, draws=True)[1])]
+            frame = pd.DataFrame(rows, columns=["host", "page", "subtree", "block", "inside"])
+            yield frame.assign(block=pd.array([r[3] for r in rows], "Int64"))
 
-    slim = pages.select(host_of(F.col("url")).alias("host"), text_of(F.col("html")).alias("html"))
-    return slim.mapInPandas(run, "host string, page bigint, subtree bigint")
+    return keyed(pages).mapInPandas(run, "host string, page bigint, subtree bigint, block bigint, inside boolean")
 
 
 def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """``host`` and its template ``subtrees``."""
-    held = subtrees(pages).groupBy("host", "subtree", "page").agg(F.count("*").alias("rows"))
-    counts = held.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    size = (
-        pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(text_of(F.col("html"))).alias("page"))
-        .distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    )
-    many = counts.join(size, "host").where(F.col("n") >= share * F.col("pages"))
+    held = subtrees(pages).withColumn("mark", F.when(F.col("inside"), F.col("block")).otherwise(F.col("page"))).where("mark IS NOT NULL")
+    marks = held.groupBy("host", "subtree", "inside", "mark").agg(F.count("*").alias("rows"))
+    counts = marks.groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    size = keyed(pages).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    many = counts.join(size, "host").where(F.col("inside") | (F.col("n") >= share * F.col("pages")))
     return many.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
 
 

@@ -174,6 +174,19 @@ def test_recurring_subtrees_go_and_copies_stay(spark):
     assert all(by[300 + i] == "Shared\nnews" for i in range(30))
 
 
+def test_recurring_subtrees_inside_the_main_element_go(spark):
+    box = "<div><p>Tell your friends</p><p>Join our list</p></div>"
+    items = [(i, "http://h.example/x", f"<main><article><p>Story {i} is told here</p>{box}<p>And {i} ends</p></article></main>") for i in range(20)]
+    # Versions of one article, and copies of it under changing menus, keep their text.
+    long = "".join(f"<p>Paragraph {k} of a long article with many words in it</p>" for k in range(8))
+    items += [(100 + i, "http://h.example/y", f"<article>{long}<p>Edit {i}</p></article>") for i in range(20)]
+    items += [(200 + i, "http://h.example/z", f"<nav>{i}</nav><article><p>Shared</p>{box}<p>news</p></article>") for i in range(20)]
+    by = {r.page_id: r.text for r in html.extract(pages(spark, items)).collect()}
+    assert all(by[i] == f"Story {i} is told here\nAnd {i} ends" for i in range(20))
+    assert all(by[100 + i].count("Paragraph") == 8 and by[100 + i].endswith(f"Edit {i}") for i in range(20))
+    assert all(by[200 + i] == "Shared\nnews" for i in range(20))
+
+
 def test_pages_of_the_table_hold_their_articles(spark):
     import re
 

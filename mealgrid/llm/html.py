@@ -50,7 +50,8 @@ TAG = re.compile(
     re.S | re.I,
 )
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +61,8 @@ INLINE = frozenset(
 )
 DROPPED = frozenset("nav footer aside form head button dialog menu input".split())
 MAIN = frozenset(["article", "main"])
+# A name that ends so tells what an article allows, not what it is.
+STATES = frozenset("open opened closed enabled disabled allowed on off".split())
 # Parts of class, id and role names that mark what is not the article: anywhere in a name,
 STRONG = frozenset(
     "advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter popup modal navbar navigation breadcrumb "
@@ -86,30 +89,51 @@ CLOSES = {
 TOP = frozenset("html body head".split())
 
 
-def _named(attrs: str) -> tuple[bool, bool]:
-    """Whether names mark an element as no part of the article: at all, and strongly. ``header`` counts apart."""
-    weak = strong = False
+def _names(attrs: str) -> Iterator[list[str]]:
+    """Parts of the names that tell about the element itself."""
     for m in CLASS.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [p for p in PARTS.split(name) if p]
             if parts and parts[0] not in OTHERS:
-                strong = strong or not STRONG.isdisjoint(parts)
-                weak = weak or parts[0] in WEAK or parts[-1] in WEAK
-    return weak or strong, strong
+                yield parts
+
+
+def _named(attrs: str) -> bool:
+    """Whether names mark an element as no part of the article. ``header`` counts apart."""
+    return any(not STRONG.isdisjoint(p) or p[0] in WEAK or p[-1] in WEAK for p in _names(attrs))
+
+
+def _remark(attrs: str) -> bool:
+    """Whether names mark an article as no article, such as a reader's comment."""
+    return any(not STRONG.isdisjoint(p) and p[-1] not in STATES for p in _names(attrs))
 
 
 def _heads(attrs: str) -> bool:
-    return any("header" in PARTS.split((m[1] or m[2] or m[3] or "").lower()) for m in CLASS.finditer(attrs))
+    return any("header" in p for p in _names(attrs))
+
+
+def _hidden(attrs: str) -> bool:
+    lower = attrs.lower()
+    if "hidden" not in lower and "display" not in lower:
+        return False
+    for m in ATTRIBUTE.finditer(attrs):
+        name = m[1].lower()
+        value = (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSHOWN.search(value):
+            return True
+    return False
 
 
 class _Element:
     """An open element; ``held`` is the text before it if it is dropped from within a block."""
 
-    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held", "first", "off", "inside")
+    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held", "first", "off", "inside", "saved", "firm")
 
-    def __init__(self, tag, away, main, head, held=None, up=None, first=0):
+    def __init__(self, tag, away, main, head, held=None, up=None, first=0, firm=False):
         self.tag, self.away, self.main, self.head, self.held, self.first = tag, away, main, head, held, first
         self.sign, self.blocks = [], []
+        # Main elements within it stay if it is dropped, unless that is firm.
+        self.saved, self.firm = [], firm
         self.inside = main or up is not None and up.inside
         # Within the innermost main element, or the page, to be dropped.
         self.off = away or not main and up is not None and up.off
@@ -151,10 +175,13 @@ def parsed(
 
     A block's text goes to its element; when the element closes, its blocks go
     to its parent, unless it is to be dropped. If the page has main elements,
-    only theirs are kept.
+    only theirs are kept. Those in an element to be dropped count if there are
+    no others: of these the least deep in such elements, if they hold as much
+    text as the rest. Otherwise they stand in the rest, but for those in menus
+    and the like.
     """
     root = _Element("", False, False, "")
-    stack, buffer, hashes, mains, regions = [root], [], [], [], [_Region()]
+    stack, buffer, hashes, mains, regions = [root], [], [], {}, [_Region()]
     hashed = draws or bool(templates)
 
     def flush() -> None:
@@ -169,7 +196,12 @@ def parsed(
 
     def close() -> None:
         if stack[-1].held is not None:
-            buffer[:] = stack.pop().held
+            done = stack.pop()
+            buffer[:] = done.held
+            if done.saved and not done.firm:
+                flush()
+                stack[-1].blocks.extend(done.saved)
+                stack[-1].saved.extend(done.saved)
             return
         flush()
         done = stack.pop()
@@ -180,9 +212,10 @@ def parsed(
                 hashes.extend((h, block, True) for h, block in region.drawn())
                 if up.inside and not done.off:
                     regions[-1].keys += region.keys
-            if not any(e.main or e.away for e in stack) and not done.away:
-                mains.extend(done.blocks)
             if not done.away:
+                if not up.inside:
+                    mains.setdefault(sum(e.away for e in stack), []).extend(done.blocks)
+                    up.saved.extend(done.blocks)
                 up.blocks.extend(done.blocks)
             return
         gone = done.away
@@ -195,8 +228,9 @@ def parsed(
                 hashes.append((h, None, False))
             up.sign.append(str(h))
             gone = gone or h in templates
-        if not gone:
-            up.blocks.extend(done.blocks)
+        if not (done.away and done.firm):
+            up.saved.extend(done.saved)
+            up.blocks.extend(done.saved if gone else done.blocks)
 
     at = 0
     for m in TAG.finditer(page):
@@ -207,7 +241,7 @@ def parsed(
         if not tag:
             continue
         tag, ends, attrs = tag.lower(), bool(m[2] or m[5]), (m[4] or m[7] or "")
-        if tag in INLINE and not (attrs and (_named(attrs)[0] or HIDDEN.search(attrs))):
+        if tag in INLINE and not (attrs and (_named(attrs) or _hidden(attrs))):
             if tag == "br":
                 buffer.append(" ")
             if not ends or not any(e.tag == tag for e in stack[1:]):
@@ -227,7 +261,7 @@ def parsed(
             flush()
             continue
         if tag in INLINE:
-            stack.append(_Element(tag, True, False, "", list(buffer), up=stack[-1]))
+            stack.append(_Element(tag, True, False, "", list(buffer), up=stack[-1], firm=_hidden(attrs)))
             buffer.clear()
             continue
         flush()
@@ -248,27 +282,33 @@ def parsed(
             while len(stack) > inline:
                 close()
         in_main = any(e.main for e in stack)
-        named, strongly = _named(attrs) if attrs else (False, False)
         head = (tag == "header" or bool(attrs) and _heads(attrs)) and not in_main
-        away = tag in DROPPED or head or named or bool(attrs and HIDDEN.search(attrs))
+        firm = tag in DROPPED and tag != "form" or bool(attrs) and _hidden(attrs)
+        away = firm or tag == "form" or head or bool(attrs) and _named(attrs)
         main = tag in MAIN or bool(attrs) and 'role="main"' in attrs.lower()
         if tag == "article":
             # A reader's comment may be an article of its own.
-            away = strongly
+            away = bool(attrs) and _remark(attrs)
         elif main or tag in TOP:
             away = tag == "head"
         if tag == "article" and in_main and any(e.tag == "article" for e in stack):
             main = False
         if main:
             regions.append(_Region())
-        stack.append(_Element(tag, away, main, attrs[:200], up=stack[-1], first=len(regions[-1].keys)))
+        stack.append(_Element(tag, away, main, attrs[:200], up=stack[-1], first=len(regions[-1].keys), firm=firm))
     if at < len(page):
         rest = page[at:]
         buffer.append(rest)
     while len(stack) > 1:
         close()
     flush()
-    return mains or root.blocks, hashes
+    if not mains:
+        return root.blocks, hashes
+    least = min(mains)
+    size = lambda blocks: sum(map(len, blocks))
+    if least and size(mains[least]) < size(root.blocks) - size(root.saved):
+        return root.blocks, hashes
+    return mains[least], hashes
 
 
 def _inside(stack: list) -> list:

@@ -174,6 +174,23 @@ def test_recurring_subtrees_go_and_copies_stay(spark):
     assert all(by[300 + i] == "Shared\nnews" for i in range(30))
 
 
+def test_an_article_survives_what_it_stands_in():
+    article = "<article class='post comments-open'><h1>Title</h1><p title='the hidden truth'>Text of it</p></article>"
+    for start, end in [
+        ("<form>", "</form>"), ("<div class='sidebar-left'>", "</div>"), ("<div class='comments-enabled'>", "</div>"),
+        ("<div class='has-fixed-header'>", "</div>"), ("<div class='related-layout'><form>", "</form></div>"), ("<div class='header-top'>", "</div>"),
+        ("<span class='share'>", "</span>"),
+    ]:
+        page = f"<body>{start}<p>Subscribe</p>{article}<ul><li>Menu</li></ul>{end}</body>"
+        assert html.parsed(page)[0] == ["Title", "Text of it"], start
+        # Also beside much other text.
+        assert html.parsed(page + f"<div>{'Other text. ' * 20}</div>")[0][:2] == ["Title", "Text of it"], start
+    # Articles in a side column do not replace the text, nor do comments after a main element.
+    assert html.parsed("<div><p>The long text of the page</p></div><aside><article>Teaser</article></aside>")[0] == ["The long text of the page"]
+    assert html.parsed("<main>Text</main><section id=comments><article>Nice</article></section>")[0] == ["Text"]
+    assert html.parsed("<p hidden>a<p aria-hidden='true'>b<p style='display: none'>c<p data-x='hidden'>d")[0] == ["d"]
+
+
 def test_recurring_subtrees_inside_the_main_element_go(spark):
     box = "<div><p>Tell your friends</p><p>Join our list</p></div>"
     items = [(i, "http://h.example/x", f"<main><article><p>Story {i} is told here</p>{box}<p>And {i} ends</p></article></main>") for i in range(20)]

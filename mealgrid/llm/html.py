@@ -43,7 +43,7 @@ SHARE = 0.05
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|title|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*>",
@@ -57,8 +57,11 @@ SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split()
 )
+# Dropped from their start to their end, if they have one; else the tag alone.
+EMBEDDED = frozenset("noscript template textarea iframe svg title select object".split())
 DROPPED = frozenset("nav footer aside form head button dialog menu input".split())
 MAIN = frozenset(["article", "main"])
 # A name that ends so tells what an article allows, not what it is.
@@ -165,6 +168,21 @@ class _Region:
             yield h, None if least is none else least[1]
 
 
+def _embedded(tags: list[re.Match]) -> dict[int, int]:
+    """Where embedded elements start and end, without those that never end."""
+    opened, found = {tag: [] for tag in EMBEDDED}, {}
+    for m in tags:
+        tag = (m[3] or m[6] or "").lower()
+        if tag not in EMBEDDED:
+            continue
+        if not (m[2] or m[5]):
+            if tag != "svg" or not (m[4] or m[7] or "").endswith("/"):
+                opened[tag].append(m.start())
+        elif opened[tag]:
+            found[opened[tag].pop()] = m.end()
+    return found
+
+
 def parsed(
     page: str, templates: frozenset[int] = frozenset(), draws: bool = False
 ) -> tuple[list[str], list[tuple[int, int | None, bool]]]:
@@ -233,12 +251,16 @@ def parsed(
             up.blocks.extend(done.saved if gone else done.blocks)
 
     at = 0
-    for m in TAG.finditer(page):
+    tags = list(TAG.finditer(page))
+    embedded = _embedded(tags)
+    for m in tags:
+        if m.start() < at:
+            continue
         if m.start() > at:
             buffer.append(page[at : m.start()])
-        at = m.end()
+        at = embedded.get(m.start(), m.end())
         tag = m[3] or m[6]
-        if not tag:
+        if not tag or tag.lower() in EMBEDDED:
             continue
         tag, ends, attrs = tag.lower(), bool(m[2] or m[5]), (m[4] or m[7] or "")
         if tag in INLINE and not (attrs and (_named(attrs) or _hidden(attrs))):

@@ -191,6 +191,16 @@ def test_an_article_survives_what_it_stands_in():
     assert html.parsed("<p hidden>a<p aria-hidden='true'>b<p style='display: none'>c<p data-x='hidden'>d")[0] == ["d"]
 
 
+def test_embedded_elements_end_where_they_end():
+    for start in ("<svg class='i'/>", "<select><option>", "<object data='x'>", "<iframe src='x'>", "<noscript>", "<math/>", "<textarea>"):
+        page = f"<body><div>{start}</div><article>Text</article><div><svg><path d='x'/>s</svg><select><option>o</select><iframe>f</iframe></div></body>"
+        assert html.parsed(page)[0] == ["Text"], start
+    page = "<p>One <svg><svg>a</svg><text>b</text></svg>two <object>c</object>three <template><article>d</article></template>four</p>"
+    assert html.parsed(page)[0] == ["One two three four"]
+    assert html.parsed("<article>If <math><mrow><mi>x</mi><mo>&lt;</mo><mn>2</mn></mrow></math> then</article>")[0] == ["If x<2 then"]
+    assert html.parsed("a<script>b<p>c")[0] == ["a"]
+
+
 def test_recurring_subtrees_inside_the_main_element_go(spark):
     box = "<div><p>Tell your friends</p><p>Join our list</p></div>"
     items = [(i, "http://h.example/x", f"<main><article><p>Story {i} is told here</p>{box}<p>And {i} ends</p></article></main>") for i in range(20)]

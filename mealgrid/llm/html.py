@@ -6,17 +6,21 @@ for each host where a subtree recurs; its template is deleted, beside what says
 itself that it is no content: menus, headers and footers, sidebars, notices,
 adverts, forms, scripts, styles and comments of readers.
 
-Outside the main element, distinct pages that hold a subtree are counted.
-Inside, copies of an article are still articles, so what counts is how much the
-rest of the main element differs: each occurrence draws one block of that rest,
-by its hash and in proportion to its length, and distinct draws are counted.
-Copies draw the same block and versions of an article mostly do; a share box
-draws another one in each article. A main element as a whole is never deleted.
-
-Counts are combined before the shuffle, and the join with a host's templates is
-N:1 with a written table, so a hot host is no hot task. A host
-has at most ``1 / SHARE`` times as many template subtrees as a page has
-subtrees, which bounds the list that its pages are given.
+Copies of an article are still articles, so what counts is how much the rest
+of the main element, or of the page, differs: each occurrence draws one block
+of that rest, by its hash and in proportion to its length, and distinct draws
+are counted. Copies draw the same block, versions of an article mostly do, and
+what is most of the text draws none; beside a share box each article draws
+another one. So many draws make a template on a host of any size. Outside the
+main element so many distinct pages do, too, if they are a share of the host's
+pages. A main element as a whole is never deleted, and of the plain paragraphs
+inside, whose sentences may be said again, only those on most pages of the
+host.
+
+Counts are combined before the shuffle. Templates meet the subtrees of pages
+by host and subtree, N:1 and left to skew splitting, and each page is given
+those that it holds, so no list grows with its host. Hosts of fewer distinct
+pages than a template needs have none.
 
 Null and empty pages have an empty text. A page without a host shares its
 templates with others of no host. Repeated rows give repeated results, and
@@ -37,9 +41,11 @@ from pyspark.sql import functions as F
 from mealgrid.llm.common import text_of
 from mealgrid.session import stage
 
-# A subtree is a template on a host from so many distinct pages on, and so large a share.
+# A subtree is a template on a host from so many distinct draws on, or so many distinct pages and so large a share.
 PAGES = 8
 SHARE = 0.05
+# A plain paragraph inside a main element may be said again: it also needs so large a share.
+MOST = 0.5
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -90,6 +96,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 TOP = frozenset("html body head".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre".split())
 
 
 def _names(attrs: str) -> Iterator[list[str]]:
@@ -151,21 +158,22 @@ class _Region:
     """Blocks of a main element with their draw keys, and places of its subtrees."""
 
     def __init__(self):
-        self.keys: list[tuple[float, int]] = []
-        self.subtrees: list[tuple[int, int, int]] = []
+        self.keys: list[tuple[float, int, int]] = []
+        self.subtrees: list[tuple[int, int, int, int]] = []
 
     def add(self, text: str) -> None:
         h = _hash(text)
-        self.keys.append((-math.log(((h & (1 << 64) - 1) + 1) / 2.0**64) / len(text), h))
+        self.keys.append((-math.log(((h & (1 << 64) - 1) + 1) / 2.0**64) / len(text), h, len(text)))
 
-    def drawn(self) -> Iterator[tuple[int, int | None]]:
-        """Each subtree with the block drawn of those outside it, if there are any."""
-        none = (math.inf, 0)
+    def drawn(self) -> Iterator[tuple[int, int | None, int]]:
+        """Each subtree with the block drawn of those outside it, if it is no more than half of the text."""
+        none = (math.inf, 0, 0)
         before = list(itertools.accumulate(self.keys, min, initial=none))
         after = list(itertools.accumulate(reversed(self.keys), min, initial=none))[::-1]
-        for h, first, end in self.subtrees:
+        sizes = list(itertools.accumulate((k[2] for k in self.keys), initial=0))
+        for h, first, end, kind in self.subtrees:
             least = min(before[first], after[end])
-            yield h, None if least is none else least[1]
+            yield h, None if least is none or 2 * (sizes[end] - sizes[first]) > sizes[-1] else least[1], kind
 
 
 def _embedded(tags: list[re.Match]) -> dict[int, int]:
@@ -185,11 +193,12 @@ def _embedded(tags: list[re.Match]) -> dict[int, int]:
 
 def parsed(
     page: str, templates: frozenset[int] = frozenset(), draws: bool = False
-) -> tuple[list[str], list[tuple[int, int | None, bool]]]:
+) -> tuple[list[str], list[tuple[int, int | None, int]]]:
     """Blocks of the main text and, with ``draws``, hashes of the subtrees.
 
-    With each hash come the block drawn of the rest of its main element, and
-    whether the subtree is inside one.
+    With each hash come the block drawn of the rest of its main element or page,
+    and what the subtree is: 0 outside a main element, 1 inside one, 2 a plain
+    paragraph inside one.
 
     A block's text goes to its element; when the element closes, its blocks go
     to its parent, unless it is to be dropped. If the page has main elements,
@@ -209,7 +218,7 @@ def parsed(
             if text:
                 stack[-1].blocks.append(text)
                 stack[-1].sign.append(text)
-                if draws and stack[-1].inside and not stack[-1].off:
+                if draws and not stack[-1].off:
                     regions[-1].add(text)
 
     def close() -> None:
@@ -227,8 +236,8 @@ def parsed(
         if done.main:
             region = regions.pop()
             if draws:
-                hashes.extend((h, block, True) for h, block in region.drawn())
-                if up.inside and not done.off:
+                hashes.extend(region.drawn())
+                if not (done.off or up.off):
                     regions[-1].keys += region.keys
             if not done.away:
                 if not up.inside:
@@ -240,10 +249,8 @@ def parsed(
         if hashed and not (done.off and done.inside) and done.tag not in TOP and done.sign:
             # Inside and outside of the main element a subtree is not the same.
             h = _hash("\x1f".join([*(["main"] if done.inside else []), done.tag, done.head, *done.sign]))
-            if done.inside:
-                regions[-1].subtrees.append((h, done.first, len(regions[-1].keys)))
-            else:
-                hashes.append((h, None, False))
+            kind = 0 if not done.inside else 2 if done.tag in PROSE and not done.head.strip() and len(done.blocks) < 2 else 1
+            regions[-1].subtrees.append((h, done.first, len(regions[-1].keys), kind))
             up.sign.append(str(h))
             gone = gone or h in templates
         if not (done.away and done.firm):
@@ -324,6 +331,8 @@ def parsed(
     while len(stack) > 1:
         close()
     flush()
+    if draws:
+        hashes.extend(regions[0].drawn())
     if not mains:
         return root.blocks, hashes
     least = min(mains)
@@ -353,27 +362,42 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``host``, ``page``, ``subtree``, the ``block`` drawn of its surroundings, and whether it is ``inside`` a main element."""
+    """``host``, ``page``, ``subtree``, the ``block`` drawn outside of it, and its ``kind``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for host, page, html in zip(pdf["host"], pdf["page"], pdf["html"]):
                 rows += [(host, page, *found) for found in set(parsed(html, draws=True)[1])]
-            frame = pd.DataFrame(rows, columns=["host", "page", "subtree", "block", "inside"])
+            frame = pd.DataFrame(rows, columns=["host", "page", "subtree", "block", "kind"])
             yield frame.assign(block=pd.array([r[3] for r in rows], "Int64"))
 
-    return keyed(pages).mapInPandas(run, "host string, page bigint, subtree bigint, block bigint, inside boolean")
+    return keyed(pages).mapInPandas(run, "host string, page bigint, subtree bigint, block bigint, kind int")
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """``host`` and its template ``subtrees``."""
-    held = subtrees(pages).withColumn("mark", F.when(F.col("inside"), F.col("block")).otherwise(F.col("page"))).where("mark IS NOT NULL")
-    marks = held.groupBy("host", "subtree", "inside", "mark").agg(F.count("*").alias("rows"))
-    counts = marks.groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def templates(held: DataFrame, pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """``host`` and ``subtree`` of the templates; ``held`` are the subtrees of ``pages``."""
+    marks = F.array_compact(F.array(
+        F.when(F.col("block").isNotNull(), F.struct(F.lit(True).alias("drawn"), F.col("block").alias("of"))),
+        F.when(F.col("kind") != 1, F.struct(F.lit(False).alias("drawn"), F.col("page").alias("of"))),
+    ))
+    key = ["host", "subtree", "kind"]
+    marked = held.select(*key, F.explode(marks).alias("mark")).groupBy(*key, "mark").agg(F.count("*").alias("rows"))
+    counts = marked.groupBy(*key).agg(F.count_if("mark.drawn").alias("draws"), F.count_if(~F.col("mark.drawn")).alias("n"))
+    counts = counts.where((F.col("draws") >= least) | (F.col("kind") == 0) & (F.col("n") >= least))
     size = keyed(pages).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    many = counts.join(size, "host").where(F.col("inside") | (F.col("n") >= share * F.col("pages")))
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
+    enough = F.when(F.col("kind") == 2, F.col("n") >= MOST * F.col("pages")).otherwise(
+        (F.col("draws") >= least) | (F.col("n") >= share * F.col("pages"))
+    )
+    return counts.join(size, "host").where(enough).select("host", "subtree").distinct()
+
+
+def found(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+    """``host``, ``page`` and the template ``subtrees`` it holds, for pages that hold any."""
+    held = stage(subtrees(pages), "subtrees")
+    known = stage(templates(held, pages, least, share), "templates")
+    rows = held.select("host", "page", "subtree").join(known, ["host", "subtree"], "left_semi")
+    return rows.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))
 
 
 def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -381,11 +405,10 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known, texts = {}, []
-            for host, held, page in zip(pdf["host"], pdf["subtrees"], pdf["html"]):
-                if host not in known:
-                    known[host] = frozenset() if held is None else frozenset(int(h) for h in held)
-                texts.append("\n".join(parsed(page, known[host])[0]))
+            texts = []
+            for held, page in zip(pdf["subtrees"], pdf["html"]):
+                known = frozenset() if held is None else frozenset(int(h) for h in held)
+                texts.append("\n".join(parsed(page, known)[0]))
             out = pdf[["page_id", "url"]].assign(text=texts)
             yield out.assign(n_chars=out["text"].map(len).astype("int64"), page_id=out["page_id"].astype("Int64"))
 
@@ -394,7 +417,7 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
         F.col("url").cast("string").alias("url"),
         text_of(F.col("html")).alias("html"),
         host_of(F.col("url")).alias("host"),
-    )
-    # Written first: its size decides the join, so pages are not shuffled by host while the table is small.
-    rows = slim.join(stage(templates(pages, least, share), "templates"), "host", "left")
+    ).withColumn("page", F.xxhash64("html"))
+    # Written first: its size decides the join, so pages are not shuffled while the table is small.
+    rows = slim.join(stage(found(pages, least, share), "found"), ["host", "page"], "left")
     return rows.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")

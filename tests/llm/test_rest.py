@@ -214,6 +214,15 @@ def test_recurring_subtrees_inside_the_main_element_go(spark):
     assert all(by[200 + i] == "Shared\nnews" for i in range(20))
 
 
+def test_templates_of_a_small_share_of_a_host_go(spark):
+    items = [(i, "http://h.example/x", f"<div><p>Story number {i} is told here</p></div><div class=x><p>Offer {i % 25}</p></div>") for i in range(800)]
+    long = "".join(f"<p>Paragraph {k} of a long article with many words in it</p>" for k in range(8))
+    items += [(1000 + i, "http://h.example/y", f"<div>{long}</div><p>Edit {i}</p>") for i in range(12)]
+    by = {r.page_id: r.text for r in html.extract(pages(spark, items)).collect()}
+    assert all(by[i] == f"Story number {i} is told here" for i in range(800))
+    assert all(by[1000 + i].count("Paragraph") == 8 for i in range(12))
+
+
 def test_pages_of_the_table_hold_their_articles(spark):
     import re
 

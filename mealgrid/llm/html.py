@@ -193,12 +193,12 @@ def _embedded(tags: list[re.Match]) -> dict[int, int]:
 
 def parsed(
     page: str, templates: frozenset[int] = frozenset(), draws: bool = False
-) -> tuple[list[str], list[tuple[int, int | None, int]]]:
+) -> tuple[list[str], list[tuple[int, int | None, int, bool]]]:
     """Blocks of the main text and, with ``draws``, hashes of the subtrees.
 
     With each hash come the block drawn of the rest of its main element or page,
-    and what the subtree is: 0 outside a main element, 1 inside one, 2 a plain
-    paragraph inside one.
+    what the subtree is (0 outside a main element, 1 inside one, 2 a plain
+    paragraph inside one), and whether it can be part of the text.
 
     A block's text goes to its element; when the element closes, its blocks go
     to its parent, unless it is to be dropped. If the page has main elements,
@@ -240,7 +240,7 @@ def parsed(
                 if not (done.off or up.off):
                     regions[-1].keys += region.keys
             if not done.away:
-                if not up.inside:
+                if not up.inside and done.blocks:
                     mains.setdefault(sum(e.away for e in stack), []).extend(done.blocks)
                     up.saved.extend(done.blocks)
                 up.blocks.extend(done.blocks)
@@ -333,6 +333,7 @@ def parsed(
     flush()
     if draws:
         hashes.extend(regions[0].drawn())
+        hashes = [(*found, found[2] > 0 or 0 not in mains) for found in hashes]
     if not mains:
         return root.blocks, hashes
     least = min(mains)
@@ -362,17 +363,17 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``host``, ``page``, ``subtree``, the ``block`` drawn outside of it, and its ``kind``."""
+    """``host``, ``page``, ``subtree``, the ``block`` drawn outside of it, its ``kind``, and whether it can be ``used``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for host, page, html in zip(pdf["host"], pdf["page"], pdf["html"]):
                 rows += [(host, page, *found) for found in set(parsed(html, draws=True)[1])]
-            frame = pd.DataFrame(rows, columns=["host", "page", "subtree", "block", "kind"])
+            frame = pd.DataFrame(rows, columns=["host", "page", "subtree", "block", "kind", "used"])
             yield frame.assign(block=pd.array([r[3] for r in rows], "Int64"))
 
-    return keyed(pages).mapInPandas(run, "host string, page bigint, subtree bigint, block bigint, kind int")
+    return keyed(pages).mapInPandas(run, "host string, page bigint, subtree bigint, block bigint, kind int, used boolean")
 
 
 def templates(held: DataFrame, pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -382,7 +383,9 @@ def templates(held: DataFrame, pages: DataFrame, least: int = PAGES, share: floa
         F.when(F.col("kind") != 1, F.struct(F.lit(False).alias("drawn"), F.col("page").alias("of"))),
     ))
     key = ["host", "subtree", "kind"]
-    marked = held.select(*key, F.explode(marks).alias("mark")).groupBy(*key, "mark").agg(F.count("*").alias("rows"))
+    # Most subtrees are rare; only the others go on to be counted by distinct marks.
+    often = stage(held.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") >= least).select(*key), "often")
+    marked = held.join(often, key, "left_semi").select(*key, F.explode(marks).alias("mark")).distinct()
     counts = marked.groupBy(*key).agg(F.count_if("mark.drawn").alias("draws"), F.count_if(~F.col("mark.drawn")).alias("n"))
     counts = counts.where((F.col("draws") >= least) | (F.col("kind") == 0) & (F.col("n") >= least))
     size = keyed(pages).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
@@ -396,7 +399,7 @@ def found(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFra
     """``host``, ``page`` and the template ``subtrees`` it holds, for pages that hold any."""
     held = stage(subtrees(pages), "subtrees")
     known = stage(templates(held, pages, least, share), "templates")
-    rows = held.select("host", "page", "subtree").join(known, ["host", "subtree"], "left_semi")
+    rows = held.where("used").select("host", "page", "subtree").join(known, ["host", "subtree"], "left_semi")
     return rows.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))
 
 

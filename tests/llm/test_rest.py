@@ -188,6 +188,7 @@ def test_an_article_survives_what_it_stands_in():
     # Articles in a side column do not replace the text, nor do comments after a main element.
     assert html.parsed("<div><p>The long text of the page</p></div><aside><article>Teaser</article></aside>")[0] == ["The long text of the page"]
     assert html.parsed("<main>Text</main><section id=comments><article>Nice</article></section>")[0] == ["Text"]
+    assert html.parsed("<article></article><p>Text</p>")[0] == ["Text"]
     assert html.parsed("<p hidden>a<p aria-hidden='true'>b<p style='display: none'>c<p data-x='hidden'>d")[0] == ["d"]
 
 

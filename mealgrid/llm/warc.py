@@ -6,21 +6,27 @@ HTTP header lines and payload digest on, the conversion record the plain text.
 Both have identifiers, block digests and lengths of their own, and each names
 the other through the metadata's ``derived`` line, so the three are linked.
 
-Built-in expressions, row by row: no shuffle, no state.
+Row by row: no shuffle, no state. Character references are decoded in Arrow
+batches, the rest is built-in expressions.
 
 Null payloads are empty, null header lines none; a response without an
 identifier gets one from its target and payload, so that links hold. Repeated
 responses give repeated records.
 """
 
+import re
+from html import unescape
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mealgrid.llm.common import text_of
 
 CRLF = "\r\n"
-# References that plain text resolves, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Named and numeric references, decoded once; without its semicolon a reference stays, as it may be cut off.
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 HIDDEN = r"(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>|<!--.*?-->"
 BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|article|section|nav|header|footer|aside|blockquote|pre|form)\b[^>]*>"
 
@@ -36,13 +42,30 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def _decoded(m: re.Match) -> str:
+    ref = m[0]
+    if ref[1] != "#" and ref[1:] not in html5:
+        return ref
+    # A no-break space is a space in plain text.
+    return unescape(ref).replace("\xa0", " ")
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references decoded."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: REFERENCE.sub(_decoded, t) if t and "&" in t else t)
+
+    return run(text)
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden parts and tags gone, blocks on lines of their own."""
     out = F.regexp_replace(html, HIDDEN, "")
     out = F.regexp_replace(out, BLOCK, "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = decoded(out)
     out = F.regexp_replace(out, r"[ \t\r]+", " ")
     return F.btrim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 

@@ -251,6 +251,12 @@ def test_derivatives(spark):
     assert warc.derivatives(bare.limit(0)).collect() == []
 
 
+def test_plain_text_decodes_every_reference(spark):
+    page = "<p>caf&eacute; &mdash; it&#8217;s &#x2014;&nbsp;&#160;x &amp;eacute; &amp;lt; &hearts; &unknown; &amp &lt;b&gt; a&NotEqualTilde;b"
+    got = warc.derivatives(warc.as_responses(pages(spark, [(1, "http://a.example/", page)]))).where("record_type = 'conversion'").collect()
+    assert [r.block for r in got] == ["café — it’s — x &eacute; &lt; ♥ &unknown; &amp <b> a\u2242\u0338b"]
+
+
 def test_written_records_are_read_back(spark, tmp_path):
     import gzip
 

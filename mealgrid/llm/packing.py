@@ -45,17 +45,22 @@ SPLIT = re.compile(
 
 
 class _Words:
-    """Ids of words as bytes, kept; a text's new words are encoded in one batch."""
+    """Ids of words as bytes, kept; a text's new words are encoded in one batch.
 
-    def __init__(self, path: str):
+    With ``added``, the tokenizer's added tokens are read in texts, as its file
+    says; such a text goes through the tokenizer whole.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
 
     def ids(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         words = SPLIT.findall(text.lower())
@@ -75,7 +80,7 @@ def _words(path: str) -> _Words:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _Words(path)
+    return _Words(path, added=True)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -112,6 +112,17 @@ def test_words_are_tokenized_as_the_tokenizer_does():
         assert cache.ids(text) == struct.pack(f"<{len(want)}I", *want), text
 
 
+def test_added_tokens_in_texts_are_read_as_the_file_says(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["One<|endoftext|>two", "<|startoftext|> three", "<|ENDOFTEXT|> four", "<|endoftext", "five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(docs).collect()}
+    assert got == {i: (len(x), crc(x)) for i, x in ids.items()}
+
+
 def test_packing_of_awkward_rows(spark):
     got = packing.packed(packing.pieces(awkward(spark)))
     pieces = Counter((r.doc_id, r.piece) for r in got.collect())

@@ -106,6 +106,76 @@ FROM docs LEFT JOIN root ON doc_id = root.x LEFT JOIN links ON doc_id = links.x
 """
 
 
+OP11 = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), terms AS (SELECT lang, source, r, unnest(w) AS t FROM docs),
+kept AS (SELECT lang, t FROM terms GROUP BY lang, t HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, t, count(*) AS n FROM terms GROUP BY lang, source, t),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n FROM groups AS g JOIN kept AS k ON g.lang = k.lang
+  LEFT JOIN counted AS c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t
+), whole AS (SELECT lang, t, sum(n) AS n FROM dense GROUP BY lang, t),
+p AS (
+  SELECT dense.*, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM dense JOIN sizes USING (lang)
+), q AS (
+  SELECT whole.lang, t, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM whole JOIN sizes USING (lang)
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS f FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+), above AS (SELECT lang, source, t AS item, p - q AS f FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+every AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM above),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, item) AS k FROM every)
+SELECT lang, source, part, item, cast(f AS bigint) AS value, cast(k AS integer) AS rank FROM placed WHERE part = 'pair' OR k <= 50
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.id AS a, a.label AS own, b.id AS b, b.label AS other, cast(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS bigint) AS s
+  FROM v AS a JOIN v AS b ON a.id <> b.id WHERE a.id % 50 = 0
+), positives AS (
+  SELECT a, b, s FROM scores WHERE own = other QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+), ranked AS (
+  SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS k
+  FROM positives AS p JOIN scores AS n ON p.a = n.a AND n.own <> n.other AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+)
+SELECT a AS anchor_id, p AS positive_id, cast(k AS integer) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM ranked WHERE k <= 3
+"""
+
+OP12 = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+sized AS (SELECT *, length(x) // 2 AS n FROM docs),
+places AS (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM sized WHERE n >= 50),
+windows AS (SELECT doc_id, i, md5(substr(x, cast(2 * i + 1 AS bigint), 100)) AS h FROM places),
+firsts AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN firsts USING (h) WHERE doc_id > d),
+begun AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+runs AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM begun GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS last FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), rest AS (
+  SELECT sized.doc_id, sum(b - a) AS r, count(*) AS s,
+    string_agg(substr(x, cast(2 * c + 1 AS bigint), cast(2 * (a - c) AS bigint)), '' ORDER BY a) || any_value(CASE WHEN last = 1 THEN substr(x, cast(2 * b + 1 AS bigint)) END) AS t
+  FROM sized JOIN gaps ON sized.doc_id = gaps.doc_id GROUP BY sized.doc_id
+)
+SELECT sized.doc_id, cast(n AS bigint) AS n_bytes, cast(coalesce(r, 0) AS bigint) AS n_removed, cast(coalesce(s, 0) AS bigint) AS n_spans,
+  sha256(unhex(coalesce(t, x))) AS kept_sha256
+FROM sized LEFT JOIN rest ON sized.doc_id = rest.doc_id
+"""
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -223,4 +293,5 @@ ORACLES: dict[str, str] = {
     "op4_hamming_top_k": OP4,
     "op8_substring_dedup": OP8,
     "op10_jaccard_join": OP10,
+    "op11_source_divergence": OP11,
 }

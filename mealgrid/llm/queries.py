@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import hamming, html, jaccard, licenses, mixing, packing, quality, secrets, substrings, warc
+from mealgrid.llm import divergence, hamming, html, jaccard, licenses, mixing, packing, quality, secrets, substrings, warc
 from mealgrid.llm.common import table
 from mealgrid.session import stage, staging_root
 
@@ -70,6 +70,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -83,5 +87,6 @@ QUERIES = {
         op8_substring_dedup,
         op9_license_scan,
         op10_jaccard_join,
+        op11_source_divergence,
     )
 }

@@ -39,10 +39,11 @@ LEAST = 30
 TOP = 50
 SCALE = 1_000_000_000
 PRIOR = 5
-# Terms of a transducer, bytes of transducers that a task may hold, entries a task counts at once.
+# Terms of a transducer, bytes of transducers that a task may hold, entries a task counts at once, bytes it streams at once.
 SHARD = 1 << 17
 RESIDENT = 64 << 20
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
+STREAMED = 2 << 20
 # Sizes of a block of distances.
 ORDINALS = 8192
 SOURCES = 128
@@ -180,11 +181,15 @@ def frequencies(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"lang": lang, "term": list(terms), "docs": list(terms.values())})
             held.clear()
 
+        size = 0
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"]):
+                before = len(held[lang])
                 held[lang].update(set(terms_of(text)))
-                if len(held[lang]) > ENTRIES:
+                size += len(held[lang]) - before
+                if size > ENTRIES:
                     yield from told()
+                    size = 0
         yield from told()
 
     rows = docs.mapInPandas(run, "lang string, term binary, docs bigint")
@@ -258,7 +263,8 @@ def _resident(docs: DataFrame, machines: DataFrame) -> DataFrame:
         known = {lang: [(o, Transducer.unpacked(m)) for o, m in parts] for lang, parts in sent.value.items()}
         tally = _Tally()
         for pdf in batches:
-            for lang, rows in pdf.groupby("lang", sort=False):
+            part = pdf["text"].map(len).cumsum() // STREAMED
+            for (lang, _), rows in pdf.groupby(["lang", part.rename("_part")], sort=False):
                 if lang not in known:
                     continue
                 names, sources = pd.factorize(rows["source"])[::-1]

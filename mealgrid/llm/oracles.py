@@ -294,4 +294,6 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op10_jaccard_join": OP10,
     "op11_source_divergence": OP11,
+    "op12_suffix_dedup": OP12,
+    "op13_hard_negatives": OP13,
 }

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mealgrid.llm import divergence, hamming, html, jaccard, licenses, mixing, packing, quality, secrets, substrings, warc
+from mealgrid.llm import divergence, hamming, html, jaccard, licenses, mixing, negatives, packing, quality, secrets, substrings, suffixes, warc
 from mealgrid.llm.common import table
 from mealgrid.session import stage, staging_root
 
@@ -74,6 +74,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -88,5 +96,7 @@ QUERIES = {
         op9_license_scan,
         op10_jaccard_join,
         op11_source_divergence,
+        op12_suffix_dedup,
+        op13_hard_negatives,
     )
 }

@@ -34,7 +34,6 @@ other than doc_id and text play no part.
 
 import zlib
 from collections.abc import Iterator
-from functools import cmp_to_key
 from hashlib import sha256
 
 import numpy as np
@@ -60,7 +59,7 @@ PERIOD = 32
 COVER = (1, 2, 3, 4, 8, 12, 20)
 # Suffixes sorted at once, and the ties that are resolved by comparing all with all.
 SUFFIXES = 1 << 16
-SMALL = 32
+SMALL = 512
 
 _LOW40 = np.uint64((1 << 40) - 1)
 _POSITION = np.uint64((1 << 31) - 1)
@@ -274,8 +273,8 @@ def shared(entries: DataFrame) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys, block, seen = keys[order], block[order], seen[order]
         begin, end = _runs_of(keys)
-        spread = np.minimum.reduceat(block, begin) < np.maximum.reduceat(block, begin)
-        spread |= np.bitwise_or.reduceat(seen, begin) >= 128
+        # Each block of each flush hands an anchor in once, so two entries are two rows.
+        spread = (end - begin > 1) | (np.bitwise_or.reduceat(seen, begin) >= 128)
         hot = np.add.reduceat((seen & 127).astype("int64"), begin) >= HOT
         size = end - begin
         use = np.repeat(spread, size)
@@ -413,7 +412,20 @@ class CoverRanks:
             on = left[at] > span
             behind = np.full(len(at), -1, "int64")
             behind[on] = place[of(at[on] + span)]
-            _, rank = np.unique(rank.astype("int64") * (len(at) + 1) + behind + 1, return_inverse=True)
+            size = np.bincount(rank)
+            tied = np.flatnonzero(size[rank] > 1)
+            if not len(tied):
+                break
+            pair = rank[tied] * (len(at) + 1) + behind[tied] + 1
+            order = np.argsort(pair, kind="stable")
+            pair, group = pair[order], rank[tied][order]
+            # Ranks leave room for all members of a group, so they split without moving others.
+            room = np.cumsum(size) - size
+            step = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
+            head, _ = _runs_of(group)
+            step -= np.repeat(step[head], np.diff(np.append(head, len(group))))
+            rank = room[rank]
+            rank[tied[order]] += step
             place[of(at)] = rank
             span *= 2
         self.place = place
@@ -427,8 +439,34 @@ class CoverRanks:
     def ranks(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks that compare the suffixes at ``p`` and ``q``, which agree in the first ``period`` bytes."""
         d = self.shift[p % self.period, q % self.period]
-        of = lambda x: self.place[x // self.period * self.members + self.inside[x % self.period]]
-        return of(p + d), of(q + d)
+        return self._at(p + d), self._at(q + d)
+
+    def behind(self, p: np.ndarray, own: int, other: int) -> np.ndarray:
+        """Ranks of suffixes of one residue, for a comparison with those of another one."""
+        return self._at(p + self.shift[own, other])
+
+    def _at(self, p: np.ndarray) -> np.ndarray:
+        return self.place[p // self.period * self.members + self.inside[p % self.period]]
+
+
+def _merged(cover: CoverRanks, at: np.ndarray) -> np.ndarray:
+    """Order of one tie: positions of one residue are sorted by one rank, and residues are merged by the ranks they share."""
+    residue = at % cover.period
+    lists = []
+    for r in np.unique(residue).tolist():
+        mine = np.flatnonzero(residue == r)
+        lists.append((r, mine[np.argsort(cover.ranks(at[mine], at[mine])[0], kind="stable")]))
+    place = np.empty(len(at), "int64")
+    for r, mine in lists:
+        before = np.arange(len(mine))
+        for q, other in lists:
+            if q != r:
+                x, y = cover.behind(at[mine], r, q), cover.behind(at[other], q, r)
+                before += np.searchsorted(y, x, "left" if r < q else "right")
+        place[mine] = before
+    order = np.empty(len(at), "int64")
+    order[place] = np.arange(len(at))
+    return order
 
 
 def _untied(cover: CoverRanks, at: np.ndarray, tie: np.ndarray) -> np.ndarray:
@@ -436,25 +474,21 @@ def _untied(cover: CoverRanks, at: np.ndarray, tie: np.ndarray) -> np.ndarray:
     begin, end = _runs_of(tie)
     sizes = end - begin
     place = np.arange(len(at))
-    inside = place - np.repeat(begin, sizes)
     small = np.repeat(sizes <= SMALL, sizes)
+    last = np.repeat(end, sizes)
     less = np.zeros(len(at), "int64")
-    for step in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
-        i = place[: len(at) - step]
-        i = i[small[i] & (tie[i] == tie[i + step])]
+    step, i = 1, place[small]
+    while len(i := i[i + step < last[i]]):
         a, b = cover.ranks(at[i], at[i + step])
         after = b < a
-        np.add.at(less, i[after], 1)
-        np.add.at(less, i[~after] + step, 1)
+        # Within a step, each place is met once on either side.
+        less[i[after]] += 1
+        less[i[~after] + step] += 1
+        step += 1
     order = place.copy()
     order[np.repeat(begin, sizes)[small] + less[small]] = place[small]
     for a, b in zip(begin[sizes > SMALL].tolist(), end[sizes > SMALL].tolist()):
-
-        def compared(x: int, y: int) -> int:
-            r, s = cover.ranks(at[x : x + 1], at[y : y + 1])
-            return int(r[0]) - int(s[0]) or x - y
-
-        order[a:b] = sorted(range(a, b), key=cmp_to_key(compared))
+        order[a:b] = a + _merged(cover, at[a:b])
     return order
 
 

@@ -47,10 +47,10 @@ from mealgrid.session import stage
 WINDOW = 50
 ANCHOR = 16
 # Bytes of text in a block of documents, and of those whose anchors make a bucket.
-BLOCK = 24 << 20
-BUCKET = 8 << 20
+BLOCK = 12 << 20
+BUCKET = 5 << 20
 # Bytes a task gathers before it hands on, windows looked at together.
-FLUSH = 24 << 20
+FLUSH = 12 << 20
 CHUNK = 1 << 18
 # Occurrences from which an anchor's windows are dealt one by one.
 HOT = 4096

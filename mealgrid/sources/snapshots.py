@@ -10,6 +10,7 @@ from mealgrid.constants import SNAPSHOT_FILE_SUFFIX, SNAPSHOT_TTL_HOURS
 from mealgrid.functions.text import city_slug
 from mealgrid.schemas import RAW_FIELDS
 from mealgrid.session import stage
+from mealgrid.sources.json_parts import array_items
 
 
 def fresh(df: DataFrame, stamp: str, now: datetime, ttl_hours: float | None = SNAPSHOT_TTL_HOURS) -> DataFrame:
@@ -30,45 +31,27 @@ def read_json_snapshots(
 ) -> DataFrame:
     """``{slug}_restaurants.json`` files, each one JSON array, as raw listings.
 
-    Files past their age are pruned before they are opened. A file that does
-    not parse as one array counts as absent, and so does an absent folder.
-    ``aliases`` maps field names in the files to ours. The format puts a city
-    in one array, hence one task per file. Files may also lie in folders
-    ``city_slug=...``, any number of them per city; each is a page then, and
-    the folder names the city.
+    Files past their age are pruned before they are opened. A file that is not
+    one whole array of objects counts as absent, and so does an absent folder.
+    ``aliases`` maps field names in the files to ours. A large array is read in
+    parts, by as many tasks. Files may also lie in folders ``city_slug=...``,
+    any number of them per city; each is a page then, and the folder names the
+    city.
     """
     aliases = aliases or {}
     names = {ours: theirs for theirs, ours in aliases.items()}
-    fields = ", ".join(f"`{names.get(f, f)}`: string" for f in RAW_FIELDS)
-    parsed = F.from_json(
-        F.concat(F.lit("["), F.col("value"), F.lit("]")), f"array<array<struct<{fields}>>>"
-    )
-    try:
-        files = (
-            spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.{json,txt}").load(path)
-            .select("value", "_metadata.file_path", "_metadata.file_name", "_metadata.file_modification_time")
-        )
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        files = spark.createDataFrame([], "value string, file_path string, file_name string, file_modification_time timestamp")
+    fields = ", ".join(f"`{names.get(f, f)}` string" for f in RAW_FIELDS)
+    items = array_items(spark, path, fields, lambda files: fresh(files, "file_modification_time", now, ttl_hours))
     named = F.regexp_extract("file_name", f"^(.*){SNAPSHOT_FILE_SUFFIX.replace('.', '[.]')}$", 1)
     folder = F.url_decode(F.regexp_extract("file_path", "/city_slug=([^/]*)/[^/]*$", 1))
     slug = F.when(folder != "", folder).otherwise(named)
     page = F.when(folder != "", F.pmod(F.xxhash64("file_name"), F.lit(1 << 30))).otherwise(0).cast("int")
-    return (
-        fresh(files, "file_modification_time", now, ttl_hours)
-        .select(slug.alias("city_slug"), page.alias("page_no"), parsed.alias("parsed"))
-        .where((F.col("city_slug") != "") & (F.size("parsed") == 1))
-        .select("city_slug", "page_no", F.posexplode(F.get("parsed", F.lit(0))).alias("item_no", "row"))
-        .select(
-            "city_slug",
-            "page_no",
-            F.lit(0).alias("block_no"),
-            "item_no",
-            *[F.col("row")[names.get(f, f)].alias(f) for f in RAW_FIELDS],
-        )
+    return items.where(slug != "").select(
+        slug.alias("city_slug"),
+        page.alias("page_no"),
+        F.lit(0).alias("block_no"),
+        F.col("item_no").cast("int").alias("item_no"),
+        *[F.col("row")[names.get(f, f)].alias(f) for f in RAW_FIELDS],
     )
 
 
@@ -117,22 +100,14 @@ def refresh(listings: DataFrame, path: str, now: datetime) -> int:
 
 
 def clear_city(spark: SparkSession, path: str, slug: str) -> None:
-    """Drop one city: the table is written anew without it, other cities keep their stamps.
+    """Drop one city: its folder goes, nothing else is read or written.
 
-    What stays is staged first, since a table cannot be overwritten while it
-    is read. Clearing a city that has no snapshot changes nothing.
+    Clearing a city that has no snapshot changes nothing.
     """
-    table = read_snapshot_table(spark, path)
-    if table.where(F.col("city_slug") == slug).isEmpty():
-        return
-    rest = stage(table.where(F.col("city_slug") != slug), "rest")
-    (
-        rest.hint("rebalance", "city_slug")
-        .write.partitionBy("city_slug")
-        .option("partitionOverwriteMode", "static")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    jvm = spark._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("city_slug", slug)
+    folder = jvm.org.apache.hadoop.fs.Path(path, escaped)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_cities(spark: SparkSession, path: str) -> None:

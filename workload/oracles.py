@@ -219,17 +219,20 @@ snapshots AS (
 DATED = f"""
 dated AS (
   SELECT 'nation-' || (user_id % 25) AS city_slug, user_id % 25 AS number, event_id, event_type || ' ' || event_id AS name,
-    (event_id % 50) / 10 AS rating, event_id % 100 AS votes FROM events
+    (event_id % 50) / 10 AS rating, event_id % 100 AS votes, epoch_us(ts) AS moment FROM events
 )"""
+AGED = f"""{DATED}, lasts AS (SELECT city_slug, max(moment) AS z FROM dated GROUP BY city_slug),
+ages AS (SELECT city_slug, 2 * z >= (SELECT min(z) + max(z) FROM lasts) AS city_newer FROM lasts),
+aged AS (SELECT *, 2 * moment >= (SELECT min(moment) + max(moment) FROM dated) AS row_newer FROM dated JOIN ages USING (city_slug))"""
 
 
 def _loaded(kept: str, kept_cities: str) -> str:
     """Kept snapshot rows, and extracted rows of the other cities, as a catalogue."""
     return f"""
-SELECT city_slug, name, rating AS aggregate_rating, votes FROM dated WHERE {kept}
+SELECT city_slug, name, rating AS aggregate_rating, votes FROM aged WHERE {kept}
 UNION ALL
 SELECT city_slug, trim(name), greatest(0, least(5, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 10 ELSE 0 END)), p_partkey * 3
-FROM listings WHERE city_slug NOT IN (SELECT city_slug FROM dated WHERE {kept_cities})"""
+FROM listings WHERE city_slug NOT IN (SELECT city_slug FROM aged WHERE {kept_cities})"""
 
 
 def _fresh(hours: int) -> str:
@@ -329,16 +332,15 @@ SELECT city_slug, name, true AS from_snapshot FROM fresh
 WHERE city_slug IN (SELECT replace(lower(n_name), '_', '-') FROM nation)
 UNION ALL
 SELECT city_slug, name, false FROM listings WHERE city_slug NOT IN (SELECT city_slug FROM fresh)""",
-    "snapshot_refresh": f"""WITH {DATED}
-SELECT city_slug, name, number % 2 = 1 AS is_new FROM dated WHERE number % 2 = 0 OR event_id % 2 = 0""",
-    "snapshot_clear": f"WITH {DATED} SELECT city_slug, name FROM dated WHERE number < 5",
+    "snapshot_refresh": f"WITH {AGED} SELECT city_slug, name, city_newer AS is_new FROM aged WHERE NOT city_newer OR row_newer",
+    "snapshot_clear": f"WITH {DATED} SELECT city_slug, name FROM dated",
     "snapshot_clear_city": f"WITH {DATED} SELECT city_slug, name, CAST(rating AS VARCHAR) AS aggregate_rating FROM dated WHERE number <> 3",
     "snapshot_json": f"""WITH {DATED}
 SELECT city_slug, CAST(row_number() OVER (PARTITION BY city_slug, event_id // {SNAPSHOT_RUN} ORDER BY event_id) - 1 AS INTEGER) AS item_no, name,
   CAST(votes AS VARCHAR) AS votes FROM dated WHERE number <> 7""",
-    "load_catalogue_saved": f"WITH {DATED}, {EXTRACTED}" + _loaded("number < 10", "number < 10"),
-    "load_catalogue_json": f"WITH {DATED}, {EXTRACTED}"
-    + _loaded("number >= 5 AND number <> 7 OR number < 5 AND event_id % 2 = 0", "number <> 7"),
+    "load_catalogue_saved": f"WITH {AGED}, {EXTRACTED}" + _loaded("city_newer", "city_newer"),
+    "load_catalogue_json": f"WITH {AGED}, {EXTRACTED}"
+    + _loaded("CASE WHEN city_newer THEN row_newer ELSE number <> 7 END", "city_newer OR number <> 7"),
     "clean_bare": f"""WITH {RAW},{TYPED}
 SELECT {_slug("city")} AS city_slug, name, location, 'medium' AS budget_category, 0::DOUBLE AS average_cost_for_two,
   0::DOUBLE AS aggregate_rating, 0::BIGINT AS votes, '' AS image_url, '' AS address FROM typed WHERE name <> ''

@@ -235,24 +235,24 @@ OLD, NEW = datetime(2024, 5, 1, 8), datetime(2024, 5, 1, 12)
 
 
 def listing_fields(rows: DataFrame) -> DataFrame:
-    return rows.drop("event_id", "number")
+    return rows.drop("event_id", "number", "at", "city_newer", "row_newer")
 
 
 def snapshot_refresh(spark, sf_dir):
-    """All cities are kept, then every second one anew with half of its rows."""
-    path, rows = store(spark), views.dated_listings(spark, sf_dir)
+    """All cities are kept, then those with later events anew, with the newer half of the time."""
+    path, rows = store(spark), views.by_age(views.dated_listings(spark, sf_dir))
     refresh(listing_fields(rows), path, OLD)
-    refresh(listing_fields(rows.where("number % 2 = 1 and event_id % 2 = 0")), path, NEW)
+    refresh(listing_fields(rows.where("city_newer and row_newer")), path, NEW)
     table = read_snapshot_table(spark, path)
     return table.select("city_slug", "name", (F.col("snapshot_ts") == F.lit(NEW)).alias("is_new"))
 
 
 def snapshot_clear(spark, sf_dir):
-    """Everything is cleared, and a few cities are kept again."""
+    """Cities under other names are kept and cleared, then all cities are kept."""
     path, rows = store(spark), views.dated_listings(spark, sf_dir)
-    refresh(listing_fields(rows), path, OLD)
+    refresh(listing_fields(rows.withColumn("city_slug", F.concat(F.lit("closed-"), "city_slug"))), path, OLD)
     clear_cities(spark, path)
-    refresh(listing_fields(rows.where("number < 5")), path, NEW)
+    refresh(listing_fields(rows), path, NEW)
     return read_snapshot_table(spark, path).select("city_slug", "name")
 
 
@@ -277,10 +277,10 @@ def catalogue_of_cities(spark, sf_dir):
 
 
 def load_catalogue_saved(spark, sf_dir):
-    """Some cities have fresh snapshots, some old ones; pages serve the rest and are kept."""
-    path, rows = store(spark), views.dated_listings(spark, sf_dir)
-    refresh(listing_fields(rows.where("number >= 10 and number < 20")), path, OLD)
-    refresh(listing_fields(rows.where("number < 10")), path, NEW)
+    """Cities with later events have fresh snapshots, the others old ones; pages serve these and are kept."""
+    path, rows = store(spark), views.by_age(views.dated_listings(spark, sf_dir))
+    refresh(listing_fields(rows.where("not city_newer")), path, OLD)
+    refresh(listing_fields(rows.where("city_newer")), path, NEW)
     got = load_catalogue(
         catalogue_of_cities(spark, sf_dir), path, views.pages(spark, sf_dir), BASE_URL, NEW, ttl_hours=1, max_pages=MAX_PAGES, save=True
     )
@@ -289,8 +289,8 @@ def load_catalogue_saved(spark, sf_dir):
 
 def load_catalogue_json(spark, sf_dir):
     """JSON files serve the cities that the table does not; one city's files are malformed and its pages are read."""
-    path, files, rows = store(spark), store(spark), views.dated_listings(spark, sf_dir)
-    refresh(listing_fields(rows.where("number < 5 and event_id % 2 = 0")), path, NEW)
+    path, files, rows = store(spark), store(spark), views.by_age(views.dated_listings(spark, sf_dir))
+    refresh(listing_fields(rows.where("city_newer and row_newer")), path, NEW)
     views.snapshot_files(spark, sf_dir, files)
     got = load_catalogue(
         catalogue_of_cities(spark, sf_dir), path, views.pages(spark, sf_dir), BASE_URL, NEW, None, max_pages=MAX_PAGES, json_path=files

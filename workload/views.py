@@ -299,7 +299,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw listings, to be kept as snapshots."""
-    rows = snapshots(spark, sf_dir).drop("snapshot_ts")
+    rows = snapshots(spark, sf_dir).withColumn("at", F.unix_micros(F.col("snapshot_ts").cast("timestamp"))).drop("snapshot_ts")
     event = F.col("item_no")
     texts = {
         "location": F.lit("here"),
@@ -324,9 +324,19 @@ def dated_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[c.alias(n) for n, c in texts.items()],
         event.alias("event_id"),
         number,
+        "at",
     )
 
 
+def by_age(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``city_newer``, whether the city's last event is among the newer ones, and ``row_newer``, the event itself."""
+    last = rows.groupBy("city_slug").agg(F.max("at").alias("last"), F.min("at").alias("first"))
+    ends = last.agg(F.min("first").alias("first"), F.min("last").alias("low"), F.max("last").alias("high")).first()
+    low, high, first = (ends[c] or 0 for c in ("low", "high", "first"))
+    ages = last.select("city_slug", (2 * F.col("last") >= low + high).alias("city_newer"))
+    return rows.withColumn("row_newer", 2 * F.col("at") >= first + high).join(ages, "city_slug")
+
+
 def snapshot_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The same listings as JSON arrays below ``path``, a run of events per file; one city's are cut off."""
     fields = [c for c in RAW_FIELDS]

@@ -99,15 +99,18 @@ def refresh(listings: DataFrame, path: str, now: datetime) -> int:
     return table.join(cities, "city_slug", "left_semi").count()
 
 
-def clear_city(spark: SparkSession, path: str, slug: str) -> None:
-    """Drop one city: its folder goes, nothing else is read or written.
+def drop_partitions(spark: SparkSession, path: str, column: str, values: list[str]) -> None:
+    """Delete the folders of ``values``; other folders are neither read nor written."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for value in values:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
+        folder = jvm.org.apache.hadoop.fs.Path(path, name)
+        folder.getFileSystem(conf).delete(folder, True)
 
-    Clearing a city that has no snapshot changes nothing.
-    """
-    jvm = spark._jvm
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("city_slug", slug)
-    folder = jvm.org.apache.hadoop.fs.Path(path, escaped)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+def clear_city(spark: SparkSession, path: str, slug: str) -> None:
+    """Drop one city: its folder goes. Clearing a city that has no snapshot changes nothing."""
+    drop_partitions(spark, path, "city_slug", [slug])
 
 
 def clear_cities(spark: SparkSession, path: str) -> None:

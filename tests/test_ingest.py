@@ -1,11 +1,14 @@
+import glob
 import json
 import os
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from mealgrid.operators.extract import extract_listings, listing_rows, page_prefix
 from mealgrid.plans.ingest import load_catalogue, refresh_from_pages
 from mealgrid.schemas import PAGES_SCHEMA
-from mealgrid.sources.snapshots import clear_cities, clear_city, fresh, read_json_snapshots, read_snapshot_table
+from mealgrid.sources.snapshots import clear_cities, clear_city, fresh, read_json_snapshots, read_snapshot_table, refresh
 
 BASE = "https://base.example"
 NOW = datetime(2024, 5, 1, 12, 0, tzinfo=timezone.utc)
@@ -153,9 +156,15 @@ def test_refresh_without_rows(spark, tmp_path):
 def test_one_city_is_cleared(spark, tmp_path):
     path, rated = str(tmp_path / "store"), {"aggregateRating": {"ratingValue": 4}}
     refresh_from_pages(pages(spark, ("goa", 1, block(item("A", **rated))), ("pune", 1, block(item("B", **rated)))), path, BASE, NOW)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/city_slug=pune/*")}
+    before = files()
     for _ in range(2):
         clear_city(spark, path, "goa")
         assert names(read_snapshot_table(spark, path)) == ["B"]
+    assert files() == before and before
+    refresh(read_snapshot_table(spark, path).withColumn("city_slug", F.lit("a=b/c d%")).drop("snapshot_ts"), path, NOW)
+    clear_city(spark, path, "a=b/c d%")
+    assert names(read_snapshot_table(spark, path)) == ["B"]
 
 
 def test_json_files_serve_missing_cities(spark, tmp_path):

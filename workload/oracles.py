@@ -453,3 +453,11 @@ c AS (SELECT city_slug, name, CASE WHEN cost > 0 THEN cost ELSE coalesce(detail_
   FROM clean LEFT JOIN details ON url = listing_url)
 SELECT city_slug, name, cost AS average_cost_for_two, {TIER} AS budget_category, features FROM c""",
 }
+ORACLES |= {
+    "kept_catalogue": ORACLES["clean_catalog"],
+    "facet_deltas": ORACLES["city_stats"],
+    "rolling_cells": f"""WITH {CLEAN}
+SELECT city_slug, lower(location) AS place_key, tier AS budget_category, cost > 0 AS cost_known, cuisines, name, rating AS aggregate_rating, votes,
+  ord, line_no, part_no, supp_no, pieces FROM clean
+QUALIFY row_number() OVER (PARTITION BY city_slug, lower(location), tier, cost > 0, cuisines ORDER BY rating DESC, votes DESC, ord, line_no, part_no, supp_no, pieces) <= 15""",
+}

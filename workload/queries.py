@@ -11,12 +11,16 @@ from mealgrid.functions.text import slug_id
 from mealgrid.operators import clean, extensions, extract, facets, prompts, responses
 from mealgrid.operators.cards import result_cards
 from mealgrid.operators.dedup import first_wins, first_wins_ignoring_case
+from mealgrid.operators.deltas import FacetStore
+from mealgrid.operators.kept import KeptTable
 from mealgrid.operators.requests import (
     rejected_requests,
     valid_requests,
     with_budget_range,
 )
+from mealgrid.operators.rolling import RollingCells
 from mealgrid.operators.select import candidates
+from mealgrid.schemas import CLEAN_FIELDS
 from mealgrid.plans.recommend import Recommender
 from mealgrid.plans.ingest import load_catalogue
 from mealgrid.sources.snapshots import (
@@ -298,6 +302,52 @@ def load_catalogue_json(spark, sf_dir):
     return got.select("city_slug", "name", "aggregate_rating", "votes")
 
 
+def raw_in_thirds(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Raw listings, and conditions that deal them into three runs of the input order."""
+    raw = views.raw_listings(spark, sf_dir)
+    ends = raw.agg(F.min("ord").alias("a"), F.max("ord").alias("b")).first()
+    a, b = ends["a"] or 0, ends["b"] or 0
+    low, high = a + (b - a) // 3, a + 2 * (b - a) // 3
+    return raw, [f"ord <= {low}", f"ord > {low} and ord <= {high}", f"ord > {high}"]
+
+
+def kept_catalogue(spark, sf_dir):
+    """The listings come in three batches, each checked against what is kept."""
+    raw, thirds = raw_in_thirds(spark, sf_dir)
+    typed = clean.typed_rows(clean.named_rows(raw), rated_only=True).select(*CLEAN_FIELDS, *ORDER)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema)
+    kept = KeptTable(spark, store(spark), fields, ("city_slug", "name", "city"), blocks=-(-raw.count() // 2000) or 1)
+    for third in thirds:
+        kept.add(typed.where(third), ORDER)
+    return kept.rows().select(*CLEAN_FIELDS, *ORDER)
+
+
+def catalogue_change(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The catalogue of the later two thirds of the listings and of all of them, and the rows that leave and come."""
+    raw, thirds = raw_in_thirds(spark, sf_dir)
+    old = stage(clean.clean_catalogue(raw.where(f"not ({thirds[0]})"), ORDER), "old")
+    new = stage(clean.clean_catalogue(raw, ORDER), "new")
+    return old, new, stage(old.exceptAll(new), "leaving"), stage(new.exceptAll(old), "coming")
+
+
+def facet_deltas(spark, sf_dir):
+    """Statistics of the whole catalogue from those of a part and the changes."""
+    old, _, leaving, coming = catalogue_change(spark, sf_dir)
+    facet_store = FacetStore(spark, store(spark))
+    facet_store.apply(old.limit(0), old)
+    facet_store.apply(leaving, coming)
+    return facet_store.city_stats()
+
+
+def rolling_cells(spark, sf_dir):
+    """Top rows of the whole catalogue's cells from those of a part and the changes."""
+    old, new, leaving, coming = catalogue_change(spark, sf_dir)
+    cells = RollingCells(spark, store(spark), ORDER)
+    cells.build(old)
+    cells.apply(leaving, coming, new)
+    return cells.cells(new).select("city_slug", "place_key", "budget_category", "cost_known", "cuisines", "name", "aggregate_rating", "votes", *ORDER)
+
+
 def clean_bare(spark, sf_dir):
     """Listings that have only the needed columns."""
     bare = views.raw_listings(spark, sf_dir).drop(
@@ -480,6 +530,9 @@ QUERIES = {
     "snapshot_json": snapshot_json,
     "load_catalogue_saved": load_catalogue_saved,
     "load_catalogue_json": load_catalogue_json,
+    "kept_catalogue": kept_catalogue,
+    "facet_deltas": facet_deltas,
+    "rolling_cells": rolling_cells,
     "clean_bare": clean_bare,
     "prompt_lines": prompt_lines,
     "prompt_batch": prompt_batch,

@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mealgrid.llm.common import packed, text_of
+from mealgrid.session import stage
+
+# Spans that are gathered before they are put beside earlier ones.
+CHUNK = 32
 
 
 @dataclass(frozen=True)
@@ -73,19 +77,32 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         sizes = F.zip_with(
             sizes, value, lambda s, v: F.struct(s["n"].alias("n"), s["gap"].alias("gap"), (F.length(v) >= rule.least).alias("ok"))
         )
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(state, x):
         at = state["at"]
         span = F.struct(
             (at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["n"]).alias("end"), F.lit(rule.kind).alias("kind")
         )
-        out = F.concat(F.coalesce(state["out"], F.array().cast(f"array<{SPAN}>")), F.array(span)).cast(f"array<{SPAN}>")
-        out = F.when(x["ok"], out).otherwise(state["out"]) if rule.least else out
-        return F.struct((at + x["n"]).alias("at"), out.alias("out"))
+        run = F.concat(state["run"], F.array(span))
+        run = F.when(x["ok"], run).otherwise(state["run"]) if rule.least else run
+        return F.struct((at + x["n"]).alias("at"), run.alias("run"))
+
+    # A run is built span by span, and whole runs are put side by side: no long array is copied per span.
+    def chunk(state, xs):
+        inner = F.aggregate(xs, F.struct(state["at"].alias("at"), none.alias("run")), step)
+        beside = lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["run"])).alias("out"))
+        return F.transform(F.array(inner), beside)[0]
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    # Bound to a variable, or the matches would be looked for once per chunk.
+    found = F.transform(F.array(sizes), lambda all_: F.aggregate(_chunks(all_), start, chunk, lambda s: F.flatten(s["out"])))
+    return F.when(text.rlike(rule.pattern), found[0])
 
-    found = F.aggregate(sizes, start, step, lambda s: s["out"])
-    return F.when(text.rlike(rule.pattern), found)
+
+def _chunks(array: Column) -> Column:
+    """The array in pieces of ``CHUNK``."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(array) - 1) / CHUNK).cast("int"), F.lit(0))), lambda i: F.slice(array, i * CHUNK + 1, CHUNK))
 
 
 def blob_id(text: Column) -> Column:
@@ -134,7 +151,9 @@ class BlobLedger:
         """All rows of ``versions`` as ``_row``, or the columns to keep of them, with the ``spans`` of their blobs."""
         rows = packed(versions, blob_id(F.col(text)).alias("blob"), keep=keep)
         none = F.array().cast(f"array<{SPAN}>")
-        return rows.join(self.findings(), "blob", "left").withColumn("spans", F.coalesce("spans", none))
+        # Written first: the join then sits on two plain shuffles, where a blob with a third of all rows is split.
+        found = stage(self.findings(), "findings")
+        return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def listed(spans: Column) -> Column:
@@ -144,12 +163,24 @@ def listed(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span, or run of overlapping spans, replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        new = x["start"] >= s["at"]
-        piece = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, piece).otherwise(s["out"]).alias("out"))
-
-    done = lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+    texts = "array<string>"
+
+    # A run of spans is cut out of its own part of the text, so the whole text is walked once per run.
+    def chunk(s, xs):
+        base = s["at"]
+
+        def step(t, x, part):
+            piece = F.concat(part.substr(t["at"] - base + 1, x["start"] - t["at"]), F.lit(mask))
+            run = F.when(x["start"] >= t["at"], F.concat(t["run"], F.array(piece))).otherwise(t["run"])
+            return F.struct(F.greatest(t["at"], x["end"]).alias("at"), run.alias("run"))
+
+        last = F.greatest(base, F.array_max(F.transform(xs, lambda x: x["end"])))
+        begun = F.struct(base.alias("at"), F.array().cast(texts).alias("run"))
+        inner = F.transform(F.array(text.substr(base + 1, last - base)), lambda part: F.aggregate(xs, begun, lambda t, x: step(t, x, part)))
+        beside = lambda t: F.struct(t["at"].alias("at"), F.concat(s["out"], F.array(F.array_join(t["run"], ""))).alias("out"))
+        return F.transform(inner, beside)[0]
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(texts).alias("out"))
+    done = lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text)))
+    cut = F.transform(F.array(spans), lambda all_: F.aggregate(_chunks(all_), start, chunk, done))
+    return F.when(F.size(spans) > 0, cut[0]).otherwise(text)

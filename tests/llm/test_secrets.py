@@ -1,5 +1,8 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
+
 from mealgrid.llm import secrets
 from mealgrid.llm.queries import QUERIES, scratch
 from tests.llm.cases import SF, TEXTS, awkward, base_spans, empty
@@ -66,3 +69,26 @@ def test_masking(spark):
     got = {r.doc_id: r for r in rows.where("doc_id is not null").collect()}
     assert got[9].new == "[SECRET]\" 😀 [SECRET] token:short"
     assert all(r.new == (r.text or "") for i, r in got.items() if i != 9)
+
+
+def test_texts_with_many_secrets(spark):
+    texts = [" é".join(f"token={i:016d}" for i in range(n)) for n in (1, 31, 32, 33, 3000)] + ["".join(f"secret:AKIA{'Z' * 16}{i}==" for i in range(500))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    spans = F.concat(*[F.coalesce(secrets.spans(F.col("text"), r, k), F.array().cast(f"array<{secrets.SPAN}>")) for k, r in enumerate(secrets.RULES[:3])])
+    found = df.select("doc_id", "text", F.array_sort(spans).alias("spans"))
+    got = found.select("doc_id", secrets.listed(F.col("spans")), secrets.masked(F.col("text"), F.col("spans"))).collect()
+    for i, listed, masked in got:
+        assert listed.split(",") == base_spans(texts[i])
+        out, at = "", 0
+        for kind, s, e in (x.split(":") for x in base_spans(texts[i])):
+            if int(s) >= at:
+                out += texts[i][at : int(s)] + "[SECRET]"
+            at = max(at, int(e))
+        assert masked == out + texts[i][at:]
+
+
+def test_one_blob_holds_a_third_of_the_rows(spark, tmp_path):
+    rows = [(i, "password = abcdefghijkl" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = secrets.BlobLedger(spark, str(tmp_path / "ledger")).update(df).attach(df)
+    assert got.where(F.size("spans") == 1).count() == 1000 and got.count() == 3000

@@ -352,7 +352,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     hits = hits.groupBy("anchor", "content").agg(F.collect_list(F.struct("s", "e")).alias("hits"))
     # Equal segments: all but the first document lose them whole, the first what was found.
     effects = content.select("anchor", "content", F.col("one.doc_id").alias("least"), "most").join(hits, ["anchor", "content"], "left")
-    effects = effects.where("least < most or hits is not null")
+    # Written, so that the join sits on two plain shuffles and a passage with a third of all rows is split.
+    effects = stage(effects.where("least < most or hits is not null"), "effects")
     lost = rows.join(effects, ["anchor", "content"]).where("doc_id > least or hits is not null")
     inner = F.transform("hits", lambda x: F.struct((F.col("first") + x["s"]).alias("s"), (F.col("first") + x["e"]).alias("e")))
     whole = F.array(F.struct(F.col("first").alias("s"), F.col("last").alias("e")))

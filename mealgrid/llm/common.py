@@ -59,3 +59,23 @@ def packed(df: DataFrame, *extra: Column, keep: list[str] | None = None) -> Data
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
+
+
+# Equal rows that one row stands for while they are dealt out.
+EQUAL = 4096
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """All rows with ``_copy``, 0 or a running number among equal rows.
+
+    Equal rows are counted first, combined before the shuffle; rows that stand
+    for ``EQUAL`` of them are dealt out before they become rows again, so not
+    even a row that is repeated without end is one task's work.
+    """
+    names = df.columns
+    counted = df.groupBy(*names).agg(F.count("*").alias("_n"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / EQUAL))
+    dealt = counted.withColumn("_part", F.explode(parts)).repartition(*names, "_part")
+    last = F.least(F.col("_n") - F.col("_part") * EQUAL, F.lit(EQUAL)) - 1
+    copies = dealt.withColumn("_in", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return copies.select(*names, (F.col("_part") * EQUAL + F.col("_in")).alias("_copy"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mealgrid.llm.common import WORD, packed, text_of
+from mealgrid.llm.common import WORD, numbered, packed, text_of
 from mealgrid.session import stage
 
 # Weights of the sources in order, and the size of the mix.
@@ -161,13 +161,14 @@ def mix(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     ``units`` has ``id``, ``source`` and ``size``; the result adds
     ``source_size``, ``target`` and ``times``.
     """
-    units = stage(units.select("id", "source", "size"), "units")
+    # Equal rows get numbers, so that they spread over the blocks like others.
+    units = stage(numbered(units.select("id", "source", "size")), "units")
     goal = stage(targets(units, weights, share, most), "targets").withColumnRenamed("source", "_source")
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     rows = units.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("whole", F.least(F.floor(rate), F.lit(most)).cast("int"))
     rows = rows.withColumn("p", F.least(rate - F.col("whole"), F.lit(1.0)))
-    rows = rows.withColumn("order", F.xxhash64("id", "size")).withColumn("blocks", F.ceil(F.col("n") / block))
+    rows = rows.withColumn("order", F.xxhash64("id", "size", "_copy")).drop("_copy").withColumn("blocks", F.ceil(F.col("n") / block))
     most_blocks = goal.agg(F.max(F.ceil(F.col("n") / block)).alias("b")).first()["b"] or 0
     settled, level = [], 0
     while True:
@@ -207,11 +208,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, all columns kept.
 
     Rows meet their counts by identifier, source and text. Rows alike in these
-    share one count, and one of them stands for all.
+    share one count, and the least of them stands for all.
     """
     key = F.struct(F.col("doc_id"), F.col("source").cast("string"), F.sha2(text_of(F.col("text")), 256))
     keyed = packed(docs, F.xxhash64(F.to_json(key)).alias("id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     counts = mix(keyed.select("id", "source", "size")).groupBy("id").agg(F.sum("times").cast("int").alias("times"))
-    rows = keyed.groupBy("id").agg(F.first("_row").alias("_row"))
+    rows = keyed.groupBy("id").agg(F.min("_row").alias("_row"))
     out = rows.join(counts.where("times > 0"), "id")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_copy")).select("_row.*")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.llm.common import numbered
+
 LENGTH = 2048
 END = 0
 SHARD = 32768
@@ -165,6 +167,7 @@ def _pair(room: int, more_than: int, have: int, left: dict[int, list[int]]) -> t
 def packed(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """``pieces`` with the sequence and the place of each; ``pieces`` is read twice."""
     shards = max(1, -(-pieces.count() // shard))
+    names = pieces.columns
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -178,5 +181,6 @@ def packed(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataF
                 at += int(sizes[i])
         return pdf.drop(columns="shard").assign(sequence_id=ids, offset=places)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # Equal pieces are numbered, so that they spread over the shards like others.
+    dealt = numbered(pieces).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_copy"), F.lit(shards))).select(*names, "shard")
     return dealt.groupBy("shard").applyInPandas(pack, PACKED)

@@ -335,3 +335,22 @@ def test_phrases_of_the_whole_table(spark):
         assert (r.first_word, r.last_word) == (min((a for a, _ in at), default=None), max((a for a, _ in at), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
+
+
+# Equal rows
+
+
+def test_equal_rows_spread(spark):
+    from mealgrid.llm.common import numbered
+
+    rows_ = spark.range(20000).select(F.lit(7).cast("bigint").alias("id"), F.lit("s").alias("source"), F.lit(3).cast("bigint").alias("size"))
+    got = numbered(rows_.unionByName(rows_.limit(5).withColumn("id", F.col("id") + 1)))
+    assert got.where("id = 7").select("_copy").distinct().count() == 20000 and got.count() == 20005
+    mixed = mixing.mix(rows_, block=256).agg(F.sum(F.col("times") * F.col("size")).alias("t"), F.count("*").alias("n"), F.first("target").alias("g")).first()
+    assert mixed.n == 20000 and abs(mixed.t - mixed.g) <= 3
+    pieces = rows_.select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(700).cast("bigint").alias("length"), F.lit(5).cast("bigint").alias("ids_crc32"))
+    pieces = spark.createDataFrame(pieces.toPandas(), packing.PIECES)
+    packed = packing.packed(pieces, shard=1000)
+    shards = packed.groupBy((F.col("sequence_id") / (1 << 32)).cast("int").alias("s")).count().collect()
+    assert len(shards) == 20 and max(r["count"] for r in shards) < 1300
+    assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048

@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.functions.patterns import necessary
 from mealgrid.operators.requests import PATTERN_CHARS
+from mealgrid.session import stage
 
 GRAM = 3
 
@@ -61,13 +63,16 @@ def pattern_join(arguments: DataFrame, texts: DataFrame, scope: str, argument: s
     """As ``substring_join``, reading arguments as regular expressions.
 
     Arguments without pattern characters are plain text and take the indexed
-    path. A true pattern has to be tried on each distinct text of its group;
-    the texts here are value dictionaries, not rows.
+    path. A true pattern is looked up under the clause of its necessary grams
+    that the fewest texts of its group hold; the texts found must have a gram
+    of every other clause before the expression is tried on them. Only a
+    pattern that demands no gram at all is tried on each text of its group.
     """
     is_pattern = F.col(argument).rlike(PATTERN_CHARS)
     plain = substring_join(arguments.where(~is_pattern), texts, scope, argument, text)
+    patterns = stage(arguments.where(is_pattern).withColumn("_clauses", necessary(F.col(argument))), "patterns")
     tried = (
-        arguments.where(is_pattern)
+        patterns.where(F.size("_clauses") == 0)
         .alias("a")
         .join(
             texts.alias("t"),
@@ -75,4 +80,18 @@ def pattern_join(arguments: DataFrame, texts: DataFrame, scope: str, argument: s
         )
         .select(f"a.{scope}", argument, text)
     )
-    return plain.unionByName(tried)
+    asked = patterns.select(scope, argument, F.posexplode("_clauses").alias("_clause", "_grams"))
+    asked = asked.select(scope, argument, "_clause", F.explode("_grams").alias("_gram"))
+    listed = (
+        texts.where(F.col(text).isNotNull())
+        .select(scope, text, F.explode(text_grams(F.col(text))).alias("_gram"))
+        .join(asked.select(scope, "_gram").distinct(), [scope, "_gram"], "left_semi")
+    )
+    frequency = listed.groupBy(scope, "_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    cost = F.struct(F.sum(F.coalesce("_texts", F.lit(0))).alias("texts"), "_clause")
+    costs = asked.join(frequency, [scope, "_gram"], "left").groupBy(scope, argument, "_clause").agg(cost.alias("_cost"))
+    least = costs.groupBy(scope, argument).agg(F.min("_cost")["_clause"].alias("_clause"))
+    found = asked.join(least, [scope, argument, "_clause"]).join(listed, [scope, "_gram"]).select(scope, argument, text).distinct()
+    holds = F.forall("_clauses", lambda c: F.exists(c, lambda g: F.contains(F.col(text), g)))
+    indexed = found.join(patterns, [scope, argument]).where(holds).where(F.rlike(F.col(text), F.col(argument)))
+    return plain.unionByName(tried).unionByName(indexed.select(scope, argument, text))

@@ -18,7 +18,9 @@ def _urn(*parts: str) -> str:
 
 def _plain(html: str) -> str:
     block = "p|div|h[1-6]|li|ul|ol|tr|table|br|article|section|nav|header|footer|aside|blockquote|pre|form"
-    out = rf"regexp_replace({html}, '(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>|<!--.*?-->', '', 'g')"
+    hidden = r"<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+    out = rf"regexp_replace({html}, '(?is){hidden}', '', 'g')"
+    out = rf"regexp_replace({out}, '(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>', '', 'g')"
     out = rf"regexp_replace({out}, '(?i)</?(?:{block})\b[^>]*>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))

@@ -27,7 +27,9 @@ from mealgrid.llm.common import text_of
 CRLF = "\r\n"
 # Named and numeric references, decoded once; without its semicolon a reference stays, as it may be cut off.
 REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-HIDDEN = r"(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>|<!--.*?-->"
+# Each ends with its own end tag, or with the page; a head is looked for when they are gone, as they may name one.
+HIDDEN = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
 BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|article|section|nav|header|footer|aside|blockquote|pre|form)\b[^>]*>"
 
 
@@ -62,7 +64,7 @@ def decoded(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden parts and tags gone, blocks on lines of their own."""
-    out = F.regexp_replace(html, HIDDEN, "")
+    out = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), HEAD, "")
     out = F.regexp_replace(out, BLOCK, "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
     out = decoded(out)
@@ -84,23 +86,37 @@ def as_responses(pages: DataFrame) -> DataFrame:
     )
 
 
+MADE = ("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "n_bytes", "header", "block")
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records per response.
 
     ``responses`` has ``record_id``, ``target_uri``, ``date``, ``http``,
-    ``payload`` and ``payload_digest``; other columns that it has stay.
+    ``payload`` and ``payload_digest``; other columns that it has stay, whatever
+    they are called. One that has the name of a column made here stays as
+    ``source_`` and that name, with more underscores if that is taken too.
     """
     mine = ("record_id", "target_uri", "date", "http", "payload", "payload_digest")
-    rest = [c for c in responses.columns if c not in (*mine, "record_type", "refers_to", "header", "block", "block_digest", "n_bytes")]
+    rest, taken = {}, {*responses.columns, *MADE}
+    for c in responses.columns:
+        if c not in mine:
+            name = c
+            if c in MADE:
+                name = f"source_{c}"
+                while name in taken:
+                    name += "_"
+                taken.add(name)
+            rest[c] = name
     body, uri = text_of(F.col("payload")), F.coalesce("target_uri", F.lit(""))
-    source_digest = F.coalesce("payload_digest", digest(body))
+    kept = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in rest.items()]) if rest else F.struct(F.lit(0).alias("_"))
     source = responses.select(
-        *[F.col(f"`{c}`") for c in rest],
+        kept.alias("_rest"),
         F.coalesce("record_id", urn(F.lit("response"), uri, body)).alias("_id"),
         uri.alias("_uri"),
         F.coalesce("date", F.lit("")).alias("_date"),
         F.coalesce("http", F.lit("")).alias("_http"),
-        source_digest.alias("_digest"),
+        F.coalesce("payload_digest", digest(body)).alias("_digest"),
         plain_text(body).alias("_text"),
     )
     ids = {t: urn(F.lit(t), F.col("_id")) for t in ("metadata", "conversion")}
@@ -111,7 +127,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("t"), ids["metadata"].alias("id"), F.lit("application/warc-fields").alias("kind"), told.alias("b")),
         F.struct(F.lit("conversion").alias("t"), ids["conversion"].alias("id"), F.lit("text/plain; charset=utf-8").alias("kind"), F.col("_text").alias("b")),
     )
-    records = source.select(*[F.col(f"`{c}`") for c in rest], "_id", "_uri", "_date", "_digest", F.explode(two).alias("_r"))
+    records = source.select("_rest", "_id", "_uri", "_date", "_digest", F.explode(two).alias("_r"))
     block, size, block_digest = F.col("_r.b"), F.octet_length("_r.b").cast("bigint"), digest(F.col("_r.b"))
     lines = (
         ("WARC-Type: ", F.col("_r.t")),
@@ -124,18 +140,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         ("Content-Length: ", size.cast("string")),
     )
     header = F.concat(F.lit(f"WARC/1.1{CRLF}"), *[x for name, c in lines for x in (F.lit(name), c, F.lit(CRLF))])
-    return records.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.col("_r.t").alias("record_type"),
-        F.col("_r.id").alias("record_id"),
-        F.col("_id").alias("refers_to"),
-        F.col("_uri").alias("target_uri"),
-        F.col("_digest").alias("payload_digest"),
-        block_digest.alias("block_digest"),
-        size.alias("n_bytes"),
-        header.alias("header"),
-        block.alias("block"),
-    )
+    made = (F.col("_r.t"), F.col("_r.id"), F.col("_id"), F.col("_uri"), F.col("_digest"), block_digest, size, header, block)
+    return records.select(*[F.col("_rest")[n].alias(n) for n in rest.values()], *[c.alias(n) for n, c in zip(MADE, made)])
 
 
 def write(records: DataFrame, path: str) -> None:

@@ -354,3 +354,36 @@ def test_equal_rows_spread(spark):
     shards = packed.groupBy((F.col("sequence_id") / (1 << 32)).cast("int").alias("s")).count().collect()
     assert len(shards) == 20 and max(r["count"] for r in shards) < 1300
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_hidden_parts_end_with_their_own_tags(spark):
+    cases = {
+        "<head><style>p {}</style><title>TITLE</title></head><p>one</p>": "one",
+        "<head><title>T</title><script>var h = '</head>'; x < 1</script></head><p>two</p>": "two",
+        "<script>var s='</style>'; alert(1)</script><p>three</p>": "three",
+        "<style>a{}</STYLE ><p>four</p><script>never ends <p>x</p>": "four",
+        "<p>five</p><!-- a > b <p>no</p>": "five",
+        "<title>lost</title><p>six<!-- <script> --></p>": "six",
+        "<p>seven</p><header>kept</header>": "seven\nkept",
+    }
+    page_rows = pages(spark, [(i, "u", h) for i, h in enumerate(cases)])
+    got = {r.page_id: r.block for r in warc.derivatives(warc.as_responses(page_rows)).where("record_type = 'conversion'").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_columns_with_names_made_here_stay(spark):
+    rows_ = warc.as_responses(pages(spark, [(1, "u", "<p>x</p>")]))
+    for name in ("_id", "_r", "_digest", "_uri", "_date", "_", "header", "block", "source_header"):
+        rows_ = rows_.withColumn(name, F.lit(name))
+    got = warc.derivatives(rows_)
+    assert {"_id", "_r", "_digest", "_uri", "_date", "_", "source_header", "source_header_", "source_block", "header", "block"} <= set(got.columns)
+    assert len(set(got.columns)) == len(got.columns)
+    r = got.where("record_type = 'conversion'").first()
+    assert (r["_r"], r["source_block"], r["source_header_"], r["source_header"], r["block"]) == ("_r", "block", "header", "source_header", "x")
+
+
+def test_many_phrases_in_one_text():
+    scan = licenses.scanner()
+    text = "so under the MIT license it is " * 20000
+    n_words, n_base, first, last, *_ = scan(text)
+    assert (n_words, n_base, first, last) == (140000, 20000, 1, 139994)

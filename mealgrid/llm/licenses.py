@@ -161,8 +161,11 @@ def scanner(templates=None, phrases=None):
         starts, base, labels, covered = [], set(), set(), []
         for phrase, label in plain.items():
             at = line.find(b" " + phrase + b" ")
+            k = before = 0
             while at >= 0:
-                k = line.count(b" ", 0, at)
+                # Words are counted on from the last place, not from the first word.
+                k += line.count(b" ", before, at)
+                before = at
                 starts.append(k)
                 base.add(label)
                 covered.append((k, k + phrase.count(b" ") + 1))

@@ -456,6 +456,21 @@ SELECT city_slug, name, cost AS average_cost_for_two, {TIER} AS budget_category,
 ORACLES |= {
     "kept_catalogue": ORACLES["clean_catalog"],
     "facet_deltas": ORACLES["city_stats"],
+    "region_statistics": f"""WITH {CLEAN},
+placed AS (
+  SELECT r_name AS region, n_name AS nation, clean.* FROM clean JOIN nation ON city_slug = {_slug("n_name")} JOIN region ON n_regionkey = r_regionkey
+), tastes AS (
+  SELECT region, nation, trim(unnest(string_split(cuisines, ','))) AS taste FROM placed
+), tasted AS (
+  SELECT region, nation, count(DISTINCT taste) AS n, 2 - grouping(region) - grouping(nation) AS depth FROM tastes WHERE taste <> ''
+  GROUP BY GROUPING SETS ((region, nation), (region), ())
+), based AS (
+  SELECT region, nation, 2 - grouping(region) - grouping(nation) AS depth, count(*) AS total_restaurants, count(DISTINCT location) AS total_locations,
+    round_even(cast(sum(cast(rating AS decimal(18, 12))) AS double) / count(*), 2) AS average_rating
+  FROM placed GROUP BY GROUPING SETS ((region, nation), (region), ())
+)
+SELECT b.region, b.nation, cast(b.depth AS integer) AS depth, total_restaurants, total_locations, coalesce(t.n, 0) AS total_cuisines, average_rating
+FROM based AS b LEFT JOIN tasted AS t ON b.depth = t.depth AND b.region IS NOT DISTINCT FROM t.region AND b.nation IS NOT DISTINCT FROM t.nation""",
     "rolling_cells": f"""WITH {CLEAN}
 SELECT city_slug, lower(location) AS place_key, tier AS budget_category, cost > 0 AS cost_known, cuisines, name, rating AS aggregate_rating, votes,
   ord, line_no, part_no, supp_no, pieces FROM clean

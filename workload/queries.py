@@ -18,6 +18,7 @@ from mealgrid.operators.requests import (
     valid_requests,
     with_budget_range,
 )
+from mealgrid.operators.regions import region_stats
 from mealgrid.operators.rolling import RollingCells
 from mealgrid.operators.select import candidates
 from mealgrid.schemas import CLEAN_FIELDS
@@ -339,6 +340,14 @@ def facet_deltas(spark, sf_dir):
     return facet_store.city_stats()
 
 
+def region_statistics(spark, sf_dir):
+    """Statistics of nations, regions and all cities from the cities' counts."""
+    facet_store = FacetStore(spark, store(spark))
+    listings = catalogue(spark, sf_dir)
+    facet_store.apply(listings.limit(0), listings)
+    return region_stats(facet_store.counts(), views.city_regions(spark, sf_dir), ["region", "nation"])
+
+
 def rolling_cells(spark, sf_dir):
     """Top rows of the whole catalogue's cells from those of a part and the changes."""
     old, new, leaving, coming = catalogue_change(spark, sf_dir)
@@ -532,6 +541,7 @@ QUERIES = {
     "load_catalogue_json": load_catalogue_json,
     "kept_catalogue": kept_catalogue,
     "facet_deltas": facet_deltas,
+    "region_statistics": region_statistics,
     "rolling_cells": rolling_cells,
     "clean_bare": clean_bare,
     "prompt_lines": prompt_lines,

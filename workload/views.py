@@ -8,6 +8,7 @@ same in SQL.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mealgrid.functions.text import city_slug
 from mealgrid.operators.clean import dense_index
 from mealgrid.schemas import RAW_FIELDS
 
@@ -25,7 +26,8 @@ SCHEMAS = {
     "l_quantity double, l_extendedprice double, l_returnflag string",
     "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
     "supplier": "s_suppkey bigint, s_nationkey int",
-    "nation": "n_nationkey int, n_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
     "pages": "page_id bigint, url string",
@@ -283,6 +285,12 @@ def replies_to(answers: DataFrame) -> DataFrame:
     )
 
 
+def city_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``region`` and ``nation`` of each city of the catalogue."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nation.select(city_slug(F.col("n_name")).alias("city_slug"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as snapshot rows: the event time is the time of the snapshot."""
     events = table(spark, sf_dir, "events")

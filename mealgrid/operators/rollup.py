@@ -8,6 +8,7 @@ every request exactly, whatever the catalogue's size. It does not depend on
 the requests: build it once per catalogue, keep it, read it for every batch.
 """
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mealgrid.constants import MAX_CANDIDATES
 from mealgrid.operators.dedup import top_k
-from mealgrid.session import stage
+from mealgrid.session import stage, staging_root
 
 # Whether a cost is known is part of the key: it then survives every later cut.
 CELL = ["city_slug", "place_key", "budget_category", "cost_known", "cuisines"]
@@ -103,6 +104,21 @@ class Cells:
         return Cells(cut(self.listings), cut(self.entries), cut(self.places), cut(self.cities))
 
 
+def in_buckets(listings: DataFrame, order=("ord",), buckets: int = 64) -> DataFrame:
+    """``listings`` written once, a folder per city, in ``buckets`` sorted by the key that ranked rows are joined on.
+
+    The layout is known to the session's catalogue as a table of its own; the
+    files lie with the other staged ones. Ask for as many buckets as the
+    session has shuffle partitions, or the planner may shuffle both sides.
+    """
+    spark, name = listings.sparkSession, f"mealgrid_listings_{uuid.uuid4().hex}"
+    key = ["city_slug", *order]
+    path = f"{staging_root(spark)}/mealgrid/{spark.sparkContext.applicationId}/{name}"
+    writer = listings.repartition(buckets, *key).write.partitionBy(PART).bucketBy(buckets, *key).sortBy(*key)
+    writer.option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def as_cells(cells, order=("ord",), k: int = MAX_CANDIDATES) -> Cells:
     """``cells`` as they are, or made from a table of top-k cells."""
     return cells if isinstance(cells, Cells) else Cells.of(cells, order, k)

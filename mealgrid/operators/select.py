@@ -130,6 +130,14 @@ def cascade(k: int = MAX_CANDIDATES) -> Column:
     return F.slice(F.array_sort(chosen), 1, k)
 
 
+def looked_up(ranked: DataFrame, payload: DataFrame, key, order=("ord",)) -> DataFrame:
+    """Ranked rows with the columns of their listings; listings in buckets are not shuffled for it."""
+    rows = ranked.select(*key, F.posexplode("ranked").alias("_at", "_row")).select(
+        *key, (F.col("_at") + 1).cast("bigint").alias("_rank"), *[F.col("_row")[c].alias(c) for c in order]
+    )
+    return rows.join(payload, ["city_slug", *order])
+
+
 def with_listings(ranked: DataFrame, cells, key, order=("ord",)) -> DataFrame:
     """Replace the short ``ranked`` array by ``picks``, with full listing columns.
 
@@ -145,11 +153,8 @@ def with_listings(ranked: DataFrame, cells, key, order=("ord",)) -> DataFrame:
     cells = as_cells(cells, order).near(stage(ranked.select("city_slug").distinct(), "asked"))
     payload = cells.listings.select("city_slug", *order, *fields)
     keep = [c for c in ranked.columns if c not in ("ranked", *key)]
-    rows = ranked.select(*key, F.posexplode("ranked").alias("_at", "_row")).select(
-        *key, (F.col("_at") + 1).cast("bigint").alias("_rank"), *[F.col("_row")[c].alias(c) for c in order]
-    )
     pick = F.struct(F.col("_rank").alias("rank"), *fields, *order)
-    picks = rows.join(payload, ["city_slug", *order]).groupBy(*key).agg(F.array_sort(F.collect_list(pick)).alias("picks"))
+    picks = looked_up(ranked, payload, key, order).groupBy(*key).agg(F.array_sort(F.collect_list(pick)).alias("picks"))
     lists = ranked.select(*key, *keep).join(picks, key, "left")
     return stage(lists.withColumn("picks", F.coalesce("picks", F.array().cast(picks.schema["picks"].dataType))), "lists")
 

@@ -9,7 +9,7 @@ from mealgrid.constants import MAX_CANDIDATES
 from mealgrid.operators.prompts import prompt_table
 from mealgrid.operators.requests import valid_requests
 from mealgrid.operators.responses import accepted_replies, respond
-from mealgrid.operators.rollup import PART, Cells, city_part, top_cells
+from mealgrid.operators.rollup import PART, Cells, city_part, in_buckets, top_cells
 from mealgrid.operators.select import answer_requests, request_status
 from mealgrid.session import stage
 
@@ -28,9 +28,11 @@ class Recommender:
     patterns: bool = False
 
     @classmethod
-    def build(cls, catalogue: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False) -> "Recommender":
+    def build(cls, catalogue: DataFrame, order=("ord",), k=MAX_CANDIDATES, patterns=False, buckets: int | None = None) -> "Recommender":
+        """Cells of ``catalogue``, written; with ``buckets`` the listings are laid out for the join that looks them up."""
         listings = top_cells(catalogue, order, k).withColumn(PART, city_part(F.col("city_slug")))
-        kept = Cells.of(stage(listings, "cells", PART), order, k).written()
+        written = in_buckets(listings, order, buckets) if buckets else stage(listings, "cells", PART)
+        kept = Cells.of(written, order, k).written()
         return cls(kept, tuple(order), k, patterns)
 
     def answer(self, requests: DataFrame) -> DataFrame:

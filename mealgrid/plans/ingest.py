@@ -42,13 +42,14 @@ def load_catalogue(
         table = fresh(read_snapshot_table(spark, path), "snapshot_ts", now, ttl_hours)
         if json_path is None:
             return table
-        files = read_json_snapshots(spark, json_path, now, ttl_hours, aliases)
         only = files.join(held, "city_slug", "left_anti")
         return table.unionByName(only, allowMissingColumns=True)
 
     if json_path is not None:
         table = fresh(read_snapshot_table(spark, path), "snapshot_ts", now, ttl_hours)
         held = stage(table.select("city_slug").distinct(), "held")
+        # Read once, into written tables; the files do not change here.
+        files = read_json_snapshots(spark, json_path, now, ttl_hours, aliases)
 
     def extract(missing: DataFrame) -> DataFrame:
         listings = extract_listings(missing, base_url, max_pages)

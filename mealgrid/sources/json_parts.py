@@ -64,8 +64,8 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], p
     """Runs of fragments of one part; a long part comes in several."""
     for pdf in batches:
         new = (pdf["part"] != pdf["part"].shift()) | (pdf["file_path"] != pdf["file_path"].shift())
-        for _, run in pdf.groupby(new.cumsum(), sort=False):
-            yield (run["file_path"].iloc[0], int(run["part"].iloc[0])), run
+        for _, part in pdf.groupby(new.cumsum(), sort=False):
+            yield (part["file_path"].iloc[0], int(part["part"].iloc[0])), part
 
 
 SUMMED = "file_path string, part bigint, file_name string, file_size bigint, size bigint, begins_inside boolean, ends_inside boolean, change bigint, depths array<bigint>, counts array<bigint>"
@@ -77,10 +77,10 @@ def summed(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple[str, int], list] = {}
         files: dict[tuple[str, int], list] = {}
-        for key, run in _parts(batches):
-            texts = run["value"].tolist()
-            file = files.setdefault(key, [run["file_name"].iloc[0], int(run["file_size"].iloc[0]), 0])
-            file[2] += int(run["size"].sum())
+        for key, part in _parts(batches):
+            texts = part["value"].tolist()
+            file = files.setdefault(key, [part["file_name"].iloc[0], int(part["file_size"].iloc[0]), 0])
+            file[2] += int(part["size"].sum())
             cases = states.setdefault(key, [[inside, inside, 0, Counter()] for inside in (False, True)])
             for text in texts:
                 for case in cases:
@@ -135,12 +135,12 @@ def cut(pieces: DataFrame, begun: dict[tuple[str, int], tuple[bool, int, int]])
                 rows.append((key[0], item, key[1], seq, "".join(held), False, False))
                 held.clear()
 
-        for now, run in _parts(batches):
+        for now, part in _parts(batches):
             if now != key:
                 handed()
                 key, seq, first = now, 0, True
                 inside, depth, item = begun[key]
-            for text in run["value"]:
+            for text in part["value"]:
                 inside, change, _ = after(text, inside)
                 depth += change - (not inside)
                 held.append(text + "}")

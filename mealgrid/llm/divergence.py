@@ -301,7 +301,7 @@ def _dealt(docs: DataFrame, machines: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        size, told = 0, 0
+        size = 0
 
         def out() -> Iterator[pd.DataFrame]:
             for (lang, source), words in held.items():
@@ -318,9 +318,9 @@ def _dealt(docs: DataFrame, machines: DataFrame) -> DataFrame:
             for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
                 if lang in bounds:
                     words = held[lang, source]
-                    told = len(words)
+                    before = len(words)
                     words.update(terms_of(text))
-                    size += len(words) - told
+                    size += len(words) - before
                 if size > ENTRIES:
                     yield from out()
                     size = 0

@@ -4,7 +4,7 @@ Mixing, packing and page structure are beyond it; those queries are tested
 against brute force.
 """
 
-from mealgrid.llm import licenses, quality, secrets
+from mealgrid.llm import licenses, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -210,20 +210,16 @@ FROM docs LEFT JOIN found ON docs.doc_id = found.doc_id GROUP BY docs.doc_id"""
 
 
 def _op5() -> str:
-    n_rules, tests, cuts = len(quality.RULES), [], []
-    p = quality.ALPHA / n_rules
-    for rule, grid in quality.RULES.items():
-        passed = []
-        for i, c in enumerate(grid):
-            tests.append(f"count(*) FILTER ({rule} > {c!r}) AS {rule}_{i}")
-            k = f"{rule}_{i}"
-            tail = f"list_sum(list_transform(range(0, {k} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln(1 - {p!r}))))"
-            passed.append(f"({k} < n * {p!r} AND {tail} <= {quality.DELTA!r} / ({n_rules} * (SELECT count(*) FROM counts)))")
-        cut = "NULL"
-        for i, c in enumerate(grid):
-            cut = f"CASE WHEN {' AND '.join(passed[: i + 1])} THEN {c!r} ELSE {cut} END"
-        cuts.append(f"{cut} AS {rule}_cut")
-    over = " OR ".join(f"coalesce({r} > {r}_cut, false)" for r in quality.RULES)
+    ratios = {
+        "symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"),
+        "dup_lines": ("n_dup_lines", "len(lines)"), "marks": ("n_marks", "n_words"),
+    }
+    at = ", ".join(f"least(4000, (1000 * {a} + greatest({b}, 1) - 1) // greatest({b}, 1)) AS at_{r}" for r, (a, b) in ratios.items())
+    names, steps = ", ".join(f"'{r}'" for r in ratios), ", ".join(f"at_{r}" for r in ratios)
+    wide = ", ".join(f"max(cut) FILTER (rule = '{r}') AS {r}_cut" for r in ratios)
+    over = " OR ".join(f"coalesce(at_{r} > {r}_cut, false)" for r in ratios)
+    cuts = ", ".join(f"any_value({r}_cut) AS {r}_cut" for r in ratios)
+    tail = "list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.04) + (n - j) * ln(0.96))))"
     return rf"""WITH docs AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents
 ), grams AS (
@@ -235,16 +231,34 @@ plain AS (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     coalesce(covered.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals,
-    length(t) - length(replace(t, '!', '')) AS n_marks
+    length(t) - length(replace(t, '!', '')) AS n_marks,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines
   FROM docs LEFT JOIN covered ON docs.doc_id = covered.doc_id
 ), measured AS (
-  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  SELECT *, {at}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     n_symbols / greatest(word_chars, 1) AS symbols, n_capitals / greatest(word_chars, 1) AS capitals,
-    (len(lines) - len(list_distinct(lines))) / greatest(len(lines), 1) AS dup_lines, n_marks / greatest(n_words, 1) AS marks
+    n_dup_lines / greatest(len(lines), 1) AS dup_lines, n_marks / greatest(n_words, 1) AS marks
   FROM plain
 ), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-counts AS (SELECT lang, count(*) AS n, {", ".join(tests)} FROM measured SEMI JOIN good ON measured.doc_id = good.doc_id GROUP BY lang),
-cuts AS (SELECT lang, {", ".join(cuts)} FROM counts)
+sampled AS (SELECT * FROM measured SEMI JOIN good ON measured.doc_id = good.doc_id),
+spread AS (SELECT lang, unnest([{names}]) AS rule, unnest([{steps}]) AS step FROM measured),
+held AS (SELECT lang, rule, step, count(*) AS n FROM spread GROUP BY ALL),
+ranked AS (
+  SELECT lang, rule, step, sum(n) OVER (PARTITION BY lang, rule) AS whole,
+    coalesce(sum(n) OVER (PARTITION BY lang, rule ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+  FROM held
+), shares AS (SELECT cast(floor(100 * 1.25 ** i) AS bigint) AS share FROM range(31) AS x(i)),
+ladder AS (SELECT lang, rule, share, min(step) FILTER (above * 100000 <= whole * share) AS cut FROM ranked, shares GROUP BY ALL),
+wide AS (SELECT lang, share, {wide} FROM ladder GROUP BY ALL),
+tested AS (
+  SELECT wide.lang, share, count(*) AS n, count(*) FILTER ({over}) AS k, {cuts}
+  FROM wide JOIN sampled ON wide.lang IS NOT DISTINCT FROM sampled.lang GROUP BY wide.lang, share
+), passed AS (
+  SELECT *, k < n * 0.04 AND {tail} <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested)) AS ok FROM tested
+), cuts AS (
+  SELECT * FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY share) AS so_far FROM passed)
+  WHERE so_far QUALIFY row_number() OVER (PARTITION BY lang ORDER BY share DESC) = 1
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {over}) AS kept,
   symbols, capitals, dup_lines, marks
 FROM measured LEFT JOIN cuts ON measured.lang IS NOT DISTINCT FROM cuts.lang"""

@@ -1,41 +1,48 @@
 """Quality rules whose cutoffs carry a guarantee.
 
 A rule rejects a document when one of its features lies above the cutoff of
-its stratum (its language). Cutoffs come from labelled documents: a cutoff is
-admissible when the exact binomial tail shows, at the corrected level, that no
-more than ``ALPHA / number of rules`` of the good documents of the stratum lie
-above it. Along a rule's fixed grid the tests run from the mildest cutoff to
-the strictest and stop at the first that fails, which needs no correction;
-across rules and strata the level is divided by their number (Bonferroni).
-With probability ``1 - DELTA`` all strata then falsely reject at most
-``ALPHA`` of their good documents. Where too few labels exist to show that,
-nothing is rejected.
+its stratum (its language). The rules move together along a ladder of levels:
+at a level every rule may reject the same share of the stratum's documents,
+labelled or not, so the cutoffs are quantiles of exact counts and need no
+hand-made grid. Labels then decide how far down the ladder a stratum goes. A
+level is admissible when the exact binomial tail shows, at the corrected level
+of significance, that no more than ``ALPHA`` of the stratum's good documents
+are rejected by any rule. The tests run from the mildest level to the
+strictest and stop at the first that fails, which needs no correction (what a
+level rejects, the next one rejects too, and the ladder does not look at
+labels); across strata the significance is divided by their number
+(Bonferroni). With probability ``1 - DELTA`` all strata then falsely reject at
+most ``ALPHA`` of their good documents. Where too few labels exist to show
+that, nothing is rejected: one level needs ``ln(DELTA / strata) /
+ln(1 - ALPHA)`` good labels, 107 for four strata.
 
 Built-in expressions only. Windows of words are compared inside the row; no
-word is shuffled. Labels meet documents on features, not on texts.
+word is shuffled. Counts by stratum, rule and step are combined before their
+shuffle. Labels meet documents on features, not on texts.
 
 Null texts are empty. A null language is a stratum of its own. Rows without a
-label take no part in the calibration; a label without a document, with a null
-quality, or repeated for a document counts once or not at all.
+label take no part in the tests; a label without a document, with a null
+quality, or repeated for a document counts once or not at all. Repeated rows
+count as often as they occur. Documents that tie at a cutoff are kept.
 """
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mealgrid.llm.common import packed, text_of, unpacked, words_of
 from mealgrid.session import stage
 
 ALPHA = 0.04
 DELTA = 0.05
-# Cutoffs from the mildest to the strictest.
-RULES = {
-    "symbols": (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.075, 0.05),
-    "capitals": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
-    "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
-    "marks": (2.0, 1.5, 1.0, 0.75, 0.5),
-}
+RULES = ("symbols", "capitals", "dup_lines", "marks")
+# Features are compared in steps of a thousandth, rounded up; from this step on all are alike.
+LAST = 4000
+# What a rule may reject of its stratum at each level, per 100,000 documents.
+SHARES = tuple(int(100 * 1.25**i) for i in range(31))
 # Terms of a binomial tail that are added one by one; the rest is bounded.
 TERMS = 4000
 
@@ -94,14 +101,23 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("_row", F.inline(F.array(counts)))
 
 
+# Numerator and denominator of each rule's feature.
+RATIOS = {
+    "symbols": ("n_symbols", "word_chars"),
+    "capitals": ("n_capitals", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "marks": ("n_marks", "n_words"),
+}
+
+
 def features() -> dict[str, Column]:
-    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return {
-        "symbols": ratio("n_symbols", "word_chars"),
-        "capitals": ratio("n_capitals", "word_chars"),
-        "dup_lines": ratio("n_dup_lines", "n_lines"),
-        "marks": ratio("n_marks", "n_words"),
-    }
+    """The rules' ratios, and ``at_<rule>``: the same in whole steps."""
+    out = {}
+    for rule, (a, b) in RATIOS.items():
+        out[rule] = F.col(a) / F.greatest(F.col(b), F.lit(1))
+        step = F.expr(f"(1000 * {a} + greatest({b}, 1) - 1) div greatest({b}, 1)")
+        out[f"at_{rule}"] = F.least(step, F.lit(LAST)).cast("int")
+    return out
 
 
 def base_failed() -> Column:
@@ -139,34 +155,49 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.least(F.lit(1.0), F.exp(first) * total)).otherwise(F.lit(1.0))
 
 
-def calibrate(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules=None) -> DataFrame:
-    """Cutoffs per stratum: ``stratum`` and one column for each rule, null if none holds.
+def ladder(measures: DataFrame, rules=RULES) -> DataFrame:
+    """``stratum`` and, for each rule, an array of its cutoffs from the mildest level to the strictest.
+
+    A level's cutoff is the least occurring step above which no more than the
+    level's share of the stratum lies. ``measures`` has ``stratum`` and
+    ``at_<rule>``. Counted exactly; no group holds more than ``LAST`` steps.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"at_{r}").alias("at")) for r in rules]))
+    counts = measures.select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.at").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("stratum", "rule")
+    higher = F.sum("n").over(of.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = counts.select("*", F.coalesce(higher, F.lit(0)).alias("above"), F.sum("n").over(of).alias("whole"))
+    cuts = [F.min(F.when(F.col("above") * 100000 <= F.col("whole") * s, F.col("at"))) for s in SHARES]
+    levels = ranked.groupBy("stratum", "rule").agg(F.array(*cuts).alias("cuts"))
+    return levels.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cuts"))).alias(r) for r in rules])
+
+
+def calibrate(measures: DataFrame, good: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules=RULES) -> DataFrame:
+    """Cutoffs per stratum that has labels: ``stratum`` and one step for each rule, null if no level holds.
 
-    ``good`` has ``stratum`` and a column for each rule, one row per labelled
-    good document.
+    ``measures`` are all documents, ``good`` the labelled good ones, a row
+    each; both have ``stratum`` and ``at_<rule>``.
     """
-    rules = rules or RULES
-    counts = [F.count("*").alias("n")] + [
-        F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, grid in rules.items() for i, c in enumerate(grid)
-    ]
-    strata = stage(good.groupBy("stratum").agg(*counts), "strata")
-    level = delta / (len(rules) * max(1, strata.count()))
-    chosen = []
-    for r, grid in rules.items():
-        # The mildest first; a cutoff counts only if all before it passed.
-        cut = F.lit(None).cast("double")
-        for i in reversed(range(len(grid))):
-            ok = binomial_tail(F.col(f"{r}_{i}"), F.col("n"), alpha / len(rules)) <= level
-            cut = F.when(ok, F.coalesce(cut, F.lit(grid[i])))
-        chosen.append(cut.alias(r))
-    return stage(strata.select("stratum", *chosen), "cutoffs")
+    steps = stage(ladder(measures, rules), "ladder").withColumnRenamed("stratum", "_s")
+    met = good.select("stratum", *[f"at_{r}" for r in rules]).join(steps, F.col("stratum").eqNullSafe(F.col("_s")))
+    # Cutoffs fall along the ladder: the levels that keep a document are its first ones.
+    kept_by = [F.expr(f"size(filter(`{r}`, cut -> `at_{r}` <= cut))") for r in rules]
+    first = met.select("stratum", functools.reduce(F.least, kept_by).alias("first"))
+    lost = [F.count_if(F.col("first") <= i) for i in range(len(SHARES))]
+    strata = stage(first.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*lost).alias("lost")), "strata")
+    significance = delta / max(1, strata.count())
+    tests = strata.select("stratum", "n", F.posexplode("lost").alias("level", "k"))
+    failed = binomial_tail(F.col("k"), F.col("n"), alpha) > significance
+    ends = tests.groupBy("stratum").agg(F.coalesce(F.min(F.when(failed, F.col("level"))), F.lit(len(SHARES))).alias("end"))
+    chosen = [F.when(F.col("end") > 0, F.get(F.col(r), F.col("end") - 1)).alias(r) for r in rules]
+    return stage(ends.join(steps, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", *chosen), "cutoffs")
 
 
 def labelled_good(measures: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of the documents whose label says that they are good.
 
-    ``measures`` has ``doc_id``, ``stratum`` and the rules' features. A
-    document labelled twice is good only if every label says so.
+    ``measures`` has ``doc_id`` and the rules' features. A document labelled
+    twice is good only if every label says so.
     """
     marks = labels.select(F.col("doc_id"), F.col("quality").alias("q")).where("doc_id is not null and q is not null")
     marks = marks.groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
@@ -179,7 +210,7 @@ def verdict(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
     joined = measures.join(cuts, F.col("stratum").eqNullSafe(F.col("_s")), "left")
     over = F.lit(False)
     for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False))
+        over = over | F.coalesce(F.col(f"at_{r}") > F.col(f"_cut_{r}"), F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | over))
 
 
@@ -192,15 +223,15 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, features and verdict for each document; the texts are measured once."""
     slim = with_features(docs).select("_row.doc_id", *[c for c in with_features(docs).columns if c != "_row"])
     measures = stage(slim, "measures")
-    return verdict(measures, calibrate(labelled_good(measures, labels)))
+    return verdict(measures, calibrate(measures, labelled_good(measures, labels)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    Cutoffs come from all labelled documents; the texts are then measured a
+    Cutoffs come from all documents and labels; the texts are then measured a
     second time beside the rows, which is cheaper than shuffling them.
     """
     all_rows = with_features(docs)
-    measures = all_rows.select("_row.doc_id", "stratum", *RULES)
-    return unpacked(verdict(all_rows, calibrate(labelled_good(measures, labels))).where("kept"))
+    measures = stage(all_rows.select("_row.doc_id", "stratum", *[f"at_{r}" for r in RULES]), "measures")
+    return unpacked(verdict(all_rows, calibrate(measures, labelled_good(measures, labels))).where("kept"))

@@ -48,11 +48,25 @@ def test_long_tails_are_bounded(spark):
 
 
 def test_cutoffs_are_certified_per_stratum(spark):
-    """Good documents of one stratum are loud; the other has too few labels."""
-    rows = [("a", float(i % 50 == 0) * 0.35) for i in range(3000)] + [("b", 0.0)] * 20 + [(None, 0.0)] * 3000
-    good = spark.createDataFrame(rows, "stratum string, x double")
-    cuts = {r.stratum: r.x for r in quality.calibrate(good, 0.01, 0.05, {"x": (0.9, 0.5, 0.4, 0.3, 0.2)}).collect()}
-    assert cuts == {"a": 0.4, "b": None, None: 0.2}
+    """Good documents of one stratum are loud; another has too few labels."""
+    good = [("a", 350 if i % 50 == 0 else 10) for i in range(3000)] + [("b", 0)] * 20 + [(None, 0)] * 3000
+    bad = [("a", 300 + i) for i in range(200)] + [("b", 900)] * 20 + [(None, 1 + i) for i in range(200)]
+    columns = "stratum string, at_x int"
+    measures = spark.createDataFrame(good + bad, columns)
+    got = quality.calibrate(measures, spark.createDataFrame(good, columns), 0.01, 0.05, ("x",))
+    cuts = {r.stratum: r.x for r in got.collect()}
+    # 2 % of the good ones of "a" lie at 350, which must not be rejected at a promised 1 %.
+    assert 350 <= cuts["a"] < 450 and cuts["b"] is None and cuts[None] == 0
+
+
+def test_ladder_against_sorted_values(spark):
+    rows = [(s, (i * i * 7919) % (4001 if s == "a" else 40)) for s in ("a", None) for i in range(1500)] + [("one", 5)]
+    got = quality.ladder(spark.createDataFrame(rows, "stratum string, at_x int"), ("x",)).collect()
+    assert len(got) == 3
+    for r in got:
+        values = [v for s, v in rows if s == r.stratum]
+        for share, cut in zip(quality.SHARES, r.x, strict=True):
+            assert cut == min(c for c in set(values) if sum(v > c for v in values) * 100000 <= share * len(values))
 
 
 def test_few_good_documents_are_rejected(spark):
@@ -64,3 +78,13 @@ def test_few_good_documents_are_rejected(spark):
     rows = judged.join(held_out, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
     assert kept[1] >= 1 - quality.ALPHA and kept[0] < 0.6
+
+
+def test_every_language_is_certified(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.judged(docs, labels).join(labels, "doc_id").where("not base_failed")
+    shares = rows.groupBy("stratum", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.max("_cut_symbols").alias("cut")).collect()
+    assert len(shares) == 8 and all(r.cut is not None for r in shares)
+    for r in shares:
+        assert r.kept >= 1 - quality.ALPHA if r.quality else r.kept < 0.6

@@ -31,6 +31,7 @@ import html as entities
 import itertools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,7 +59,7 @@ TAG = re.compile(
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
-SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -137,18 +138,38 @@ def _hidden(attrs: str) -> bool:
 class _Element:
     """An open element; ``held`` is the text before it if it is dropped from within a block."""
 
-    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held", "first", "off", "inside", "saved", "firm")
+    __slots__ = ("tag", "away", "main", "sign", "blocks", "head", "held", "first", "off", "inside", "saved", "firm", "outs")
 
     def __init__(self, tag, away, main, head, held=None, up=None, first=0, firm=False):
         self.tag, self.away, self.main, self.head, self.held, self.first = tag, away, main, head, held, first
-        self.sign, self.blocks = [], []
+        self.sign, self.blocks = [], None
         # Main elements within it stay if it is dropped, unless that is firm.
-        self.saved, self.firm = [], firm
+        self.saved, self.firm = None, firm
+        # Elements to be dropped from here upwards.
+        self.outs = away + (up.outs if up is not None else 0)
         self.inside = main or up is not None and up.inside
         # Within the innermost main element, or the page, to be dropped.
         self.off = away or not main and up is not None and up.off
 
 
+def _both(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Blocks of ``a``, then those of ``b``, as a tree (number, left, right), so that no depth copies them."""
+    if a is None or b is None:
+        return b if a is None else a
+    return (a[0] + b[0], a, b)
+
+
+def _listed(blocks: tuple | None) -> list[str]:
+    out, left = [], [blocks] if blocks else []
+    while left:
+        node = left.pop()
+        if len(node) == 2:
+            out.append(node[1])
+        else:
+            left += (node[2], node[1])
+    return out
+
+
 def _hash(text: str) -> int:
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
     return h - ((h >> 63) << 64)
@@ -209,29 +230,49 @@ def parsed(
     """
     root = _Element("", False, False, "")
     stack, buffer, hashes, mains, regions = [root], [], [], {}, [_Region()]
+    # Where the open elements of each tag, the main ones, and those that are no inline ones stand in the stack.
+    places, main_at, standing = defaultdict(list), [], [0]
     hashed = draws or bool(templates)
 
     def flush() -> None:
         if buffer:
-            text = SPACE.sub(" ", entities.unescape("".join(buffer))).strip(" ")
+            text = SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                stack[-1].blocks.append(text)
+                stack[-1].blocks = _both(stack[-1].blocks, (1, text))
                 stack[-1].sign.append(text)
                 if draws and not stack[-1].off:
                     regions[-1].add(text)
 
+    def push(element: _Element) -> None:
+        places[element.tag].append(len(stack))
+        if element.main:
+            main_at.append(len(stack))
+        if element.held is None:
+            standing.append(len(stack))
+        stack.append(element)
+
+    def pop() -> _Element:
+        done = stack.pop()
+        places[done.tag].pop()
+        if done.main:
+            main_at.pop()
+        if done.held is None:
+            standing.pop()
+        return done
+
     def close() -> None:
+        nonlocal buffer
         if stack[-1].held is not None:
-            done = stack.pop()
-            buffer[:] = done.held
+            done = pop()
+            buffer = done.held
             if done.saved and not done.firm:
                 flush()
-                stack[-1].blocks.extend(done.saved)
-                stack[-1].saved.extend(done.saved)
+                stack[-1].blocks = _both(stack[-1].blocks, done.saved)
+                stack[-1].saved = _both(stack[-1].saved, done.saved)
             return
         flush()
-        done = stack.pop()
+        done = pop()
         up = stack[-1]
         if done.main:
             region = regions.pop()
@@ -241,21 +282,21 @@ def parsed(
                     regions[-1].keys += region.keys
             if not done.away:
                 if not up.inside and done.blocks:
-                    mains.setdefault(sum(e.away for e in stack), []).extend(done.blocks)
-                    up.saved.extend(done.blocks)
-                up.blocks.extend(done.blocks)
+                    mains[up.outs] = _both(mains.get(up.outs), done.blocks)
+                    up.saved = _both(up.saved, done.blocks)
+                up.blocks = _both(up.blocks, done.blocks)
             return
         gone = done.away
         if hashed and not (done.off and done.inside) and done.tag not in TOP and done.sign:
             # Inside and outside of the main element a subtree is not the same.
             h = _hash("\x1f".join([*(["main"] if done.inside else []), done.tag, done.head, *done.sign]))
-            kind = 0 if not done.inside else 2 if done.tag in PROSE and not done.head.strip() and len(done.blocks) < 2 else 1
+            kind = 0 if not done.inside else 2 if done.tag in PROSE and not done.head.strip() and (not done.blocks or done.blocks[0] < 2) else 1
             regions[-1].subtrees.append((h, done.first, len(regions[-1].keys), kind))
             up.sign.append(str(h))
             gone = gone or h in templates
         if not (done.away and done.firm):
-            up.saved.extend(done.saved)
-            up.blocks.extend(done.saved if gone else done.blocks)
+            up.saved = _both(up.saved, done.saved)
+            up.blocks = _both(up.blocks, done.saved if gone else done.blocks)
 
     at = 0
     tags = list(TAG.finditer(page))
@@ -273,12 +314,12 @@ def parsed(
         if tag in INLINE and not (attrs and (_named(attrs) or _hidden(attrs))):
             if tag == "br":
                 buffer.append(" ")
-            if not ends or not any(e.tag == tag for e in stack[1:]):
+            if not ends or not places[tag]:
                 continue
         if ends:
-            if any(e.tag == tag for e in stack[1:]):
-                keep = any(e.main for e in stack[1:]) and tag not in TOP and not any(e.tag == tag for e in _inside(stack))
-                if keep and tag not in MAIN:
+            if places[tag]:
+                # Within the innermost main element, the end of an element around it is a stray.
+                if main_at and tag not in TOP and tag not in MAIN and places[tag][-1] < main_at[-1]:
                     continue
                 while stack[-1].tag != tag:
                     close()
@@ -290,27 +331,21 @@ def parsed(
             flush()
             continue
         if tag in INLINE:
-            stack.append(_Element(tag, True, False, "", list(buffer), up=stack[-1], firm=_hidden(attrs)))
-            buffer.clear()
+            push(_Element(tag, True, False, "", buffer, up=stack[-1], firm=_hidden(attrs)))
+            buffer = []
             continue
         flush()
         if tag in CLOSES:
             closed, stops = CLOSES[tag]
-            names = [e.tag for e in stack]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in stops:
-                    break
-                if names[k] in closed:
-                    while len(stack) > k:
-                        close()
-                    break
-        inline = len(stack) - 1
-        while stack[inline].held is not None:
-            inline -= 1
-        if stack[inline].tag == "p":
-            while len(stack) > inline:
+            k = max(places[t][-1] if places[t] else 0 for t in closed)
+            if k and k > max(places[t][-1] if places[t] else 0 for t in stops):
+                while len(stack) > k:
+                    close()
+        last = standing[-1]
+        if stack[last].tag == "p":
+            while len(stack) > last:
                 close()
-        in_main = any(e.main for e in stack)
+        in_main = bool(main_at)
         head = (tag == "header" or bool(attrs) and _heads(attrs)) and not in_main
         firm = tag in DROPPED and tag != "form" or bool(attrs) and _hidden(attrs)
         away = firm or tag == "form" or head or bool(attrs) and _named(attrs)
@@ -320,11 +355,11 @@ def parsed(
             away = bool(attrs) and _remark(attrs)
         elif main or tag in TOP:
             away = tag == "head"
-        if tag == "article" and in_main and any(e.tag == "article" for e in stack):
+        if tag in MAIN and in_main and places[tag]:
             main = False
         if main:
             regions.append(_Region())
-        stack.append(_Element(tag, away, main, attrs[:200], up=stack[-1], first=len(regions[-1].keys), firm=firm))
+        push(_Element(tag, away, main, attrs[:200], up=stack[-1], first=len(regions[-1].keys), firm=firm))
     if at < len(page):
         rest = page[at:]
         buffer.append(rest)
@@ -334,21 +369,15 @@ def parsed(
     if draws:
         hashes.extend(regions[0].drawn())
         hashes = [(*found, found[2] > 0 or 0 not in mains) for found in hashes]
+    whole, kept = _listed(root.blocks), _listed(root.saved)
     if not mains:
-        return root.blocks, hashes
+        return whole, hashes
     least = min(mains)
+    chosen = _listed(mains[least])
     size = lambda blocks: sum(map(len, blocks))
-    if least and size(mains[least]) < size(root.blocks) - size(root.saved):
-        return root.blocks, hashes
-    return mains[least], hashes
-
-
-def _inside(stack: list) -> list:
-    """Elements within the innermost main element, itself included."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].main:
-            return stack[k:]
-    return stack[1:]
+    if least and size(chosen) < size(whole) - size(kept):
+        return whole, hashes
+    return chosen, hashes
 
 
 def host_of(url: Column) -> Column:

@@ -387,3 +387,16 @@ def test_many_phrases_in_one_text():
     text = "so under the MIT license it is " * 20000
     n_words, n_base, first, last, *_ = scan(text)
     assert (n_words, n_base, first, last) == (140000, 20000, 1, 139994)
+
+
+def test_deep_pages_are_read_in_linear_time():
+    """Work that grows with the square of the open elements would take hours here."""
+    n = 150_000
+    assert html.parsed("<div>x" * n)[0] == ["x"] * n
+    assert html.parsed("<div><li>y</li>" * n)[0] == ["y"] * n
+    assert html.parsed("<article>" + "a <span class='notice'>x</span>" * n)[0] == [" ".join("a" * n)]
+    assert html.parsed("<form>" * n + "<article>z</article>")[0] == ["z"]
+
+
+def test_all_unicode_white_space_is_one_space():
+    assert html.parsed("<p>&emsp;a&thinsp;　b  c&nbsp; d\x85</p>")[0] == ["a b c d"]

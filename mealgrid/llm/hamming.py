@@ -1,15 +1,21 @@
 """Exact top-k search among binary codes by multi-index hashing.
 
-A code is cut into segments of 8 bits, and each shard of the codes has a hash
-table per segment. A query probes all codes that agree with one of its
-segments within a radius, verifies their full distance, and lets the radius
-grow: once every segment was probed to radius r, all codes nearer than
-``segments * (r + 1)`` are known. The search of a shard ends when the k-th
-verified distance is below that, or all values have been probed.
-
-Shards and query blocks have a fixed size, so their pairs are tasks of bounded
-work and memory; a shard gives k rows per query, and the best k of all shards
-are the answer. Ties go to the smaller id.
+A code is cut into segments of about as many bits as the table has codes to
+tell apart, and one index over all codes has a row per segment and value. A
+query probes, in rounds, the values at radius 0, 1, 2, ... of each of its
+segments, joined by equality, and verifies the full distance of what it meets.
+A code is taken up only where its nearest segment is probed, so rounds never
+meet it twice. Once all segments were probed to radius r, every code nearer
+than ``segments * (r + 1)`` is known: a query leaves when its k-th verified
+distance, over all codes, is below that, or all values have been probed.
+
+Only queries and their probes are generated in a round; the index is written
+once. Equal codes are one row with the least ids that can be of use, so a code
+that a third of all rows share is met once. A segment value that many codes
+share is a hot key of an equality join with a written table, which is left to
+skew splitting; its pairs are verified as they are met, and the best k per
+query are kept before the shuffle. Distances are integers and ties go to the
+smaller id.
 
 Vectors without an id or without an embedding are neither found nor asked for.
 A vector is not its own neighbour. Shorter embeddings are filled with 0 bits,
@@ -17,20 +23,17 @@ and repeated rows are found as often as they occur. An id that asks twice is
 asked once, with the smallest of its codes.
 """
 
-from itertools import combinations
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mealgrid.session import stage
+
 K = 10
-SHARD = 16384
-QUERIES = 2048
-FOUND = "query_id bigint, neighbor_id bigint, distance int"
-# Masks of 8 bits by the number of bits set.
-MASKS = [np.array([sum(1 << b for b in c) for c in combinations(range(8), r)], "uint8") for r in range(9)]
+# Hexadecimal digits of a segment at most; its value must fit an integer.
+DIGITS = 7
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -44,64 +47,70 @@ def codes(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("id"), F.unhex(F.concat(*parts)).alias("code"))
 
 
-class MultiIndex:
-    """Codes of one shard with a table per segment: rows sorted by the segment's value."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        self.ids, self.codes = ids, codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        counts = [np.bincount(codes[:, j], minlength=256) for j in range(codes.shape[1])]
-        self.starts = [np.concatenate([[0], np.cumsum(c)]) for c in counts]
-
-    def search(self, code: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest, ties by id; the radius grows until they are certain."""
-        m = len(code)
-        seen = np.zeros(len(self.ids), bool)
-        near, away = np.empty(0, "int64"), np.empty(0, "int64")
-        for radius in range(9):
-            rows = []
-            for j in range(m):
-                for value in (code[j] ^ MASKS[radius]).tolist():
-                    rows.append(self.order[self.starts[j][value] : self.starts[j][value + 1], j])
-            new = np.unique(np.concatenate(rows)) if rows else near[:0]
-            new = new[~seen[new]]
-            seen[new] = True
-            new = new[self.ids[new] != own]
-            far = np.bitwise_count(self.codes[new] ^ code).sum(axis=1, dtype="int64")
-            near, away = np.concatenate([near, new]), np.concatenate([away, far])
-            best = np.lexsort((self.ids[near], away))[:k]
-            near, away = near[best], away[best]
-            if len(near) == k and away[-1] < m * (radius + 1):
-                break
-        return self.ids[near], away
-
-
-def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """The k nearest of all ``vectors`` for each of ``asked``; both from ``codes``.
-
-    Every shard meets every block of queries, each pair in a task of its own.
-    """
-    asked = asked.groupBy("id").agg(F.min("code").alias("code"))
-    shards = max(1, -(-vectors.count() // shard))
-    blocks = max(1, -(-asked.count() // block))
-
-    def part(n: int):
-        return F.pmod(F.xxhash64("id", "code"), F.lit(n)).cast("int")
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("id", "code", part(shards).alias("s"), every(blocks).alias("b"))
-    right = asked.select("id", "code", part(blocks).alias("b"), every(shards).alias("s"))
-
-    def run(key, data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(data) and len(queries):
-            matrix = lambda x: np.frombuffer(b"".join(x["code"]), "uint8").reshape(len(x), -1)
-            index = MultiIndex(data["id"].to_numpy("int64"), matrix(data))
-            for own, code in zip(queries["id"].tolist(), matrix(queries)):
-                ids, away = index.search(code, own, k)
-                out += zip([own] * len(ids), ids.tolist(), away.tolist())
-        return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"])
-
-    found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(run, FOUND)
+def segments(digits: int, count: int) -> list[tuple[int, int]]:
+    """Beginnings and lengths, in hexadecimal digits, of segments that tell about ``count`` codes apart."""
+    size = min(DIGITS, max(1, round(math.log2(max(count, 2)) / 4)))
+    m = -(-digits // size)
+    ends = [digits * (j + 1) // m for j in range(m)]
+    return [(start, end - start) for start, end in zip([0, *ends], ends)]
+
+
+def _values(cuts: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.conv(F.substring(F.hex("code"), start + 1, size), 16, 10).cast("int") for start, size in cuts])
+
+
+def _classes(vectors: DataFrame, k: int) -> DataFrame:
+    """``code`` and the least ``members`` (id, times) of it that k neighbours of another id can need."""
+    each = vectors.groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    least = each.withColumn("place", place).where(F.col("place") <= k + 1)
+    return least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
+
+
+def probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """``query_id``, ``own``, ``far``, segment ``j`` and each ``value`` at exactly this radius of the query's."""
+    width = F.get(F.array(*[F.lit(w) for w in widths]), F.col("j"))
+    rows = active.select("query_id", "own", "far", F.posexplode("own").alias("j", "value"), F.lit(-1).alias("last"))
+    rows = rows.withColumn("width", width)
+    for _ in range(radius):
+        # Bits are turned in ascending order, so each set of them comes up once.
+        after = F.when(F.col("last") + 1 < F.col("width"), F.sequence(F.col("last") + 1, F.col("width") - 1))
+        rows = rows.withColumn("last", F.explode(after)).withColumn("value", F.expr("value ^ shiftleft(1, last)"))
+    return rows.select("query_id", "own", "far", "j", "value")
+
+
+def met(asking: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """``query_id``, ``neighbor_id`` and ``distance`` of all codes that come up first in this round."""
+    apart = F.expr("zip_with(own, other, (x, y) -> bit_count(x ^ y))")
+    pairs = asking.join(index, ["j", "value"]).withColumn("apart", apart)
+    pairs = pairs.where((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("j") + 1))
+    pairs = pairs.withColumn("distance", F.expr("aggregate(apart, 0, (a, x) -> a + x)"))
+    pairs = pairs.where(F.col("far").isNull() | (F.col("distance") <= F.col("far")))
+    each = pairs.select("query_id", "distance", F.explode("members").alias("member")).where("member.id <> query_id")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("member.n")))
+    return each.select("query_id", F.col("member.id").alias("neighbor_id"), "distance", copies.alias("_copy")).drop("_copy")
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
+    """The k nearest of all ``vectors`` for each of ``asked``; both from ``codes``."""
+    classes = stage(_classes(vectors, k), "classes")
+    size = classes.agg(F.count("*").alias("n"), F.max(F.length("code")).alias("length")).first()
+    cuts = segments(2 * (size["length"] or 1), size["n"])
+    widths = [4 * digits for _, digits in cuts]
+    split = classes.select(_values(cuts).alias("other"), "members")
+    index = stage(split.select(F.posexplode("other").alias("j", "value"), "other", "members"), "index")
+    queries = asked.groupBy(F.col("id").alias("query_id")).agg(F.min("code").alias("code"))
+    queries = stage(queries.select("query_id", _values(cuts).alias("own")), "queries")
+    active = queries.withColumn("far", F.lit(None).cast("int"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    found = None
+    for radius in range(max(widths) + 1):
+        new = met(probes(active, widths, radius), index, radius)
+        rows = new if found is None else found.drop("rank").unionByName(new)
+        found = stage(rows.withColumn("rank", place).where(F.col("rank") <= k), "found")
+        kth = found.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))
+        open_ = F.col("far").isNull() | (F.col("far") >= len(widths) * (radius + 1))
+        active = stage(queries.join(kth, "query_id", "left").where(open_), "active")
+        if active.isEmpty():
+            break
+    return found.select("query_id", "rank", "neighbor_id", "distance")

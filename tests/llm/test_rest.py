@@ -294,18 +294,52 @@ def test_neighbours_of_the_whole_table(spark):
     assert rows(QUERIES["op4_hamming_top_k"](spark, SF)) == brute(vectors, 10)
 
 
-def test_neighbours_in_several_shards_and_of_awkward_rows(spark):
+def test_neighbours_among_equal_codes_and_of_awkward_rows(spark):
     rng = np.random.default_rng(3)
     made = [(i, rng.normal(size=64) if i % 3 else np.ones(64)) for i in range(400)]
     schema = "vec_id bigint, embedding array<float>, code string, id string"
     items = [(i, [float(v) for v in x], "z", "z") for i, x in made] + [(None, [1.0], "z", "z"), (900, None, "z", "z")]
     codes = hamming.codes(spark.createDataFrame(items, schema))
-    got = hamming.nearest(codes, codes.where("id % 100 = 0"), k=5, shard=60, block=2)
+    got = hamming.nearest(codes, codes.where("id % 100 = 0"), k=5)
     assert rows(got) == brute([(i, x > 0) for i, x in made], 5)
     none = hamming.codes(spark.createDataFrame([], schema))
     assert hamming.nearest(none, none).collect() == []
 
 
+def test_neighbours_of_repeated_rows_and_few_codes(spark):
+    """Each id is several rows of several codes; 12-bit embeddings fill up to 16 bits; fewer rows than k are all found."""
+    rng = np.random.default_rng(5)
+    made = [(i % 70, rng.normal(size=12).round(1)) for i in range(200)] + [(200, np.ones(12))] * 15
+    for few in (made, made[:6]):
+        codes = hamming.codes(spark.createDataFrame([(i, [float(v) for v in x]) for i, x in few], "vec_id bigint, embedding array<double>"))
+        bits = [(i, np.append(x > 0, [False] * 4)) for i, x in few]
+        asked_code = {i: min((b.tolist() for j, b in bits if j == i)) for i, _ in few if i % 5 == 0}
+        want = []
+        for q, own in asked_code.items():
+            away = sorted((int((np.array(own) != b).sum()), i) for i, b in bits if i != q)[:7]
+            want += [(q, r + 1, i, d) for r, (d, i) in enumerate(away)]
+        got = hamming.nearest(codes, codes.where("id % 5 = 0"), k=7).collect()
+        assert sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in got) == sorted(want)
+
+
+def test_clustered_codes_end_their_search_early(spark):
+    """Of 20,000 codes in clusters, the rounds that are needed meet a small part."""
+    rng = np.random.default_rng(6)
+    centers = rng.integers(0, 2, (400, 64))
+    bits = centers[np.arange(20_000) % 400] ^ (rng.random((20_000, 64)) < 0.03)
+    codes = hamming.stage(spark.createDataFrame([(i, bytes(np.packbits(b))) for i, b in enumerate(bits)], "id bigint, code binary"))
+    got = hamming.nearest(codes, codes.where("id % 1000 = 0")).collect()
+    for q in range(0, 20_000, 1000):
+        away = sorted((int(d), i) for i, d in enumerate((bits != bits[q]).sum(axis=1)) if i != q)[:10]
+        assert sorted((r["rank"], r.distance, r.neighbor_id) for r in got if r.query_id == q) == [(r + 1, *x) for r, x in enumerate(away)]
+    cuts = hamming.segments(16, 20_000)
+    asked = codes.where("id % 1000 = 0").select(F.col("id").alias("query_id"), hamming._values(cuts).alias("own"), F.lit(None).cast("int").alias("far"))
+    values = codes.select(hamming._values(cuts).alias("other"), F.array(F.struct("id", F.lit(1).alias("n"))).alias("members"))
+    index = values.select(F.posexplode("other").alias("j", "value"), "other", "members")
+    reached = sum(hamming.met(hamming.probes(asked, [4 * d for _, d in cuts], r), index, r).count() for r in (0, 1))
+    assert reached < 0.1 * 20 * 20_000
+
+
 # Licences
 
 

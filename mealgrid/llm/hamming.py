@@ -9,8 +9,10 @@ meet it twice. Once all segments were probed to radius r, every code nearer
 than ``segments * (r + 1)`` is known: a query leaves when its k-th verified
 distance, over all codes, is below that, or all values have been probed.
 
-Only queries and their probes are generated in a round; the index is written
-once. Equal codes are one row with the least ids that can be of use, so a code
+Only queries and their probes are generated in a round, spread by query; the
+index is written once. It is broadcast while its bytes, counted, are few; else
+probes and index are merged by segment and value. Probes are never broadcast,
+since the planner cannot know how many there are. Equal codes are one row with the least ids that can be of use, so a code
 that a third of all rows share is met once. A segment value that many codes
 share is a hot key of an equality join with a written table, which is left to
 skew splitting; its pairs are verified as they are met, and the best k per
@@ -34,6 +36,8 @@ from mealgrid.session import stage
 K = 10
 # Hexadecimal digits of a segment at most; its value must fit an integer.
 DIGITS = 7
+# Bytes of the index up to which every task holds it.
+RESIDENT = 32 << 20
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -91,21 +95,26 @@ def met(asking: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     return each.select("query_id", F.col("member.id").alias("neighbor_id"), "distance", copies.alias("_copy")).drop("_copy")
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
+def nearest(vectors: DataFrame, asked: DataFrame, k: int = K, resident: int = RESIDENT) -> DataFrame:
     """The k nearest of all ``vectors`` for each of ``asked``; both from ``codes``."""
     classes = stage(_classes(vectors, k), "classes")
-    size = classes.agg(F.count("*").alias("n"), F.max(F.length("code")).alias("length")).first()
+    size = classes.agg(
+        F.count("*").alias("n"), F.max(F.length("code")).alias("length"), F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("members")
+    ).first()
     cuts = segments(2 * (size["length"] or 1), size["n"])
     widths = [4 * digits for _, digits in cuts]
     split = classes.select(_values(cuts).alias("other"), "members")
     index = stage(split.select(F.posexplode("other").alias("j", "value"), "other", "members"), "index")
+    held = len(cuts) * (size["n"] * (64 + 4 * len(cuts)) + size["members"] * 24)
+    index = F.broadcast(index) if held <= resident else index.hint("merge")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     queries = asked.groupBy(F.col("id").alias("query_id")).agg(F.min("code").alias("code"))
     queries = stage(queries.select("query_id", _values(cuts).alias("own")), "queries")
     active = queries.withColumn("far", F.lit(None).cast("int"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     found = None
     for radius in range(max(widths) + 1):
-        new = met(probes(active, widths, radius), index, radius)
+        new = met(probes(active.repartition(tasks, "query_id"), widths, radius), index, radius)
         rows = new if found is None else found.drop("rank").unionByName(new)
         found = stage(rows.withColumn("rank", place).where(F.col("rank") <= k), "found")
         kth = found.where(F.col("rank") == k).select("query_id", F.col("distance").alias("far"))

@@ -306,7 +306,8 @@ def test_neighbours_among_equal_codes_and_of_awkward_rows(spark):
     assert hamming.nearest(none, none).collect() == []
 
 
-def test_neighbours_of_repeated_rows_and_few_codes(spark):
+@pytest.mark.parametrize("resident", [0, hamming.RESIDENT])
+def test_neighbours_of_repeated_rows_and_few_codes(spark, resident):
     """Each id is several rows of several codes; 12-bit embeddings fill up to 16 bits; fewer rows than k are all found."""
     rng = np.random.default_rng(5)
     made = [(i % 70, rng.normal(size=12).round(1)) for i in range(200)] + [(200, np.ones(12))] * 15
@@ -318,7 +319,7 @@ def test_neighbours_of_repeated_rows_and_few_codes(spark):
         for q, own in asked_code.items():
             away = sorted((int((np.array(own) != b).sum()), i) for i, b in bits if i != q)[:7]
             want += [(q, r + 1, i, d) for r, (d, i) in enumerate(away)]
-        got = hamming.nearest(codes, codes.where("id % 5 = 0"), k=7).collect()
+        got = hamming.nearest(codes, codes.where("id % 5 = 0"), k=7, resident=resident).collect()
         assert sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in got) == sorted(want)
 
 

@@ -52,8 +52,11 @@ def codes(vectors: DataFrame) -> DataFrame:
 
 
 def segments(digits: int, count: int) -> list[tuple[int, int]]:
-    """Beginnings and lengths, in hexadecimal digits, of segments that tell about ``count`` codes apart."""
-    size = min(DIGITS, max(1, round(math.log2(max(count, 2)) / 4)))
+    """Beginnings and lengths, in hexadecimal digits, of segments with no more values than there are codes.
+
+    With more values than codes most probes would meet nothing.
+    """
+    size = min(DIGITS, max(1, int(math.log2(max(count, 2)) / 4)))
     m = -(-digits // size)
     ends = [digits * (j + 1) // m for j in range(m)]
     return [(start, end - start) for start, end in zip([0, *ends], ends)]

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from mealgrid.constants import WHITESPACE
 
-# A place where a letter follows something that is neither letter nor blank.
+# A place where a letter follows something that is neither letter nor blank;
+# places after plain letters and blanks are passed over first.
 WORD_START = (
-    r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt} ])(?=[\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
+    r"(?<![A-Za-z ])(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt} ])(?=[\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
 )
 MARK = "\x01 "
 

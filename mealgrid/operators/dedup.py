@@ -30,6 +30,9 @@ def listing_key(c: Column) -> Column:
 
 
 def first_wins_ignoring_case(df: DataFrame, order=("ord",), scope=()) -> DataFrame:
-    """Listings whose name and city agree but for case: the first one stays."""
-    keys = [*scope, listing_key(F.col("name")), listing_key(F.col("city"))]
+    """Listings whose name and city agree but for case: the first one stays.
+
+    Names lead, since they differ most: rows are then sorted by a few first bytes.
+    """
+    keys = [listing_key(F.col("name")), listing_key(F.col("city")), *scope]
     return first_wins(df, keys, order)

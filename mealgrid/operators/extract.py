@@ -7,6 +7,7 @@ from mealgrid.constants import MAX_PAGES_PER_CITY
 from mealgrid.functions.parse import float_text, locality, number_text, whole_number
 from mealgrid.functions.text import city_display, ws_trim
 from mealgrid.operators.dedup import first_wins_ignoring_case
+from mealgrid.operators.settled import settled
 from mealgrid.schemas import LISTING_BLOCK
 from mealgrid.session import stage
 
@@ -14,12 +15,15 @@ from mealgrid.session import stage
 LISTING_ORDER = ("page_no", "block_no", "item_no")
 
 # Comments and other scripts are matched as well, so that what they contain is
-# passed over; only the body of a JSON-LD script lands in the group.
-SCRIPT_BODIES = (
-    r"(?s)<!--.*?-->"
-    r"|<(?i:script)\b(?![^>]*\s(?i:type)\s*=\s*[\"']?application/ld\+json[\"'\s>])[^>]*>.*?</(?i:script)\s*>"
-    r"|<(?i:script)\b[^>]*>(.*?)</(?i:script)\s*>"
-)
+# passed over; only the body of a JSON-LD script lands in the group. Texts are
+# passed over in runs up to the next character that could end them, without
+# going back: each character is looked at once, and no repetition recurses.
+COMMENT = r"!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
+SCRIPT = r"(?i:script)\b"
+OTHER = r"(?![^>]*\s(?i:type)\s*=\s*[\"']?application/ld\+json[\"'\s>])"
+SCRIPT_END = r"</(?i:script)\s*>"
+SCRIPT_BODY = r"[^<]*+(?:<(?!/(?i:script)\s*>)[^<]*+)*+"
+SCRIPT_BODIES = rf"<(?:{COMMENT}|{SCRIPT}(?:{OTHER}[^>]*+>{SCRIPT_BODY}|[^>]*+>({SCRIPT_BODY})){SCRIPT_END})"
 
 
 def _or_blank(c: Column) -> Column:
@@ -30,15 +34,18 @@ def blocks(pages: DataFrame) -> DataFrame:
     """JSON-LD ``ItemList`` blocks, one row each; anything else is passed over.
 
     The text is parsed inside brackets and must come out as exactly one
-    object, so a block with trailing characters counts as malformed.
+    object, so a block with trailing characters counts as malformed. Each block
+    is parsed once, whatever looks at the result.
     """
     bodies = F.regexp_extract_all("html", F.lit(SCRIPT_BODIES), F.lit(1))
     parsed = F.from_json(F.concat(F.lit("["), F.col("body"), F.lit("]")), LISTING_BLOCK)
-    return (
+    scripts = (
         pages.where(F.contains(F.col("html"), F.lit("ld+json")))
         .select("city_slug", "page_no", F.posexplode(bodies).alias("block_no", "body"))
         .where(F.col("body") != "")
-        .select("city_slug", "page_no", "block_no", parsed.alias("parsed"))
+    )
+    return (
+        settled(scripts, parsed=parsed)
         .where((F.size("parsed") == 1) & (F.get("parsed", F.lit(0))["@type"] == "ItemList"))
         .select("city_slug", "page_no", "block_no", F.get("parsed", F.lit(0))["itemListElement"].alias("items"))
     )
@@ -52,34 +59,46 @@ def listing_rows(pages: DataFrame, base_url: str, strict_locality: bool = False)
     """
     item = F.col("entry.item")
     rated, reviewed = item["aggregateRating"]["ratingValue"], item["aggregateRating"]["reviewCount"]
-    rating = F.when(rated.isNull(), 0.0).otherwise(float_text(rated))
-    count = F.when(reviewed.isNull(), F.lit(0).cast("bigint")).otherwise(whole_number(number_text(reviewed)))
-    url = _or_blank(item["url"])
-    return (
-        blocks(pages)
-        .select("city_slug", "page_no", "block_no", F.posexplode("items").alias("item_no", "entry"))
+    items = (
+        settled(blocks(pages), city=city_display(F.col("city_slug")))
+        .select("city_slug", "city", "page_no", "block_no", F.posexplode("items").alias("item_no", "entry"))
         .where(item["@type"] == "Restaurant")
         .select(
             "city_slug",
+            "city",
             *LISTING_ORDER,
-            ws_trim(item["name"]).alias("name"),
-            city_display(F.col("city_slug")).alias("city"),
-            locality(url, strict_locality).alias("location"),
+            item["name"].alias("called"),
             ws_trim(_or_blank(item["address"]["streetAddress"])).alias("address"),
-            ws_trim(_or_blank(item["servesCuisine"])).alias("cuisines"),
-            rating.cast("string").alias("aggregate_rating"),
-            count.cast("string").alias("votes"),
+            _or_blank(item["servesCuisine"]).alias("served"),
+            _or_blank(item["url"]).alias("url"),
             _or_blank(item["image"]).alias("image_url"),
-            F.concat(F.lit(base_url), url).alias("listing_url"),
-            F.lit("0").alias("average_cost_for_two"),
-        )
-        .where(
-            (F.col("name") != "")
-            & F.col("aggregate_rating").isNotNull()
-            & F.col("votes").isNotNull()
-            & ~F.startswith(F.col("cuisines"), F.lit("["))
+            rated.alias("rated"),
+            reviewed.alias("reviewed"),
         )
     )
+    numbers = settled(
+        items,
+        name=ws_trim(F.col("called")),
+        cuisines=ws_trim(F.col("served")),
+        rating=float_text(F.col("rated")),
+        count=number_text(F.col("reviewed")),
+    ).where((F.col("name") != "") & ~F.startswith(F.col("cuisines"), F.lit("[")))
+    rating = F.when(F.col("rated").isNull(), 0.0).otherwise(F.col("rating"))
+    count = F.when(F.col("reviewed").isNull(), F.lit(0).cast("bigint")).otherwise(whole_number(F.col("count")))
+    return numbers.select(
+        "city_slug",
+        *LISTING_ORDER,
+        "name",
+        "city",
+        locality(F.col("url"), strict_locality).alias("location"),
+        "address",
+        "cuisines",
+        rating.cast("string").alias("aggregate_rating"),
+        count.cast("string").alias("votes"),
+        "image_url",
+        F.concat(F.lit(base_url), F.col("url")).alias("listing_url"),
+        F.lit("0").alias("average_cost_for_two"),
+    ).where(F.col("aggregate_rating").isNotNull() & F.col("votes").isNotNull())
 
 
 def _within(df: DataFrame, max_pages: int | None) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mealgrid.operators.settled import settled
+
 # The fields of a recommendation, their kind, and whether needed.
 FIELDS = (
     ("rank", "int", True),
@@ -73,16 +75,6 @@ def _acceptable(item: Column) -> Column:
     return out
 
 
-def _settled(df: DataFrame, **values: Column) -> DataFrame:
-    """Add columns that are worked out once, however often later steps use them.
-
-    A generator with one row: projections and filters above it are not merged
-    into it, so no copy of an expensive parse ends up in each of them.
-    """
-    row = F.struct(*[v.alias(n) for n, v in values.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def read_replies(responses: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """``recommendations``, ``summary`` and ``reason`` (null when accepted).
 
@@ -91,7 +83,7 @@ def read_replies(responses: DataFrame, aliases: dict[str, str] | None = None) ->
     the replies to ours, as for snapshots; our own names are read first.
     """
     others = {ours: theirs for theirs, ours in (aliases or {}).items()}
-    found = _settled(responses.select("request_id", "raw"), reply=parse_reply(F.col("raw")))
+    found = settled(responses.select("request_id", "raw"), reply=parse_reply(F.col("raw")))
     listed, said = F.col("reply.recommendations"), F.col("reply.summary")
     items = F.when(listed.isNull(), F.array().cast("array<variant>")).otherwise(
         F.try_variant_get(listed, "$", "array<variant>")
@@ -100,7 +92,7 @@ def read_replies(responses: DataFrame, aliases: dict[str, str] | None = None) ->
     summary = F.when(said.isNull(), "").otherwise(
         F.when(F.schema_of_variant(said) == "STRING", said.try_cast("string"))
     )
-    typed = _settled(
+    typed = settled(
         found.select("request_id", "raw", F.col("reply").isNotNull().alias("parsed"), fields.alias("fields"), summary.alias("summary")),
         items=F.transform("fields", _typed_item),
     )
@@ -111,7 +103,7 @@ def read_replies(responses: DataFrame, aliases: dict[str, str] | None = None) ->
         .when(F.col("summary").isNull(), "summary is no text")
     )
     plain = F.transform("items", lambda r: F.struct(*[r[n].alias(n) for n, _, _ in FIELDS]))
-    return _settled(typed, reason=reason, recommendations=plain).select(
+    return settled(typed, reason=reason, recommendations=plain).select(
         "request_id", "raw", "recommendations", "summary", "reason"
     )
 

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mealgrid.constants import (
@@ -49,6 +49,10 @@ def named_rows(raw: DataFrame) -> DataFrame:
     return raw.withColumn("name", ws_trim(F.col("name"))).where(F.col("name") != "")
 
 
+def _city() -> Column:
+    return title_case(ws_trim(F.coalesce("city", F.lit(""))))
+
+
 def typed_rows(
     raw: DataFrame, tiers=BUDGET_TIERS, unknown_tier=UNKNOWN_COST_TIER, rated_only: bool = False
 ) -> DataFrame:
@@ -64,7 +68,7 @@ def typed_rows(
     first = {
         "cuisines": F.lower(ws_trim(F.coalesce("cuisines", F.lit(UNKNOWN_CUISINE)))),
         "location": title_case(ws_trim(F.coalesce("location", F.lit(UNKNOWN_LOCATION)))),
-        "city": title_case(ws_trim(F.coalesce("city", F.lit("")))),
+        "city": _city(),
         "average_cost_for_two": parse_cost(F.col("average_cost_for_two"))
         if "average_cost_for_two" in have
         else F.lit(0.0),
@@ -100,14 +104,19 @@ def clean_catalogue(
 
     Unrated rows leave before the duplicates are looked for, so an unrated
     first copy does not hide a rated second one. ``order`` names the columns
-    that carry the input order; they stay in the result.
+    that carry the input order; they stay in the result. Whether a row has a
+    rating and what its key is are worked out for every row, all other
+    cleaning for the rows that stay.
     """
     require_columns(raw, (*REQUIRED_LISTING_COLUMNS, *order))
     named = _observed(named_rows(_observed(raw, metrics and metrics.received)), metrics and metrics.named)
-    rated = typed_rows(named, tiers, unknown_tier, rated_only=True)
-    rated = _observed(rated.select(*CLEAN_FIELDS, *order), metrics and metrics.rated)
-    kept = first_wins(rated, ["city_slug", "name", "city"], order)
-    return _observed(kept, metrics and metrics.kept)
+    if "aggregate_rating" in raw.columns:
+        named = named.where(rating_number(F.col("aggregate_rating")).isNotNull())
+    rated = _observed(named.withColumn("_city", _city()), metrics and metrics.rated)
+    scope = ["city_slug"] if "city_slug" in raw.columns else []
+    # Names lead, since they differ most; a slug made from the city adds nothing to it.
+    kept = first_wins(rated, ["name", "_city", *scope], order).drop("_city")
+    return _observed(typed_rows(kept, tiers, unknown_tier).select(*CLEAN_FIELDS, *order), metrics and metrics.kept)
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:

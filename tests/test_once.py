@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from mealgrid.functions.text import title_case
+from mealgrid.operators.clean import clean_catalogue
 from mealgrid.operators.extract import SCRIPT_BODIES, listing_rows
 
 BEHIND = r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt} ])(?=[\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
@@ -46,3 +47,14 @@ def test_words_start_as_by_looking_behind(spark):
     parts = ["a", "B", "é", "ß", "ǅ", "1", "'", "-", " ", "\x01", "$", "\\", "😀", "𝒜", "中", "Σ", "\t"]
     behind = F.replace(F.initcap(F.regexp_replace("c", BEHIND, "\x01 ")), F.lit("\x01 "), F.lit(""))
     assert texts(spark, parts, 9).where(~behind.eqNullSafe(title_case(F.col("c")))).isEmpty()
+
+
+def test_only_kept_rows_are_cleaned_in_full(spark):
+    raw = spark.createDataFrame(
+        [(1, "A", "GOA", "x", "thai", "n/a"), (2, " A", "goa ", "y", "THAI", "4"), (3, "A", "Goa", "z", "thai", "5"), (4, " ", "goa", "z", "thai", "5")],
+        "ord int, name string, city string, location string, cuisines string, aggregate_rating string",
+    )
+    catalogue = clean_catalogue(raw)
+    assert [(r.ord, r.city, r.location, r.cuisines) for r in catalogue.collect()] == [(2, "Goa", "Y", "thai")]
+    above, below = plan(catalogue).split("Window", 1)
+    assert "lower(" in above and "lower(" not in below

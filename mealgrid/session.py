@@ -76,6 +76,15 @@ def staging(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many tasks as a shuffle has.
+
+    For short rows that much work is done on: a table in one small file is one
+    task otherwise. The number is given, so that small tasks are not joined again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def stage(df: DataFrame, name: str = "stage", partition: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, with a folder for each value of ``partition``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mealgrid.functions.text import title_case
 from mealgrid.operators.clean import clean_catalogue
 from mealgrid.operators.extract import SCRIPT_BODIES, listing_rows
+from workload import views
 
 BEHIND = r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt} ])(?=[\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
 LAZY = (
@@ -58,3 +59,9 @@ def test_only_kept_rows_are_cleaned_in_full(spark):
     assert [(r.ord, r.city, r.location, r.cuisines) for r in catalogue.collect()] == [(2, "Goa", "Y", "thai")]
     above, below = plan(catalogue).split("Window", 1)
     assert "lower(" in above and "lower(" not in below
+
+
+def test_requests_and_replies_are_dealt_to_all_tasks(spark):
+    sf = "/root/testdata/sf0.001"
+    assert views.requests(spark, sf).rdd.getNumPartitions() > 1
+    assert views.replies(spark, sf).rdd.getNumPartitions() > 1

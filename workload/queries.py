@@ -303,29 +303,29 @@ def load_catalogue_json(spark, sf_dir):
     return got.select("city_slug", "name", "aggregate_rating", "votes")
 
 
-def raw_in_thirds(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """Raw listings, and conditions that deal them into three runs of the input order."""
+def raw_in_thirds(spark, sf_dir) -> tuple[DataFrame, list[str], int]:
+    """Raw listings, conditions that deal them into three runs of the input order, and their number."""
     raw = views.raw_listings(spark, sf_dir)
-    ends = raw.agg(F.min("ord").alias("a"), F.max("ord").alias("b")).first()
+    ends = raw.agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count(F.lit(1)).alias("n")).first()
     a, b = ends["a"] or 0, ends["b"] or 0
     low, high = a + (b - a) // 3, a + 2 * (b - a) // 3
-    return raw, [f"ord <= {low}", f"ord > {low} and ord <= {high}", f"ord > {high}"]
+    return raw, [f"ord <= {low}", f"ord > {low} and ord <= {high}", f"ord > {high}"], ends["n"]
 
 
 def kept_catalogue(spark, sf_dir):
-    """The listings come in three batches, each checked against what is kept."""
-    raw, thirds = raw_in_thirds(spark, sf_dir)
-    typed = clean.typed_rows(clean.named_rows(raw), rated_only=True).select(*CLEAN_FIELDS, *ORDER)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema)
-    kept = KeptTable(spark, store(spark), fields, ("city_slug", "name", "city"), blocks=-(-raw.count() // 2000) or 1)
-    for third in thirds:
-        kept.add(typed.where(third), ORDER)
+    """The listings come in three batches, each cleaned and then checked against what is kept."""
+    raw, thirds, rows = raw_in_thirds(spark, sf_dir)
+    batches = [clean.clean_catalogue(raw.where(third), ORDER) for third in thirds]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batches[0].schema)
+    kept = KeptTable(spark, store(spark), fields, ("city_slug", "name", "city"), blocks=-(-rows // 2000) or 1)
+    for batch in batches:
+        kept.add(batch, ORDER)
     return kept.rows().select(*CLEAN_FIELDS, *ORDER)
 
 
 def catalogue_change(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The catalogue of the later two thirds of the listings and of all of them, and the rows that leave and come."""
-    raw, thirds = raw_in_thirds(spark, sf_dir)
+    raw, thirds, _ = raw_in_thirds(spark, sf_dir)
     old = stage(clean.clean_catalogue(raw.where(f"not ({thirds[0]})"), ORDER), "old")
     new = stage(clean.clean_catalogue(raw, ORDER), "new")
     return old, new, stage(old.exceptAll(new), "leaving"), stage(new.exceptAll(old), "coming")

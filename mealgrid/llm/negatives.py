@@ -15,7 +15,9 @@ centre c, their scores with an anchor a lie in a.c +- |a| r.
    the open nodes with the highest bounds are opened, leaves are verified
    exactly, and nodes whose bounds lie outside all of the anchor's windows, or
    below the worst score that a window still admits, are skipped. All anchors
-   of a block take a step together.
+   of a block take a step together: those that open the same leaf are scored
+   against it in one matrix product. An anchor opens twice as many nodes in
+   each step as in the one before.
 3. The best of all shards are the answer. First every anchor looks for its
    positives, the window being open; their scores give the windows in which it
    then looks for its negatives, all windows in one descent.
@@ -42,12 +44,12 @@ EVERY = 50
 POSITIVES = 5
 NEGATIVES = 3
 LOW, HIGH = 50, 95
-# Candidates of a shard, anchors of a block, candidates of a leaf, ratio of radii, pairs verified at once.
+# Candidates of a shard, anchors of a block, candidates of a leaf, ratio of radii, nodes that an anchor opens first.
 SHARD = 4096
 BLOCK = 512
 LEAF = 32
 SCALE = 1.3
-PAIRS = 4096
+OPENED = 8
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -75,11 +77,11 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row inner products, exact: as doubles while all partial sums fit, else as Python integers."""
+    """Inner products of all rows of ``a`` with all of ``b``, exact: as doubles while all partial sums fit, else as Python integers."""
     if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[-1] >= 2.0**53:
         whole = np.frompyfunc(int, 1, 1)
-        return np.einsum("ij,ikj->ik", whole(a), whole(b)) if b.ndim == 3 else whole(a) @ whole(b).T
-    return np.einsum("ij,ikj->ik", a, b) if b.ndim == 3 else a @ b.T
+        return whole(a) @ whole(b).T
+    return a @ b.T
 
 
 class CoverTree:
@@ -175,7 +177,7 @@ class CoverTree:
         kept = [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64")]
         worst = np.where(low <= high, low, np.inf)
         length = np.sqrt((asked**2).sum(axis=1))
-        verified = 0
+        verified, width = 0, OPENED
         anchor = np.arange(n if len(self.radii) else 0)
         node = np.zeros(len(anchor), "int64")
 
@@ -196,14 +198,14 @@ class CoverTree:
             anchor, node, least, most = anchor[order], node[order], least[order], most[order]
             first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             place = np.arange(len(anchor)) - np.maximum.accumulate(np.where(first, np.arange(len(anchor)), 0))
-            best = place < 8
+            best = place < width
+            width *= 2
             opened, into = anchor[best], node[best]
             anchor, node, least, most = anchor[~best], node[~best], least[~best], most[~best]
             ends = self.leaf[into]
-            for i in range(0, int(ends.sum()), PAIRS):
-                a, v = opened[ends][i : i + PAIRS], into[ends][i : i + PAIRS]
-                verified += self._verify(a, v, own, label, asked, high, worst, kept, same)
-            kept, worst = self._cut(kept, worst, windows, k)
+            found, some = self._verify(opened[ends], into[ends], own, label, asked, high, worst, same)
+            verified += some
+            kept, worst = self._cut([np.concatenate(x) for x in zip(kept, *found)], worst, windows, k)
             a, v = opened[~ends], into[~ends]
             sizes = self.last[v] - self.first[v]
             a = np.repeat(a, sizes)
@@ -213,25 +215,28 @@ class CoverTree:
             least, most = np.concatenate([least, low_of]), np.concatenate([most, high_of])
         return kept[0] // windows, kept[0] % windows, kept[1], kept[2], verified
 
-    def _verify(self, a, v, own, label, asked, high, worst, kept, same) -> int:
-        sizes = self.last[v] - self.first[v]
-        # Leaves of equal points may be longer than others; they are cut into pieces of one length.
-        pieces = -(-sizes // LEAF)
-        a, v = np.repeat(a, pieces), np.repeat(v, pieces)
-        step = np.arange(len(v)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        rows = self.first[v][:, None] + step[:, None] * LEAF + np.arange(LEAF)
-        there = rows < self.last[v][:, None]
-        rows = np.where(there, rows, 0)
-        found = scores(asked[a], self.points[rows])
-        alike = self.labels[rows] == label[a][:, None]
-        there &= (alike if same else ~alike) & (self.ids[rows] != own[a][:, None])
-        for w in range(worst.shape[1]):
-            hit = there & (found >= worst[a, w][:, None]) & (found <= high[a, w][:, None])
-            i, j = np.nonzero(hit)
-            if len(i):
-                for x, new in enumerate((a[i] * worst.shape[1] + w, self.ids[rows[i, j]], found[i, j].astype("int64"))):
-                    kept[x] = np.concatenate([kept[x], new])
-        return int(sizes.sum())
+    def _verify(self, a, v, own, label, asked, high, worst, same) -> tuple[list, int]:
+        """(slot, id, score) of what each leaf has for the windows of the anchors that open it, and the pairs scored."""
+        order = np.argsort(v, kind="stable")
+        a, v = a[order], v[order]
+        leaves, begin = np.unique(v, return_index=True)
+        windows, found, pairs = worst.shape[1], [], 0
+        least, most = worst.min(axis=1), high.max(axis=1)
+        for leaf, who in zip(leaves.tolist(), np.split(a, begin[1:])):
+            # Leaves of equal points may be longer than others; they are scored in pieces.
+            for s in range(int(self.first[leaf]), int(self.last[leaf]), BLOCK):
+                run = slice(s, min(s + BLOCK, int(self.last[leaf])))
+                score, ids = scores(asked[who], self.points[run]), self.ids[run]
+                alike = self.labels[run] == label[who][:, None]
+                there = (alike if same else ~alike) & (ids != own[who][:, None])
+                # First by all windows of an anchor together, then what is left by each.
+                i, j = np.nonzero(there & (score >= least[who][:, None]) & (score <= most[who][:, None]))
+                if len(i):
+                    of, s_ij = who[i], score[i, j]
+                    x, w = np.nonzero((s_ij[:, None] >= worst[of]) & (s_ij[:, None] <= high[of]))
+                    found.append((of[x] * windows + w, ids[j[x]], s_ij[x].astype("int64")))
+                pairs += score.size
+        return found, pairs
 
     @staticmethod
     def _cut(kept: list, worst: np.ndarray, windows: int, k: int) -> tuple[list, np.ndarray]:

@@ -92,3 +92,23 @@ def test_tree_covers_and_prunes():
         want = [j for j in np.lexsort((np.arange(4000), -every)) if j != i][:5]
         assert sorted(zip((-score[a == i]).tolist(), ids[a == i].tolist())) == [(-int(every[j]), j) for j in want]
     assert verified < 0.2 * 20 * 4000
+
+
+def test_a_leaf_meets_its_anchors_in_one_product(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = np.floor(256 * rng.normal(size=(600, 16)))
+    tree = CoverTree.of(np.arange(600), rng.integers(0, 3, 600), points)
+    calls, plain = [], negatives.scores
+    monkeypatch.setattr(negatives, "scores", lambda a, b: calls.append((a.shape, b.shape)) or plain(a, b))
+    low, high = np.full((100, 2), [-np.inf, 0.0]), np.full((100, 2), [np.inf, 1e6])
+    own, label = np.arange(100), tree.labels[np.argsort(tree.ids)][:100]
+    a, w, ids, score, verified = tree.search(own, label, points[:100], low, high, 5, False)
+    # Points are never copied for each anchor that looks at them, and few steps are taken.
+    assert all(len(b) == 2 for _, b in calls) and len(calls) <= 6 * int(tree.leaf.sum())
+    assert verified == sum(a[0] * b[0] for a, b in calls)
+    all_labels, want = tree.labels[np.argsort(tree.ids)], []
+    for i in range(100):
+        ranked = sorted((-int(points[i] @ points[j]), j) for j in range(600) if all_labels[j] != all_labels[i])
+        for window, least in enumerate((-np.inf, 0.0)):
+            want += [(i, window, j, -s) for s, j in [r for r in ranked if least <= -r[0] <= (np.inf, 1e6)[window]][:5]]
+    assert sorted(zip(a.tolist(), w.tolist(), ids.tolist(), score.tolist())) == sorted(want)

@@ -7,7 +7,8 @@ objects end before it depend on everything in front of it:
 
 1. Each part is summed up for both cases, beginning inside a string or outside:
    the state and depth it ends with, and how many ``}`` outside of strings
-   leave it at which depth. One small row per part.
+   leave it at which depth. One small row per part and case; the first part of
+   a file begins outside.
 2. The parts of a file are put together in order, which tells each its
    beginning.
 3. Each part is read again and cut into objects. The piece before its first end
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,12 @@ from pyspark.sql import functions as F
 
 from mealgrid.session import stage
 
-STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+# An escape with what it escapes; a brace ends a fragment even so.
+ESCAPE = re.compile(rb"\\[^}]")
+# Change of depth by brackets; a quote is marked.
+QUOTE = 2
+KINDS = np.zeros(256, "int8")
+KINDS[list(b"{[")], KINDS[list(b"}]")], KINDS[ord('"')] = 1, -1, QUOTE
 SPACE = r"[\x20\t\r\n]*"
 FIRST = re.compile(rf"{SPACE}\[{SPACE}(?=\{{)")
 NEXT = re.compile(rf"{SPACE},{SPACE}(?=\{{)")
@@ -52,12 +59,22 @@ def fragments(spark: SparkSession, path: str, glob: str) -> DataFrame:
         return spark.createDataFrame([], f"value string, part bigint, {FILE}")
 
 
-def after(text: str, inside: bool) -> tuple[bool, int, int]:
-    """Whether the text ends inside a string, its change of depth, and where its last string begins if that is open."""
-    bare = STRING.sub("", '"' + text if inside else text)
-    cut = bare.find('"')
-    outer = bare if cut < 0 else bare[:cut]
-    return cut >= 0, outer.count("{") + outer.count("[") - outer.count("]"), cut
+def walked(texts: list[str], inside: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments with a brace behind each, and of these braces their places, which lie inside a string, and the depth after each.
+
+    Depths count from 0. Escapes are taken as they are inside of strings: an
+    array with one outside is broken in any case.
+    """
+    blob = ("}".join(texts) + "}").encode()
+    plain = np.frombuffer(ESCAPE.sub(b"  ", blob) if b"\\" in blob else blob, "uint8")
+    kinds = KINDS[plain]
+    at = np.flatnonzero(kinds)
+    kinds = kinds[at]
+    quote = kinds == QUOTE
+    within = (np.cumsum(quote) + inside) % 2 == 1
+    depth = np.cumsum(np.where(within | quote, 0, kinds))
+    end = plain[at] == ord("}")
+    return blob, at[end], within[end], depth[end]
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], pd.DataFrame]]:
@@ -72,7 +89,7 @@ SUMMED = "file_path string, part bigint, file_name string, file_size bigint, siz
 
 
 def summed(pieces: DataFrame) -> DataFrame:
-    """Both cases of each part, with its size if every fragment ends with a brace."""
+    """The cases of each part, with its size if every fragment ends with a brace."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple[str, int], list] = {}
@@ -81,14 +98,12 @@ def summed(pieces: DataFrame) -> DataFrame:
             texts = part["value"].tolist()
             file = files.setdefault(key, [part["file_name"].iloc[0], int(part["file_size"].iloc[0]), 0])
             file[2] += int(part["size"].sum())
-            cases = states.setdefault(key, [[inside, inside, 0, Counter()] for inside in (False, True)])
-            for text in texts:
-                for case in cases:
-                    case[1], change, _ = after(text, case[1])
-                    case[2] += change
-                    if not case[1]:
-                        case[2] -= 1
-                        case[3][case[2]] += 1
+            cases = states.setdefault(key, [[inside, inside, 0, Counter()] for inside in ((False, True) if key[1] else (False,))])
+            for case in cases:
+                _, _, within, depth = walked(texts, case[1])
+                depths, counts = np.unique(case[2] + depth[~within], return_counts=True)
+                case[3].update(dict(zip(depths.tolist(), counts.tolist())))
+                case[1], case[2] = bool(within[-1]), case[2] + int(depth[-1])
         rows = [(*key, *files[key], *case[:3], list(case[3]), list(case[3].values())) for key, cases in states.items() for case in cases]
         yield pd.DataFrame(rows, columns=["file_path", "part", "file_name", "file_size", "size", "begins_inside", "ends_inside", "change", "depths", "counts"])
 
@@ -96,28 +111,37 @@ def summed(pieces: DataFrame) -> DataFrame:
     return pieces.select("value", "part", "file_path", "file_name", "file_size", size).mapInPandas(run, SUMMED)
 
 
-BEGUN = "file_path string, file_name string, open boolean, part bigint, inside boolean, depth bigint, objects bigint"
-
-
 def beginnings(sums: DataFrame) -> DataFrame:
     """How each part begins: inside a string or not, its depth, the objects that ended before it.
 
     ``open`` files do not end with a brace: one byte less than their fragments with a brace each.
     """
+    case = F.struct("ends_inside", "change", "depths", "counts")
+    parts = sums.groupBy("file_path", "file_name", "file_size", "part").agg(
+        F.first(F.when(~F.col("begins_inside"), F.col("size")), ignorenulls=True).alias("size"),
+        F.first(F.when(~F.col("begins_inside"), case), ignorenulls=True).alias("outside"),
+        F.first(F.when(F.col("begins_inside"), case), ignorenulls=True).alias("within"),
+    )
+    files = parts.groupBy("file_path", "file_name", "file_size").agg(
+        F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("part", "outside", "within"))).alias("parts")
+    )
+    none = F.array().cast("array<struct<part:bigint,inside:boolean,depth:bigint,objects:bigint>>")
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("objects"), none.alias("begun"))
+
+    def step(state, x):
+        one = F.when(state["inside"], x["within"]).otherwise(x["outside"])
+        ended = F.zip_with(one["depths"], one["counts"], lambda d, n: F.when(state["depth"] + d == 1, n).otherwise(F.lit(0).cast("bigint")))
+        begun = F.struct(x["part"].alias("part"), state["inside"].alias("inside"), state["depth"].alias("depth"), state["objects"].alias("objects"))
+        return F.struct(
+            one["ends_inside"].alias("inside"),
+            (state["depth"] + one["change"]).alias("depth"),
+            F.aggregate(ended, state["objects"], lambda n, m: n + m).alias("objects"),
+            F.concat(state["begun"], F.array(begun)).alias("begun"),
+        )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside, depth, objects, out = False, 0, 0, []
-        one = pdf[~pdf["begins_inside"]]
-        file = pdf["file_path"].iloc[0], pdf["file_name"].iloc[0]
-        left = int(one["file_size"].iloc[0]) - int(one["size"].sum())
-        for part, cases in pdf.groupby("part"):
-            out.append((*file, left == -1, part, inside, depth, objects))
-            case = cases[cases["begins_inside"] == inside].iloc[0]
-            objects += sum(int(n) for d, n in zip(case["depths"], case["counts"]) if depth + d == 1)
-            inside, depth = bool(case["ends_inside"]), depth + int(case["change"])
-        return pd.DataFrame(out, columns=["file_path", "file_name", "open", "part", "inside", "depth", "objects"])
-
-    return sums.groupBy("file_path").applyInPandas(run, BEGUN)
+    begun = F.aggregate("parts", start, step, lambda state: state["begun"])
+    is_open = (F.col("file_size") - F.col("size") == -1).alias("open")
+    return files.select("file_path", "file_name", is_open, F.inline(begun))
 
 
 CUT = "file_path string, item_no bigint, part bigint, seq int, text string, whole boolean, ended boolean"
@@ -140,15 +164,17 @@ def cut(pieces: DataFrame, begun: dict[tuple[str, int], tuple[bool, int, int]])
                 handed()
                 key, seq, first = now, 0, True
                 inside, depth, item = begun[key]
-            for text in part["value"]:
-                inside, change, _ = after(text, inside)
-                depth += change - (not inside)
-                held.append(text + "}")
-                if not inside and depth == 1:
-                    # The first object of a part may have begun in an earlier one.
-                    rows.append((key[0], item, key[1], seq, "".join(held), not first, True))
-                    held.clear()
-                    item, seq, first = item + 1, seq + 1, False
+            blob, ends, within, depths = walked(part["value"].tolist(), inside)
+            start = 0
+            for end in ends[~within & (depth + depths == 1)].tolist():
+                held.append(blob[start : end + 1].decode())
+                # The first object of a part may have begun in an earlier one.
+                rows.append((key[0], item, key[1], seq, "".join(held), not first, True))
+                held.clear()
+                start, item, seq, first = end + 1, item + 1, seq + 1, False
+            if start < len(blob):
+                held.append(blob[start:].decode())
+            inside, depth = bool(within[-1]), depth + int(depths[-1])
             if len(rows) > 1000:
                 yield pd.DataFrame(rows, columns=["file_path", "item_no", "part", "seq", "text", "whole", "ended"])
                 rows.clear()

@@ -91,3 +91,43 @@ def test_one_array_is_many_tasks(spark, tmp_path):
         assert len(read(spark, tmp_path)["big"]) == 1000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_files_are_no_python_groups(spark, tmp_path):
+    """Files are put in order by expressions, and the first part of a file has one case."""
+    from mealgrid.sources.json_parts import beginnings, fragments, summed
+
+    for k in range(30):
+        write(tmp_path, f"f{k}", json.dumps(TRICKY[: k % 6]))
+    sums = summed(fragments(spark, str(tmp_path), "*.json"))
+    assert [r["begins_inside"] for r in sums.collect()] == [False] * 30
+    begun = beginnings(sums)
+    assert "FlatMapGroups" not in begun._jdf.queryExecution().toString()
+    rows = begun.collect()
+    assert len(rows) == 30 and all(r["open"] and (r["part"], r["inside"], r["depth"], r["objects"]) == (0, False, 0, 0) for r in rows)
+
+
+def test_fragments_are_walked_in_one_go():
+    import random
+    import re
+
+    from mealgrid.sources.json_parts import walked
+
+    string, rng = re.compile(r'"(?:[^"\\]|\\.)*"', re.S), random.Random(4)
+    for _ in range(300):
+        items = [{rng.choice(['a}', 'é"', "\\", '\\"{']): rng.choice(["}", "[", [1, "]"], {"b": "日}"}, '"'])} for _ in range(rng.randint(1, 6))]
+        text = json.dumps(items, ensure_ascii=rng.random() < 0.5)
+        begin = rng.choice([k for k, c in enumerate("}" + text) if c == "}"])
+        inside = string.sub("", text[:begin]).count('"') == 1
+        texts = text[begin:].split("}")
+        state, deep, want = inside, 0, []
+        for t in texts:
+            bare = string.sub("", '"' + t if state else t)
+            quote = bare.find('"')
+            outer = bare if quote < 0 else bare[:quote]
+            state = quote >= 0
+            deep += outer.count("{") + outer.count("[") - outer.count("]") - (not state)
+            want.append((state, deep))
+        blob, ends, within, depth = walked(texts, inside)
+        assert list(zip(within.tolist(), depth.tolist())) == want
+        assert blob.decode() == text[begin:] + "}" and [blob[e] for e in ends] == [ord("}")] * len(texts)

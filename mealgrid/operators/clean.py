@@ -108,6 +108,29 @@ def clean_catalogue(
     rating and what its key is are worked out for every row, all other
     cleaning for the rows that stay.
     """
+    rated, keys = _rated_rows(raw, order, metrics)
+    kept = first_wins(rated, keys, order).drop("_city")
+    return _observed(typed_rows(kept, tiers, unknown_tier).select(*CLEAN_FIELDS, *order), metrics and metrics.kept)
+
+
+def clean_part_and_whole(
+    raw: DataFrame, part: Column, order=("ord",), tiers=BUDGET_TIERS, unknown_tier=UNKNOWN_COST_TIER
+) -> tuple[DataFrame, DataFrame]:
+    """``clean_catalogue`` of the rows for which ``part`` holds, and of all rows, in one pass over ``raw``.
+
+    The first rows of a key inside and outside of the part are cleaned once;
+    the first of these two is the whole's. Both tables are written as one.
+    """
+    rated, keys = _rated_rows(raw.withColumn("_part", F.coalesce(part, F.lit(False))), order)
+    kept = first_wins(rated, [*keys, "_part"], order)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    kept = kept.withColumn("_whole", first).drop("_city")
+    both = stage(typed_rows(kept, tiers, unknown_tier).select(*CLEAN_FIELDS, *order, "_part", "_whole"), "catalogues")
+    return tuple(both.where(c).drop("_part", "_whole") for c in ("_part", "_whole"))
+
+
+def _rated_rows(raw: DataFrame, order, metrics: CleanMetrics | None = None) -> tuple[DataFrame, list[str]]:
+    """Named rows with a rating and ``_city``, and the columns that tell duplicates."""
     require_columns(raw, (*REQUIRED_LISTING_COLUMNS, *order))
     named = _observed(named_rows(_observed(raw, metrics and metrics.received)), metrics and metrics.named)
     if "aggregate_rating" in raw.columns:
@@ -115,8 +138,7 @@ def clean_catalogue(
     rated = _observed(named.withColumn("_city", _city()), metrics and metrics.rated)
     scope = ["city_slug"] if "city_slug" in raw.columns else []
     # Names lead, since they differ most; a slug made from the city adds nothing to it.
-    kept = first_wins(rated, ["name", "_city", *scope], order).drop("_city")
-    return _observed(typed_rows(kept, tiers, unknown_tier).select(*CLEAN_FIELDS, *order), metrics and metrics.kept)
+    return rated, ["name", "_city", *scope]
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:

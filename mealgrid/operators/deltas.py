@@ -49,6 +49,20 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("city_slug", "kind", "value").agg(F.sum("n").alias("n"), F.sum("rating_sum").cast(SUM).alias("rating_sum"))
 
 
+def row_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that leave and those that come, as ``old.exceptAll(new)`` and ``new.exceptAll(old)`` have them.
+
+    Both tables are grouped once, for both directions; only changed rows are
+    written. Equal rows count as often as they occur.
+    """
+    signed = old.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1)))
+    changed = signed.groupBy(*old.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    changed = stage(changed, "changed")
+    many = lambda n: F.explode(F.array_repeat(F.lit(0), n.cast("int")))
+    side = lambda test, n: changed.where(test).withColumn("_copy", many(n)).select(*old.columns)
+    return side("_n < 0", -F.col("_n")), side("_n > 0", F.col("_n"))
+
+
 @dataclass
 class FacetStore:
     """Reference counts below ``path``, a folder per city."""

@@ -120,3 +120,36 @@ def test_a_change_that_the_reserve_covers_reads_no_catalogue(spark, tmp_path):
     assert cells.apply(catalogue.limit(0), catalogue.limit(0), None) == 0
     one = catalogue.where("name = 'Spice Hut'").limit(1)
     assert cells.apply(one, one.withColumn("aggregate_rating", F.lit(0.5)), None) == 0
+
+
+def test_part_and_whole_are_cleaned_in_one_pass(spark):
+    from mealgrid.operators.clean import clean_catalogue, clean_part_and_whole
+    from mealgrid.operators.deltas import row_changes
+
+    names = ["Anvil", " anvil", "Bolt\t", "Bolt", None, " ", "Cog"]
+    items = [
+        (None if k == 11 else k, names[k % 7], ["Delhi", "delhi ncr", None][k % 3], "here", "thai", ["4.1", "NEW", "3/5", "0"][k % 4], "7", "300")
+        for k in range(60)
+    ]
+    items += items[20:25]
+    raw = spark.createDataFrame(
+        items, "ord int, name string, city string, location string, cuisines string, aggregate_rating string, votes string, average_cost_for_two string"
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    old, new = clean_part_and_whole(raw.mapInPandas(passed, raw.schema), F.expr("not (ord <= 19)"))
+    assert seen.value == len(items)
+    bag = lambda df: sorted(map(repr, df.collect()))
+    want_old, want_new = clean_catalogue(raw.where("not (ord <= 19)")), clean_catalogue(raw)
+    assert bag(old) == bag(want_old) != [] and bag(new) == bag(want_new) != bag(old)
+    leaving, coming = row_changes(old, new)
+    assert bag(leaving) == bag(old.exceptAll(new)) != [] and bag(coming) == bag(new.exceptAll(old)) != []
+    # Equal rows count as often as they occur.
+    twice, once = spark.createDataFrame([(1, None)] * 3 + [(2, "b")], "a int, b string"), spark.createDataFrame([(1, None), (3, "c")], "a int, b string")
+    leaving, coming = row_changes(twice, once)
+    assert bag(leaving) == bag(twice.exceptAll(once)) and bag(coming) == bag(once.exceptAll(twice))

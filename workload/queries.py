@@ -11,7 +11,7 @@ from mealgrid.functions.text import slug_id
 from mealgrid.operators import clean, extensions, extract, facets, prompts, responses
 from mealgrid.operators.cards import result_cards
 from mealgrid.operators.dedup import first_wins, first_wins_ignoring_case
-from mealgrid.operators.deltas import FacetStore
+from mealgrid.operators.deltas import FacetStore, row_changes
 from mealgrid.operators.kept import KeptTable
 from mealgrid.operators.requests import (
     rejected_requests,
@@ -326,9 +326,8 @@ def kept_catalogue(spark, sf_dir):
 def catalogue_change(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The catalogue of the later two thirds of the listings and of all of them, and the rows that leave and come."""
     raw, thirds, _ = raw_in_thirds(spark, sf_dir)
-    old = stage(clean.clean_catalogue(raw.where(f"not ({thirds[0]})"), ORDER), "old")
-    new = stage(clean.clean_catalogue(raw, ORDER), "new")
-    return old, new, stage(old.exceptAll(new), "leaving"), stage(new.exceptAll(old), "coming")
+    old, new = clean.clean_part_and_whole(raw, F.expr(f"not ({thirds[0]})"), ORDER)
+    return old, new, *row_changes(old, new)
 
 
 def facet_deltas(spark, sf_dir):

@@ -124,14 +124,19 @@ def recommendation_rows(replies: DataFrame) -> DataFrame:
 
 
 def respond(answers: DataFrame, replies: DataFrame) -> DataFrame:
-    """Full response: the request, its recommendations, match count, summary."""
+    """Full response: the request, its recommendations, match count, summary.
+
+    Replies are as many as requests, but the planner takes a parsed reply for
+    a small part of what it is (steps of ``settled`` do not add to its size),
+    and would send all of them through the driver; so the join is by merge.
+    """
     query = F.struct(
         "city", "location", "budget", "cuisine", "min_rating", "additional_preferences"
     )
     return (
         answers.where(F.col("status") == "ok")
         .select("request_id", query.alias("query"), "total_matches")
-        .join(replies, "request_id")
+        .join(replies.hint("merge"), "request_id")
         .select(
             "request_id", "query", "recommendations", "total_matches", F.col("summary").alias("ai_summary")
         )

@@ -88,6 +88,17 @@ def test_respond_and_guard(spark):
     assert [(r["restaurant_name"], r["rating"], r["estimated_cost"]) for r in kept] == [("B", 4.0, "Price N/A"), ("A", 4.5, "₹500 for two")]
 
 
+def test_replies_are_never_broadcast(spark):
+    """60,000 parsed replies hold some 25 MB, which the planner takes for less than its threshold of 10 MB."""
+    raw = F.concat(F.lit(reply(GOOD)[:-1] + ', "more": "'), F.repeat(F.lit("x"), 50), F.lit('"}'))
+    replies = accepted_replies(spark.range(60000).repartition(4).select(F.col("id").alias("request_id"), raw.alias("raw")))
+    asked = answers(spark).limit(1).crossJoin(spark.range(60000).hint("broadcast")).drop("request_id").withColumnRenamed("id", "request_id")
+    got = respond(asked, replies)
+    assert got.count() == 60000 and {r["n"] for r in got.select(F.size("recommendations").alias("n")).distinct().collect()} == {1}
+    text = respond(asked, replies)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
 def test_cards(spark):
     rows = [("The L'oro & Bar", 4.5, "http://i", None), ("--", 4.4, "ftp://i", "https://u"), ("X", 5.0, None, ""), ("Y", 0.0, "", "")]
     got = result_cards(spark.createDataFrame(rows, "restaurant_name string, rating double, image_url string, listing_url string")).collect()

@@ -38,6 +38,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,9 @@ BLOCK = 12 << 20
 BUCKET = 5 << 20
 # Bytes a task gathers before it hands on, windows looked at together.
 FLUSH = 12 << 20
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 # Occurrences from which an anchor's windows are dealt one by one.
-HOT = 4096
+HOT = 16384
 # Every difference modulo PERIOD is one of two members of COVER.
 PERIOD = 32
 COVER = (1, 2, 3, 4, 8, 12, 20)
@@ -63,6 +64,7 @@ SMALL = 512
 
 _LOW40 = np.uint64((1 << 40) - 1)
 _POSITION = np.uint64((1 << 31) - 1)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,6 +84,15 @@ def _rows(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, width)[starts]
 
 
+def _numbers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Up to eight bytes from each start on, as numbers in the order of the bytes, with zeros for those left out."""
+    out = np.ndarray((len(data) - 7,), ">u8", data.data, strides=(1,))[starts].astype("uint64")
+    if sizes is not None:
+        cut = np.minimum((8 - sizes) * 8, 63).astype("uint64")
+        out = np.where(sizes > 0, out >> cut << cut, np.uint64(0))
+    return out
+
+
 def _string_hashes(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of strings; ``rows`` hold zeros behind their ends."""
     h = _mixed(lengths.astype("uint64"))
@@ -108,7 +119,8 @@ class Texts:
             part = self.data[begin : begin + windows + WINDOW + 7]
             eight = _eights(part)
             grams = windows + width - 1
-            h = _mixed(_mixed(eight[:grams]) ^ eight[ANCHOR - 8 : ANCHOR - 8 + grams])
+            # Other anchors with the same hash cost work, not results.
+            h = _mixed(eight[:grams] * _ODD + eight[ANCHOR - 8 : ANCHOR - 8 + grams])
             # The hash in front of the position: the leftmost of equal anchors owns a window.
             least = (h & ~_POSITION) | np.arange(grams, dtype="uint64")
             span = 1
@@ -136,12 +148,13 @@ def _keys(anchors: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     """Columns of one length; what is left is the last."""
-    raw = zlib.decompress(data)
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     n = int.from_bytes(raw[:8], "little")
     at, out = 8, []
     for kind in kinds:
@@ -165,6 +178,45 @@ def _spread(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _by_group(order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``order`` by the running numbers ``group``, as it was within a group; 16 bits at a time are sorted by counting."""
+    top = int(group.max(initial=0))
+    for shift in range(0, max(1, top.bit_length()), 16):
+        order = order[np.argsort((group[order] >> shift & 0xFFFF).astype("uint16"), kind="stable")]
+    return order
+
+
+def _ordered(columns: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by several columns of numbers, and the running number of each different row in that order.
+
+    Only rows that are alike in all columns before are looked at in the next one.
+    """
+    order = group = None
+    for column in columns:
+        if order is None:
+            order = np.argsort(column)
+            value = column[order]
+            group = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])[: len(value)])
+            continue
+        same = group[1:] == group[:-1]
+        tied = np.zeros(len(order), bool)
+        tied[1:] |= same
+        tied[:-1] |= same
+        tied = np.flatnonzero(tied)
+        if not len(tied):
+            continue
+        mine, value = order[tied], column[order[tied]]
+        head = np.concatenate([[0], group[tied][1:] != group[tied][:-1]])
+        by = _by_group(np.argsort(value), np.cumsum(head))
+        value = value[by]
+        order[tied] = mine[by]
+        # Where a new row begins, among all.
+        new = np.concatenate([[0], group[1:] != group[:-1]])
+        new[tied[1:]] |= value[1:] != value[:-1]
+        group = np.cumsum(new)
+    return order, group
+
+
 # Blocks of documents
 
 
@@ -199,11 +251,13 @@ def pieces(docs: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for flushed in _blocked(batches, blocks):
+            out = []
             for block, rows in flushed.items():
                 ids, counts, texts = zip(*rows)
                 sizes = np.array([len(t) for t in texts], "int64")
                 packed = _pack(_count(len(ids)), np.array(ids, "int64"), np.array(counts, "int64"), sizes, np.frombuffer(b"".join(texts), "uint8"))
-                yield pd.DataFrame({"block": [block], "packed": [packed]})
+                out.append((block, packed))
+            yield pd.DataFrame(out, columns=["block", "packed"])
 
     return docs.mapInPandas(run, "block int, packed binary")
 
@@ -233,23 +287,19 @@ def anchors(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for flushed in _blocked(batches, blocks):
-            parts = []
-            for block, rows in flushed.items():
-                texts = Texts([t for _, _, t in rows])
-                found, _, _, owner = texts.strings()
-                keys = _keys(found, buckets)
-                doc = np.array([d for d, _, _ in rows], "int64")[owner]
-                order = np.argsort(keys, kind="stable")
-                keys, doc = keys[order], doc[order]
-                begin, end = _runs_of(keys)
-                if len(begin):
-                    many = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
-                    parts.append((keys[begin], np.full(len(begin), block, "uint32"), np.minimum(end - begin, 127).astype("uint8") | many.astype("uint8") << 7))
-            if not parts:
+            # The flush is looked at as one text, so many blocks cost no more than few.
+            rows = [(block, doc, text) for block, held in flushed.items() for doc, _, text in held]
+            found, _, _, owner = Texts([t for _, _, t in rows]).strings()
+            if not len(found):
                 continue
-            keys, block, seen = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(keys >> np.uint64(40), kind="stable")
-            keys, block, seen = keys[order], block[order], seen[order]
+            block, doc = (np.array([r[i] for r in rows], "int64")[owner] for i in (0, 1))
+            keys = _keys(found, buckets)
+            order, group = _ordered(iter((keys, block)))
+            begin, end = _runs_of(group)
+            doc = doc[order]
+            many = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+            keys, block = keys[order[begin]], block[order[begin]].astype("uint32")
+            seen = np.minimum(end - begin, 0x7FFF).astype("uint16") | many.astype("uint16") << 15
             begin, end = _runs_of(keys >> np.uint64(40))
             out = [(int(keys[a]) >> 40, _pack(_count(b - a), *_bytes5(keys[a:b]), block[a:b], seen[a:b])) for a, b in zip(begin, end)]
             yield pd.DataFrame(out, columns=["bucket", "packed"])
@@ -267,19 +317,19 @@ def shared(entries: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = np.uint64(int(pdf["bucket"].iloc[0]) << 40)
-        columns = [_unpack(bytes(p), "uint32", "uint8", "uint32", "uint8")[:4] for p in pdf["packed"]]
+        columns = [_unpack(bytes(p), "uint32", "uint8", "uint32", "uint16")[:4] for p in pdf["packed"]]
         low, top, block, seen = (np.concatenate(x) for x in zip(*columns))
         keys = low.astype("uint64") | top.astype("uint64") << np.uint64(32) | bucket
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, block, seen = keys[order], block[order], seen[order]
         begin, end = _runs_of(keys)
         # Each block of each flush hands an anchor in once, so two entries are two rows.
-        spread = (end - begin > 1) | (np.bitwise_or.reduceat(seen, begin) >= 128)
-        hot = np.add.reduceat((seen & 127).astype("int64"), begin) >= HOT
+        spread = (end - begin > 1) | (np.bitwise_or.reduceat(seen, begin) >= 0x8000)
+        hot = np.add.reduceat((seen & 0x7FFF).astype("int64"), begin) >= HOT
         size = end - begin
         use = np.repeat(spread, size)
         keys, block, hot = keys[use], block[use], np.repeat(hot, size)[use]
-        order = np.lexsort((keys, block))
+        order = _by_group(np.arange(len(block)), block)
         keys, block, hot = keys[order], block[order], hot[order]
         begin, end = _runs_of(block)
         out = [(int(block[a]), 0, _pack(_count(b - a), keys[a:b], hot[a:b].astype("uint8"))) for a, b in zip(begin, end)]
@@ -304,9 +354,12 @@ class Block:
         order = np.argsort(known)
         known, hot = np.append(known[order], np.uint64(2**64 - 1)), np.append(hot[order], 0)
         keys = _keys(found, buckets)
-        at = np.searchsorted(known, keys)
-        use = known[at] == keys
-        keys, first, size, hot = keys[use], first[use], size[use], hot[at[use]] == 1
+        order = np.argsort(keys)
+        at = np.searchsorted(known, keys[order])
+        marked = np.full(len(keys), -1, "int8")
+        marked[order] = np.where(known[at] == keys[order], hot[at].astype("int8"), -1)
+        use = np.flatnonzero(marked >= 0)
+        keys, first, size, hot = keys[use], first[use], size[use], marked[use] == 1
         windows = size[hot] - WINDOW + 1
         single = np.repeat(first[hot], windows) + _spread(windows)
         bucket = np.concatenate([(keys[~hot] >> np.uint64(40)).astype("int64"), np.full(len(single), -1)])
@@ -317,7 +370,7 @@ class Block:
             content[i : i + CHUNK] = _string_hashes(self.rows(slice(i, i + CHUNK)), self.size[i : i + CHUNK])
         alone = bucket < 0
         bucket[alone] = (content[alone] % np.uint64(buckets)).astype("int64")
-        order = np.argsort(content, kind="stable")
+        order = np.argsort(content)
         self.first, self.size, content = self.first[order], self.size[order], content[order]
         self.owner = np.searchsorted(self.texts.ends, self.first, "right")
         self.begin, self.end = _runs_of(content)
@@ -336,14 +389,18 @@ class Block:
             doc = self.ids[self.owner]
             low, high = np.minimum.reduceat(doc, self.begin), np.maximum.reduceat(doc, self.begin)
             order = np.argsort(self.bucket, kind="stable")
+            at = self.begin[order]
+            size = self.size[at]
+            text = [np.zeros(0, "uint8")]
+            for i in range(0, len(at), CHUNK):
+                rows = self.rows(at[i : i + CHUNK])
+                text.append(rows[np.arange(rows.shape[1]) < size[i : i + CHUNK, None]])
+            text = np.concatenate(text)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            low, high, which, size = low[order], high[order], order.astype("int32"), size.astype("uint8")
             for a, b in zip(*_runs_of(self.bucket[order])):
-                which = order[a:b]
-                at = self.begin[which]
-                size = self.size[at]
-                rows = self.rows(at)
-                text = rows[np.arange(rows.shape[1]) < size[:, None]]
-                packed = _pack(_count(b - a), which.astype("int32"), low[which], high[which], size.astype("uint8"), text)
-                out.append((int(self.bucket[which[0]]), block, packed))
+                packed = _pack(_count(b - a), which[a:b], low[a:b], high[a:b], size[a:b], text[ends[a] : ends[b]])
+                out.append((int(self.bucket[order[a]]), block, packed))
         return pd.DataFrame(out, columns=["bucket", "block", "packed"])
 
     def result(self, effects: pd.DataFrame) -> pd.DataFrame:
@@ -370,7 +427,7 @@ class Block:
         begun = gone.copy()
         begun[1:] &= ~gone[:-1]
         begun[starts[self.texts.sizes > 0]] = gone[starts[self.texts.sizes > 0]]
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([starts, ends[-1:]])])
+        total = lambda x: np.diff(np.searchsorted(np.flatnonzero(x), np.concatenate([starts, ends[-1:]])))
         removed, spans = (total(x) if len(ends) else [] for x in (gone, begun))
         kept = data[:n][~gone].tobytes()
         at, out = 0, []
@@ -394,30 +451,33 @@ class CoverRanks:
         self.period, n = period, len(left)
         inside = np.full(period, -1)
         inside[list(cover)] = np.arange(len(cover))
-        self.inside, self.members = inside, len(cover)
         at = np.arange(n)
         at = at[inside[at % period] >= 0]
-        rows = _rows(text, at, period + 1).copy()
         size = np.minimum(left[at], period)
-        rows[np.arange(period + 1) >= size[:, None]] = 0
-        # A shorter string sorts before a longer one that goes on with zeros.
-        rows[:, period] = size + 1
-        _, rank = np.unique(rows.view(f"S{period + 1}").ravel(), return_inverse=True)
-        place = np.full((n // period + 2) * self.members, -1, "int64")
-        of = lambda p: p // period * self.members + inside[p % period]
-        place[of(at)] = rank
+
+        def columns() -> Iterator[np.ndarray]:
+            for i in range(0, period, 8):
+                yield _numbers(text, at + i, np.clip(size - i, 0, 8))
+            # A shorter string sorts before a longer one that goes on with zeros.
+            yield size
+
+        order, group = _ordered(columns())
+        rank = np.empty(len(at), "int64")
+        rank[order] = group
+        place = np.full(n + period, -1, "int32")
+        place[at] = rank
         span, longest = period, int(left.max(initial=0))
         while span < longest:
             # Behind the first bytes stands another member of the sample, or the string has ended.
             on = left[at] > span
             behind = np.full(len(at), -1, "int64")
-            behind[on] = place[of(at[on] + span)]
+            behind[on] = place[at[on] + span]
             size = np.bincount(rank)
             tied = np.flatnonzero(size[rank] > 1)
             if not len(tied):
                 break
             pair = rank[tied] * (len(at) + 1) + behind[tied] + 1
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             pair, group = pair[order], rank[tied][order]
             # Ranks leave room for all members of a group, so they split without moving others.
             room = np.cumsum(size) - size
@@ -426,7 +486,7 @@ class CoverRanks:
             step -= np.repeat(step[head], np.diff(np.append(head, len(group))))
             rank = room[rank]
             rank[tied[order]] += step
-            place[of(at)] = rank
+            place[at] = rank
             span *= 2
         self.place = place
         # For two residues, how far behind both suffixes lie members of the cover.
@@ -446,7 +506,7 @@ class CoverRanks:
         return self._at(p + self.shift[own, other])
 
     def _at(self, p: np.ndarray) -> np.ndarray:
-        return self.place[p // self.period * self.members + self.inside[p % self.period]]
+        return self.place[p]
 
 
 def _merged(cover: CoverRanks, at: np.ndarray) -> np.ndarray:
@@ -498,7 +558,7 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, at: np.ndarray, most: in
     All suffixes at ``at`` have ``PERIOD`` bytes at least; ``text`` has zeros behind it.
     """
     cover = CoverRanks(text, left)
-    first = np.concatenate([_rows(text, at[i : i + CHUNK], 8).copy().view(">u8").ravel().astype("uint64") for i in range(0, len(at), CHUNK)] or [np.zeros(0, "uint64")])
+    first = _numbers(text, at)
     parts = -(-len(at) // most)
     sample = np.sort(first[:: max(1, len(at) // (64 * max(parts, 1)))])
     splits = np.unique(sample[np.arange(1, parts) * len(sample) // parts]) if parts > 1 else sample[:0]
@@ -506,11 +566,9 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, at: np.ndarray, most: in
     dealt = np.argsort(bucket, kind="stable")
     for a, b in zip(*_runs_of(bucket[dealt])):
         mine = at[dealt[a:b]]
-        keys = _rows(text, mine, PERIOD).copy().view(f"S{PERIOD}").ravel()
-        order = np.argsort(keys, kind="stable")
-        mine, keys = mine[order], keys[order]
-        same = keys[1:] == keys[:-1]
-        tie = np.concatenate([[0], np.cumsum(~same)])
+        order, tie = _ordered(first[dealt[a:b]] if i == 0 else _numbers(text, mine + i) for i in range(0, PERIOD, 8))
+        mine = mine[order]
+        same = tie[1:] == tie[:-1]
         tied = np.zeros(len(mine), bool)
         tied[1:] |= same
         tied[:-1] |= same
@@ -521,8 +579,11 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, at: np.ndarray, most: in
 
 def _windows_agree(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each of ``at`` begins the same window as the one after it."""
-    rows = _rows(text, at, WINDOW).copy().view(f"S{WINDOW}").ravel()
-    return rows[1:] == rows[:-1]
+    same = np.ones(max(0, len(at) - 1), bool)
+    for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        eight = _numbers(text, at + i)
+        same &= eight[1:] == eight[:-1]
+    return same
 
 
 def decided(sent: DataFrame) -> DataFrame:
@@ -542,7 +603,7 @@ def decided(sent: DataFrame) -> DataFrame:
         for i in range(0, len(start), CHUNK):
             rows = _rows(text, start[i : i + CHUNK], wide)
             content[i : i + CHUNK] = _string_hashes(np.where(np.arange(wide) < size[i : i + CHUNK, None], rows, 0).astype("uint8"), size[i : i + CHUNK])
-        order = np.argsort(content, kind="stable")
+        order = np.argsort(content)
         begin, end = _runs_of(content[order])
         least, most = np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
         one, length = start[order[begin]], size[order[begin]]

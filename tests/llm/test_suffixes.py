@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,3 +106,44 @@ def test_the_ranks_of_the_cover_decide():
     order = np.concatenate(list(sorted_suffixes(text, left, at[left[at] >= 50])))
     rows_ = [bytes(text[p : p + 50]) for p in order]
     assert all(rows_.index(r) + rows_.count(r) > k for k, r in enumerate(rows_))
+
+
+class Local:
+    """A table whose tasks are called here."""
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_many_blocks_are_one_step(monkeypatch):
+    """The number of blocks grows with the table: a flush is scanned and handed on once, not once per block."""
+    scans, strings = [], suffixes.Texts.strings
+    monkeypatch.setattr(suffixes.Texts, "strings", lambda self: scans.append(1) or strings(self))
+    docs = pd.DataFrame({"doc_id": range(300), "text": [f"{i * 7919:x} ".encode() * 30 for i in range(300)]})
+    found = list(suffixes.anchors(Local(), 200, 5)(iter([docs])))
+    assert len(scans) == len(found) == 1 and len(found[0]) == 5
+    (sent,) = suffixes.pieces(Local(), 200)(iter([docs]))
+    assert sent["block"].nunique() == len(sent) > 100
+
+
+def test_an_anchor_below_the_limit_stays_whole(spark, monkeypatch):
+    """How often an anchor occurs in a block is told in full, up to HOT; strings of 40,000 rows of one block are then cut, of 10,000 not."""
+    docs = lambda n: pd.DataFrame({"doc_id": range(n), "text": [b"%06d this line stands in every document of the group, word for word." % i for i in range(n)]})
+    for n, hot in ((10000, False), (40000, True)):
+        monkeypatch.setattr(Local, "groupBy", lambda self, *by: self, raising=False)
+        monkeypatch.setattr(Local, "applyInPandas", lambda self, run, schema: run, raising=False)
+        entries = pd.concat(suffixes.anchors(Local(), 1, 1)(iter([docs(n)])))
+        marks = suffixes.shared(Local())(entries)
+        assert bool(suffixes._unpack(marks["packed"].iloc[0], "uint64", "uint8")[1].any()) == hot
+
+
+def test_rows_ordered_by_columns():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 2), (1, 2), (50, 2), (3000, 7), (200000, 400)):
+        columns = [rng.integers(0, kinds, n).astype("uint64") << np.uint64(56) for _ in range(3)]
+        order, group = suffixes._ordered(iter(columns))
+        rows_ = np.array([c[order] for c in columns])
+        want = np.array([c[np.lexsort(columns[::-1])] for c in columns])
+        assert (rows_ == want).all() and sorted(order.tolist()) == list(range(n))
+        new = (rows_[:, 1:] != rows_[:, :-1]).any(axis=0)
+        assert group.tolist() == np.concatenate([np.zeros(min(n, 1), int), np.cumsum(new)]).tolist()
